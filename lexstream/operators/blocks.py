@@ -1,0 +1,66 @@
+"""Running values over a keyed order, safe for keys that hold a large share of all rows.
+
+A plain window over ``keys`` sorts each key in one task.  Here every key is cut into blocks by a
+value of the row (``block``, increasing with the order), the window runs inside a block, and one
+small row per block carries the value over.  The blocks of a hot key spread over many tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+_BLOCK = "__block"
+
+
+def _carry(df: DataFrame, keys: list[str], total: Column, over) -> DataFrame:
+    """Per block, the value of everything before it."""
+    totals = df.groupBy(*keys, _BLOCK).agg(total.alias("__total"))
+    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*keys, _BLOCK, over(F.col("__total")).over(before).alias("__carry"))
+
+
+def _join(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    on = [*keys, _BLOCK]
+    side = carry.select(*[F.col(k).alias(f"__on_{k}") for k in on], "__carry")
+    cond = [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in on]
+    return df.join(side, cond, "left").drop(*[f"__on_{k}" for k in on])
+
+
+def running(
+    df: DataFrame, keys: list[str], order: list[str], block: Column, fn: str, value: Column, name: str,
+    inclusive: bool = True,
+) -> DataFrame:
+    """Running ``sum`` or ``max`` of ``value``; exclusive results start as 0 for sums, null for max."""
+    over = {"sum": F.sum, "max": F.max}[fn]
+    d = df.withColumn(_BLOCK, block).withColumn("__value", value)
+    end = Window.currentRow if inclusive else -1
+    inner = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    carried = _carry(d, keys, over("__value"), over)
+    d = _join(d.withColumn("__inner", over("__value").over(inner)), carried, keys)
+    if fn == "sum":
+        out = F.coalesce("__inner", F.lit(0)) + F.coalesce("__carry", F.lit(0))
+    else:
+        out = F.greatest("__inner", "__carry")
+    return d.withColumn(name, out).drop(_BLOCK, "__value", "__inner", "__carry")
+
+
+def previous(
+    df: DataFrame, keys: list[str], order: list[str], block: Column, values: dict[str, Column]
+) -> DataFrame:
+    """``lag`` by one row of several columns, under the given names."""
+    d = df.withColumn(_BLOCK, block).withColumn("__row", F.struct(*[c.alias(n) for n, c in values.items()]))
+    inner = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
+    carried = _carry(
+        d, keys, F.max_by("__row", F.struct(*order)), lambda c: F.last(c, ignorenulls=True)
+    )
+    d = _join(d.withColumn("__inner", F.lag("__row").over(inner)), carried, keys)
+    d = d.withColumn("__prev", F.coalesce("__inner", "__carry"))
+    for n in values:
+        d = d.withColumn(n, F.col("__prev")[n])
+    return d.drop(_BLOCK, "__row", "__inner", "__carry", "__prev")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str) -> DataFrame:
+    """``row_number`` from 1."""
+    return running(df, keys, order, block, "sum", F.lit(1).cast("bigint"), name)
