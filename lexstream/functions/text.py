@@ -69,6 +69,21 @@ def prefix_sums(values: Column) -> Column:
     return let(values, whole)
 
 
+_PIECE = 512
+
+
+def pieces(c: Column) -> Column:
+    """A text as pieces of fixed length, so that ``cut`` need not walk it from the start."""
+    return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def cut(ps: Column, start: Column, length: Column) -> Column:
+    """Substring (0-based start) of a text given as ``pieces``."""
+    first = F.floor(start / _PIECE).cast("int")
+    n = F.floor((start + length) / _PIECE).cast("int") - first + 1
+    return F.substring(F.array_join(F.slice(ps, first + 1, n), ""), start - first * _PIECE + 1, length)
+
+
 def collapse_spaces(c: Column | str) -> Column:
     """Trim and reduce every run of Unicode white space to one space."""
     return F.trim(F.regexp_replace(_col(c), p.SPACES, " "))
