@@ -7,13 +7,16 @@ busy stream spreads over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import common_prefix, detokenize, ends_sentence, let, sentence_token_ends, tokenize
+from ..functions.text import common_prefix, detokenize, ends_sentence, sentence_token_ends, tokenize
+from ..schemas import schema
 from . import blocks, folds, keyed, matching
 
 BLOCK = 1024
@@ -90,13 +93,13 @@ def freeze_after_endpoint(rows: DataFrame, stream: str, endpoint_revision: str,
     return rows.filter(F.col("is_final") | ~F.coalesce(late, F.lit(False)))
 
 
-def stable_prefix(rows: DataFrame, stream: str, order: str, n: int = 2, hold: int = 1) -> DataFrame:
+def stable_prefix(rows: DataFrame, keys: list[str], order: str, n: int = 2, hold: int = 1) -> DataFrame:
     """Plain agreement: common prefix of the last ``n`` hypotheses, less ``hold`` tokens.
 
-    Adds ``stable`` (null until ``n`` rows are there).  An utterance is one stream here; number long
-    streams with ``utterances`` first and pass the pair as key.
+    Adds ``stable`` (null until ``n`` rows are there).  ``keys`` name an utterance: number busy
+    streams with ``utterances`` first.
     """
-    w = Window.partitionBy(stream).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(order)
     agreed = F.col("tokens")
     for k in range(1, n):
         agreed = common_prefix(agreed, F.lag("tokens", k).over(w))
@@ -122,19 +125,15 @@ _SPANS = "array<struct<start:int,end:int>>"
 _KEY = ["stream_id", "utterance"]
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
-
-
-COMMITTED = _schema(
+COMMITTED = schema(
     "stream_id string, utterance long, in_revision int, revision int, lang string, tokens array<string>, "
     "is_final boolean, at_ms long, since_ms long, is_endpoint boolean, cut_s double, hold_events int, "
     "hold_ms long, flushes int, n_frozen int"
 )
-REQUESTS = _schema("stream_id string, utterance long, in_revision int, revision int")
-PHRASES = _schema(
+REQUESTS = schema("stream_id string, utterance long, in_revision int, revision int")
+PHRASES = schema(
     "stream_id string, phrase_no int, source_revision int, tokens array<string>, is_final boolean, "
-    "source_is_final boolean, at_ms long, shifts int, oversized int"
+    "source_is_final boolean, at_ms long, lang string, shifts int, oversized int"
 )
 
 COMMIT = dict(agreement=2, hold_tokens=1, term_timeout_ms=1500, endpoint=0)
@@ -204,7 +203,7 @@ def phrase_input(rows: DataFrame, prefixes: DataFrame | None = None) -> DataFram
         d = d.join(grouped, ["stream_id", "seq"], "left")
         hits = F.col("__terms").cast(_SPANS)
     return d.select(
-        "stream_id", "seq", "kind", "phrase_no", "source_revision", "tokens", "is_final",
+        "stream_id", "seq", "kind", "phrase_no", "source_revision", "lang", "tokens", "is_final",
         F.unix_millis("at").alias("at_ms"), "sentence_ends", hits.alias("term_hits"),
     )
 
@@ -213,8 +212,7 @@ def phrases(rows: DataFrame, prefixes: DataFrame | None = None, **options) -> Da
     """Speakable phrases of translated streams, with agreement, reservations and acknowledgements."""
     step = partial(folds.phrase_step, **{**PHRASE, **options})
     out = keyed.fold(phrase_input(rows, prefixes), ["stream_id"], ["seq"], step, PHRASES)
-    langs = rows.groupBy("stream_id").agg(F.max("lang").alias("lang"))
-    return out.join(langs, "stream_id").withColumn("text", detokenize("tokens", F.col("lang")))
+    return out.withColumn("text", detokenize("tokens", F.col("lang")))
 
 
 def chunk_finals(texts: DataFrame, keys: list[str], text: str, lang: str, prefixes: DataFrame | None = None, low: int = 8, high: int = 24) -> DataFrame:
@@ -225,28 +223,17 @@ def chunk_finals(texts: DataFrame, keys: list[str], text: str, lang: str, prefix
         F.lit(None).cast("int").alias("phrase_no"), F.lit(1).alias("source_revision"), F.col(text).alias("text"),
         F.col(lang).alias("lang"), F.lit(True).alias("is_final"), F.timestamp_millis(F.lit(0)).alias("at"),
     )
-    d = phrase_input(rows, prefixes).select("*")
     step = partial(folds.phrase_step, **{**PHRASE, "low": low, "high": high})
-    langs = rows.select("stream_id", F.col("lang").alias("__lang"))
-    schema = PHRASES
-    out = d.mapInArrow(_each(step, schema), schema)
-    out = out.join(langs, "stream_id")
-    return out.withColumn("text", detokenize("tokens", F.col("__lang"))).drop("__lang", "source_revision", "at_ms")
-
-
-def _each(step, schema):
-    """Apply a step to rows that are whole streams by themselves; no shuffle is needed."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
+    arrow = to_arrowschema(PHRASES)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Every row is a whole stream, so nothing is shuffled and no state is kept.
         for b in batches:
-            rows = [{"stream_id": r["stream_id"], **x} for r in b.to_pylist() for x in step({}, r)]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            out = [{"stream_id": r["stream_id"], **x} for r in b.to_pylist() for x in step({}, r)]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return run
+    out = phrase_input(rows, prefixes).mapInArrow(run, PHRASES)
+    return out.withColumn("text", detokenize("tokens", F.col("lang"))).drop("source_revision", "at_ms")
 
 
 # Endpoints --------------------------------------------------------------------------------------
