@@ -184,6 +184,12 @@ def _distinct_spans(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.drop("mode").dropDuplicates([*keys, "term_id", "start", "end", "form"])
 
 
+def in_order(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Number the matches of each text by start, longest, highest priority, declared first."""
+    w = Window.partitionBy(*keys).orderBy("start", F.desc("norm_len"), F.desc("priority"), "rank", "end", "term_id")
+    return matches.withColumn("pos", F.row_number().over(w))
+
+
 def _greedy(ms: Column) -> Column:
     """Keep matches in rank order unless they overlap one already kept; return them by position."""
     kept = F.aggregate(

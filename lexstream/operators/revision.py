@@ -224,7 +224,7 @@ def chunk_finals(texts: DataFrame, keys: list[str], text: str, lang: str, prefix
         F.col(lang).alias("lang"), F.lit(True).alias("is_final"), F.timestamp_millis(F.lit(0)).alias("at"),
     )
     step = partial(folds.phrase_step, **{**PHRASE, "low": low, "high": high})
-    arrow = to_arrowschema(PHRASES)
+    arrow = to_arrow_schema(PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Every row is a whole stream, so nothing is shuffled and no state is kept.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_sentences, tokenize
@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def instant(c: str) -> Column:
+    """A stored wall time as the UTC instant it means, whatever the time zone of the session."""
+    return F.from_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone())
+
+
 def sample_rows() -> tuple[list, list, list]:
     terms, forms, spoken = [], [], []
     for i, (tid, domains, priority, policy, langs, voices) in enumerate(ENTRIES):
@@ -111,7 +116,7 @@ def busy_streams(spark: SparkSession, sf: str) -> DataFrame:
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's events as numbered frames, voiced above a value of 35."""
     e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    hour = F.floor(F.unix_seconds("ts") / 3600)
+    hour = F.floor(F.unix_seconds(instant("ts")) / 3600)
     d = blocks.numbered(e, ["user_id"], ["ts", "event_id"], hour, "n")
     return d.select(
         F.col("user_id").cast("string").alias("stream_id"), (F.col("n") - 1).alias("frame_no"),
@@ -132,15 +137,15 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
     for name, to in KINDS.items():
         kind = F.when(F.col("event_type") == name, to).otherwise(kind)
     return e.select(
-        "event_id", F.col("user_id").alias("session_id"), kind.alias("type"), F.col("ts").alias("emitted_at"),
-        F.col("ts").alias("completed_at"), F.col("props").alias("message"), "value",
+        "event_id", F.col("user_id").alias("session_id"), kind.alias("type"), instant("ts").alias("emitted_at"),
+        instant("ts").alias("completed_at"), "ts", F.col("props").alias("message"), "value",
         F.create_map(F.lit("latency_ms"), F.col("value")).alias("metrics"),
     )
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
     """One session per user: input from the first event for 20 days, media of a third of that."""
-    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.min("ts").alias("input_started_at"))
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.min(instant("ts")).alias("input_started_at"))
     return e.select(
         "session_id", "input_started_at", (F.col("input_started_at") + F.expr("interval 20 days")).alias("input_finished_at"),
         F.lit(576000.0).alias("input_duration_s"),
