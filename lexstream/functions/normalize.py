@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -17,14 +18,17 @@ from pyspark.sql import types as T
 
 from . import patterns as p
 
-# Latin without the micro sign, sharp s, dotted I, apostrophe n and long s; Vietnamese; basic
-# Cyrillic; general punctuation, currency, drawing signs; CJK; Hangul syllables; full-width
-# forms; pictographs.
-_NOT_PLAIN = (
-    r"[^\x00-\xb4\xb6-\xde\xe0-\u012f\u0131-\u0148\u014a-\u017e\u0410-\u044f\u1ea0-\u1ef9"
+# Characters that normalize one by one, as ``lower`` does: Latin without the micro sign, sharp s,
+# dotted I, apostrophe n and long s; Vietnamese; basic Cyrillic; general punctuation, currency,
+# drawing signs; CJK; Hangul syllables; full-width forms; pictographs.
+_SINGLE = (
+    r"\x00-\xb4\xb6-\xde\xe0-\u012f\u0131-\u0148\u014a-\u017e\u0410-\u044f\u1ea0-\u1ef9"
     r"\u2010-\u2027\u202f-\u205f\u20a0-\u20bf\u2212\u2500-\u27bf\u3000-\u3029\u4e00-\u9fff"
-    r"\uac00-\ud7a3\uff01-\uff5e\x{1f300}-\x{1faff}]"
+    r"\uac00-\ud7a3\uff01-\uff5e"
 )
+_NOT_PLAIN = f"[^{_SINGLE}\\x{{1f300}}-\\x{{1faff}}]"
+_NOT_PLAIN_WORDS = f"[^{_SINGLE}\\x{{1f300}}-\\x{{1faff}}\\xdf\\u1e9e]"
+_NOT_NORMAL = f"[{p.SPACE}]{{2}}|[{p.SPACE}&&[^ ]]|[{p.HYPHENS}]"
 
 ALIGNED = T.StructType(
     [
@@ -42,28 +46,50 @@ _CLUSTER = regex.compile(
 _TO_HYPHEN = {ord(c): "-" for c in p.HYPHENS}
 
 
+# A stretch without white space whose characters stand for themselves; its last one must not carry
+# a mark of the next.
+_STRETCH = regex.compile(rf"(?:[{_SINGLE}--[\s]](?!\P{{Canonical_Combining_Class=0}}))+", regex.V1)
+
+
 def align(text: str, fold: bool) -> tuple[str, list[int], list[int]]:
     """Normalize one text; for each output character give the source span it stands for."""
-    units: list[tuple[str, int, int]] = []
-    for m in _CLUSTER.finditer(text):
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    at = 0
+    while at < len(text):
+        if m := _STRETCH.match(text, at):
+            value, at = m.group().translate(_TO_HYPHEN), m.end()
+            out.append(value.casefold() if fold else value)
+            starts.extend(range(m.start(), at))
+            ends.extend(range(m.start() + 1, at + 1))
+            continue
+        m = _CLUSTER.match(text, at)
+        at = m.end()
         value = unicodedata.normalize("NFC", m.group())
         if value.isspace():
-            if units and units[-1][0] == " ":
-                units[-1] = (" ", units[-1][1], m.end())
-            elif units:
-                units.append((" ", m.start(), m.end()))
-            continue
+            if out and out[-1] == " ":
+                ends[-1] = at
+                continue
+            if not out:
+                continue
+            value = " "
         value = value.translate(_TO_HYPHEN)
-        units.append((value.casefold() if fold else value, m.start(), m.end()))
-    if units and units[-1][0] == " ":
-        units.pop()
-    flat = [(c, s, e) for value, s, e in units for c in value]
-    return "".join(c for c, _, _ in flat), [s for _, s, _ in flat], [e for _, _, e in flat]
+        value = value.casefold() if fold else value
+        out.append(value)
+        starts.extend([m.start()] * len(value))
+        ends.extend([at] * len(value))
+    if out and out[-1] == " ":
+        out.pop(), starts.pop(), ends.pop()
+    return "".join(out), starts, ends
 
 
 def _align_batch(texts: pd.Series, fold: bool) -> pd.DataFrame:
     rows = [(None, None, None) if t is None else align(t, fold) for t in texts]
-    return pd.DataFrame(rows, columns=["text", "starts", "ends"], index=texts.index)
+    out = pd.DataFrame(rows, columns=["text", "starts", "ends"], index=texts.index)
+    for c in ("starts", "ends"):
+        out[c] = out[c].map(lambda x: None if x is None else np.asarray(x, dtype=np.int32))
+    return out
 
 
 @F.pandas_udf(ALIGNED)
@@ -88,23 +114,45 @@ def _cased(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else align(t, False)[0])
 
 
-def is_plain(c: Column) -> Column:
-    """True for texts made of characters that normalize one by one, as ``lower`` does."""
-    return ~c.rlike(_NOT_PLAIN)
+def is_plain(c: Column, words: bool = False) -> Column:
+    """True for texts made of characters that normalize one by one, as ``lower`` does.
+
+    With ``words`` sharp s is allowed too: it folds to two letters, so it stays inside its word but
+    moves what follows.
+    """
+    ascii = F.octet_length(c) == F.length(c)
+    return ascii | ~c.rlike(_NOT_PLAIN_WORDS if words else _NOT_PLAIN)
+
+
+def is_normal(c: Column) -> Column:
+    """True when ``plain_normalize`` would change nothing."""
+    return ~c.rlike(_NOT_NORMAL)
+
+
+def plain_lower(c: Column) -> Column:
+    """Case folding of a plain text."""
+    low = F.lower(c)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
 
 
 def plain_normalize(c: Column) -> Column:
     """Case-keeping normalization of a plain text, without trimming its ends."""
-    return F.translate(F.regexp_replace(c, p.SPACES, " "), p.HYPHENS, "-" * len(p.HYPHENS))
+    spaced = F.regexp_replace(c, f"[{p.SPACE}]{{2,}}|[{p.SPACE}&&[^ ]]", " ")
+    return F.regexp_replace(spaced, f"[{p.HYPHENS}]", "-")
+
+
+def normalize_plain(c: Column | str, fold: bool = True) -> Column:
+    """``normalize`` for texts known to be plain."""
+    native = F.trim(plain_normalize(F.col(c) if isinstance(c, str) else c))
+    return plain_lower(native) if fold else native
 
 
 def normalize(c: Column | str, fold: bool = True) -> Column:
     """Normalized text; native for plain rows, Python for the rest."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = is_plain(c)
-    native = F.trim(plain_normalize(c))
+    plain = is_plain(c, words=True)
     python = (_folded if fold else _cased)(F.when(~plain, c))
-    return F.when(plain, F.lower(native) if fold else native).otherwise(python)
+    return F.when(plain, normalize_plain(c, fold)).otherwise(python)
 
 
 def looks_code_like(c: Column | str) -> Column:

@@ -155,16 +155,18 @@ def _last_mark(c: Column) -> Column:
 def restore_punctuation(source: Column | str, translated: Column | str, target_lang: Column) -> Column:
     """Give the translation the source's sentence mark, before closing marks, if it lost its own."""
     terminal = f"[{p.char_class(p.TERMINAL)}]"
-    mark = _last_mark(_col(source))
-    wide = mark
-    for narrow, full in p.FULL_WIDTH.items():
-        wide = F.when(mark == narrow, full).otherwise(wide)
-    mark_out = F.when(target_lang == "zh", wide).otherwise(mark)
-    body = rstrip(translated)
-    head = F.regexp_replace(body, f"(?<![{p.CLOSERS}])[{p.CLOSERS}]++\\z", "")
-    tail = F.regexp_extract(body, f"(?<![{p.CLOSERS}])[{p.CLOSERS}]*+\\z", 0)
-    add = mark.rlike(terminal) & ~_last_mark(_col(translated)).rlike(terminal)
-    return F.when(add, F.concat(head, mark_out, tail)).otherwise(strip(translated))
+    wide = F.create_map(*[F.lit(x) for pair in p.FULL_WIDTH.items() for x in pair])
+
+    def fix(mark: Column) -> Column:
+        out = F.when(target_lang == "zh", F.coalesce(F.try_element_at(wide, mark), mark)).otherwise(mark)
+        # White space at the end goes; closing marks stay behind the sentence mark.
+        ended = F.regexp_replace(
+            rstrip(translated), f"(?<![{p.CLOSERS}])([{p.CLOSERS}]*+)\\z", F.concat(out, F.lit("$1"))
+        )
+        lost = mark.rlike(terminal) & ~_last_mark(_col(translated)).rlike(terminal)
+        return F.when(lost, ended).otherwise(strip(translated))
+
+    return let(_last_mark(_col(source)), fix)
 
 
 def common_prefix(a: Column | str, b: Column | str) -> Column:

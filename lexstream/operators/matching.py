@@ -17,24 +17,25 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
 from ..functions import patterns as p
-from ..functions.text import count_up, let, prefix_sums, tokenize
-from ..session import hint, small_side, width
+from ..functions.text import let, prefix_sums, tokenize
+from ..session import hint, small_side, width, written
 
 _WORD_UNIT = f"[{p.WORD}]++[^{p.WORD}]*+"
 _CHAR_UNIT = f"[^{p.SPACE}][{p.SPACE}]*+"
-_CHUNK = 64
+_CHUNK = 128
 
 
 @dataclass(frozen=True)
 class _Branch:
     unit: str
+    head: str
     lead: str
     tail: str
     checks_edges: bool
 
 
-_WORDS = _Branch(_WORD_UNIT, f"[^{p.WORD}]++", f"[^{p.WORD}]++\\z", False)
-_CHARS = _Branch(_CHAR_UNIT, f"[{p.SPACE}]++", f"[{p.SPACE}]++\\z", True)
+_WORDS = _Branch(_WORD_UNIT, f"[{p.WORD}]++", f"[^{p.WORD}]++", f"[^{p.WORD}]++\\z", False)
+_CHARS = _Branch(_CHAR_UNIT, p.CHAR_TOKEN, f"[{p.SPACE}]++", f"[{p.SPACE}]++\\z", True)
 
 
 def prepare_forms(forms: DataFrame, terms: DataFrame, case_sensitive_codes: bool = True) -> DataFrame:
@@ -42,13 +43,16 @@ def prepare_forms(forms: DataFrame, terms: DataFrame, case_sensitive_codes: bool
     sensitive = nz.looks_code_like("form") if case_sensitive_codes else F.lit(False)
     d = forms.join(terms.select("term_id", "priority", "policy", "declaration_order"), "term_id")
     d = d.withColumn("sensitive", sensitive)
-    d = d.withColumn("folded_norm", nz.normalize("form")).withColumn("cased_norm", nz.normalize("form", False))
-    norm = F.when(F.col("sensitive"), F.col("cased_norm")).otherwise(F.col("folded_norm"))
-    d = d.withColumn("norm", norm).filter("norm <> ''")
+    # A dictionary of plain forms, the usual case, needs no Python worker.
+    plain = d.filter(~nz.is_plain(F.col("form"), words=True)).isEmpty()
+    norm = (lambda fold: nz.normalize_plain("form", fold)) if plain else (lambda fold: nz.normalize("form", fold))
+    d = d.withColumn("folded_norm", norm(True)).withColumn("cased_norm", norm(False))
+    chosen = F.when(F.col("sensitive"), F.col("cased_norm")).otherwise(F.col("folded_norm"))
+    d = d.withColumn("norm", chosen).filter("norm <> ''")
     edges = f"^[{p.WORD}](?s:.*)(?<=[{p.WORD}])\\z"
     d = d.withColumn("bounded", nz.needs_boundaries("form", "lang"))
     d = d.withColumn("by_word", F.col("bounded") & F.col("norm").rlike(edges))
-    key = F.when(F.col("sensitive"), F.lower("norm")).otherwise(F.col("norm"))
+    key = F.when(F.col("sensitive"), nz.plain_lower(F.col("norm"))).otherwise(F.col("norm"))
     unit = lambda pat: F.regexp_extract_all("key", F.lit(pat), F.lit(0))
     d = d.withColumn("key", key)
     d = d.withColumn("units", F.when(F.col("by_word"), unit(_WORD_UNIT)).otherwise(unit(_CHAR_UNIT)))
@@ -56,18 +60,20 @@ def prepare_forms(forms: DataFrame, terms: DataFrame, case_sensitive_codes: bool
     tail = F.when(F.col("by_word"), F.regexp_replace(head, _WORDS.tail, "")).otherwise(
         F.regexp_replace(head, _CHARS.tail, "")
     )
-    return d.select(
+    d = d.select(
         "term_id", "lang", "form", "canonical", "is_alias", "policy", "priority", "sensitive", "bounded",
         "by_word", "norm", "key", tail.alias("head"), F.size("units").alias("n_units"),
         (F.col("declaration_order") * 1000 + F.col("form_order")).alias("rank"),
         F.length("norm").alias("norm_len"),
     )
+    # Compiled once: the joins below read it several times, and its rules stay out of their plans.
+    return written(d, "forms")
 
 
-def _normalized_texts(docs: DataFrame, keys: list[str], text: str, lang: str, langs: list[str]) -> DataFrame:
+def _normalized_texts(docs: DataFrame, keys: list[str], text: str, lang: str, langs: list[str], words: bool) -> DataFrame:
     """(keys, lang, mode, body[, starts, ends]); only texts that are not plain pass through Python."""
     base = docs.select(*keys, F.col(lang).alias("lang"), F.col(text).alias("body")).filter(F.col("lang").isin(langs))
-    other = F.when(~nz.is_plain(F.col("body")), F.col("body"))
+    other = F.when(~nz.is_plain(F.col("body"), words), F.col("body"))
     d = base.withColumn("folded", nz.align_folded(other)).withColumn("cased", nz.align_cased(other))
     none = F.lit(None).cast("array<int>")
     plain = F.struct(F.lit("both").alias("mode"), F.col("body"), none.alias("starts"), none.alias("ends"))
@@ -103,36 +109,40 @@ def _chunks(texts: DataFrame, keys: list[str], br: _Branch, k_max: int) -> DataF
     cut = let(F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), rows)
     c = texts.select(*keys, "lang", "mode", "starts", "ends", F.explode(cut).alias("c"))
     span = F.length("c.own") + F.length("c.after")
-    part = lambda a: F.slice(a, F.col("c.base") + 1, span)
+    part = lambda a: F.when(F.col("mode") != "both", F.slice(a, F.col("c.base") + 1, span))
     return c.select(*keys, "lang", "mode", "c.*", part("starts").alias("starts"), part("ends").alias("ends"))
 
 
+def _units(chunks: DataFrame, br: _Branch) -> DataFrame:
+    """One row per unit: its place ``at``, its first word, and a reference to the units of the chunk.
+
+    The units go through the generator, where they are made once per chunk.  Left beside it, they
+    would be made again for every row behind the next join.
+    """
+    units = F.regexp_extract_all(F.concat("own", "after"), F.lit(br.unit), F.lit(0))
+    c = chunks.withColumn("all", units).withColumn("firsts", F.regexp_extract_all("own", F.lit(br.head), F.lit(0)))
+    rows = F.arrays_zip(F.col("firsts").alias("first"), F.array_repeat("all", F.size("firsts")).alias("us"))
+    w = c.select("*", F.posexplode(rows).alias("at", "z")).drop("own", "after", "all", "firsts")
+    return w.withColumn("first", F.col("z.first")).withColumn("us", F.col("z.us")).drop("z")
+
+
 def _matches(texts: DataFrame, keys: list[str], forms: DataFrame, br: _Branch, k_max: int, size: int) -> DataFrame:
-    units = lambda c: F.regexp_extract_all(c, F.lit(br.unit), F.lit(0))
     bare = lambda c: F.regexp_replace(c, f"(?<!{br.lead[:-2]}){br.tail}", "")
+    # Join keys are never null, so that no null check with a copy of them is pushed below the join.
+    fold = lambda c: F.coalesce(F.when(F.col("mode") == "folded", c).otherwise(nz.plain_lower(c)), F.lit(""))
     heads = forms.groupBy("lang", "head").agg(F.sort_array(F.collect_set("n_units")).alias("sizes"))
-
-    def windows(us: Column) -> Column:
-        own = F.size(units(F.col("own")))
-        return F.transform(
-            count_up(own),
-            lambda i: F.struct(
-                i.alias("at"),
-                F.slice(us, i + 1, k_max + 1).alias("win"),
-                F.coalesce(F.get(us, i - 1), F.col("before")).alias("prev"),
-            ),
-        )
-
-    c = _chunks(texts, keys, br, k_max)
-    norm = nz.plain_normalize(F.concat("own", "after"))
-    w = c.withColumn("w", F.explode(let(units(norm), windows)))
-    first = bare(F.get(F.col("w.win"), F.lit(0)))
-    w = w.withColumn("head", F.when(F.col("mode") == "folded", first).otherwise(F.lower(first)))
-    w = w.join(hint(heads, size), ["lang", "head"]).drop("head")
-    w = w.withColumn("n_units", F.explode("sizes")).filter(F.size("w.win") >= F.col("n_units"))
-    gram = F.array_join(F.slice("w.win", F.lit(1), F.col("n_units")), "")
-    w = w.withColumn("gram", bare(gram))
-    w = w.withColumn("key", F.when(F.col("mode") == "folded", F.col("gram")).otherwise(F.lower("gram")))
+    w = _units(_chunks(texts, keys, br, k_max), br)
+    # Most rows end at this join; only survivors are extended to whole forms.
+    first = nz.plain_normalize(F.col("first")) if br.checks_edges else F.col("first")
+    w = w.withColumn("head", fold(first)).join(hint(heads, size), ["lang", "head"]).drop("head")
+    w = w.withColumn("n_units", F.explode("sizes")).drop("sizes")
+    w = w.filter(F.col("at") + F.col("n_units") <= F.size("us"))
+    raw = F.when(F.col("n_units") == 1, F.col("first")).otherwise(
+        bare(F.array_join(F.slice("us", F.col("at") + 1, F.col("n_units")), ""))
+    )
+    w = w.withColumn("raw", raw)
+    w = w.withColumn("gram", F.when(nz.is_normal(F.col("raw")), F.col("raw")).otherwise(nz.plain_normalize(F.col("raw"))))
+    w = w.withColumn("key", fold(F.col("gram")))
     m = w.join(hint(forms.drop("head", "by_word"), size), ["lang", "key", "n_units"])
     fits = (
         F.when(F.col("mode") == "folded", ~F.col("sensitive"))
@@ -140,15 +150,15 @@ def _matches(texts: DataFrame, keys: list[str], forms: DataFrame, br: _Branch, k
         .otherwise(~F.col("sensitive") | (F.col("gram") == F.col("norm")))
     )
     if br.checks_edges:
-        follow = F.substring(F.array_join("w.win", ""), F.length("gram") + 1, F.lit(1))
+        # Units end where the next begins, so what follows the form is found behind its characters.
+        tail = F.array_join(F.slice("us", F.col("at") + 1, F.col("n_units") + 1), "")
+        follow = F.substring(tail, F.length("raw") + 1, F.lit(1))
         word = lambda c: c.rlike(f"[{p.WORD}]\\z")
-        fits = fits & (~F.col("bounded") | (~word(F.col("w.prev")) & ~word(follow)))
+        prev = F.coalesce(F.get("us", F.col("at") - 1), F.col("before"))
+        fits = fits & (~F.col("bounded") | (~word(prev) & ~word(follow)))
     m = m.filter(fits)
-    raw = units(F.concat("own", "after"))
-    m = m.withColumn("raw", raw)
-    n_start = F.length(F.array_join(F.slice("raw", F.lit(1), F.col("w.at")), ""))
-    n_len = F.length(bare(F.array_join(F.slice("raw", F.col("w.at") + 1, F.col("n_units")), "")))
-    m = m.withColumn("s", n_start).withColumn("e", n_start + n_len)
+    m = m.withColumn("s", F.length(F.array_join(F.slice("us", F.lit(1), F.col("at")), "")))
+    m = m.withColumn("e", F.col("s") + F.length("raw"))
     plain = F.col("mode") == "both"
     start = F.when(plain, F.col("base") + F.col("s")).otherwise(F.get("starts", F.col("s")))
     end = F.when(plain, F.col("base") + F.col("e")).otherwise(F.get("ends", F.col("e") - 1))
@@ -170,7 +180,7 @@ def find_terms(docs: DataFrame, keys: list[str], text: str, lang: str, forms: Da
     out = None
     for row in branches:
         br = _WORDS if row["by_word"] else _CHARS
-        texts = _normalized_texts(docs, keys, text, lang, row["langs"])
+        texts = _normalized_texts(docs, keys, text, lang, row["langs"], row["by_word"])
         found = _matches(texts, keys, forms.filter(F.col("by_word") == row["by_word"]), br, row["k"], row["size"])
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -241,40 +251,34 @@ def best_matches(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 def prefix_table(forms: DataFrame) -> DataFrame:
     """Every token prefix of every form: (lang, n, key, head, is_term, is_open)."""
-    toks = F.transform(tokenize(nz.normalize("form"), F.col("lang")), lambda t: F.lower(t))
+    plain = forms.filter(~nz.is_plain(F.col("form"), words=True)).isEmpty()
+    norm = nz.normalize_plain("form") if plain else nz.normalize("form")
+    toks = F.transform(tokenize(norm, F.col("lang")), lambda t: F.lower(t))
     f = forms.select("lang", toks.alias("t")).filter("size(t) > 0")
     n = F.explode(F.sequence(F.lit(1), F.size("t")))
     f = f.select("lang", "t", n.alias("n"))
     sep = "\x1f"
-    return f.groupBy(
+    g = f.groupBy(
         "lang", "n", F.array_join(F.slice("t", F.lit(1), F.col("n")), sep).alias("key"),
         F.get("t", F.lit(0)).alias("head"),
     ).agg(F.max(F.col("n") == F.size("t")).alias("is_term"), F.max(F.col("n") < F.size("t")).alias("is_open"))
+    return written(g, "prefixes")
 
 
 def prefix_hits(rows: DataFrame, keys: list[str], tokens: str, lang: str, prefixes: DataFrame) -> DataFrame:
     """Token spans that equal a dictionary prefix: (keys, start, end, n_tokens, is_term, is_open)."""
-    stat = prefixes.agg(F.max("n").alias("k"), F.sum(width("key", "head")).alias("size")).first()
-    k_max, size = stat["k"] or 1, stat["size"]
+    size = prefixes.agg(F.sum(width("key", "head")).alias("size")).first()["size"]
     heads = prefixes.groupBy("lang", "head").agg(F.sort_array(F.collect_set("n")).alias("sizes"))
-    low = F.transform(F.col(tokens), lambda t: F.lower(t))
-
-    def windows(ts: Column) -> Column:
-        return F.transform(
-            count_up(F.size(ts)),
-            lambda i: F.struct(i.alias("start"), F.slice(ts, i + 1, F.lit(k_max)).alias("win")),
-        )
-
-    w = rows.select(*keys, F.col(lang).alias("lang"), F.size(tokens).alias("n_tokens"),
-                    F.explode(let(low, windows)).alias("w"))
-    w = w.withColumn("head", F.get("w.win", F.lit(0)))
-    w = w.join(hint(heads, size), ["lang", "head"])
-    w = w.withColumn("n", F.explode("sizes")).filter(F.size("w.win") >= F.col("n"))
-    w = w.withColumn("key", F.array_join(F.slice("w.win", F.lit(1), F.col("n")), "\x1f"))
+    w = rows.select(*keys, F.col(lang).alias("lang"), F.size(tokens).alias("n_tokens"), F.col(tokens).alias("ts"),
+                    F.posexplode(tokens).alias("start", "head"))
+    w = w.withColumn("head", F.coalesce(F.lower("head"), F.lit(""))).join(hint(heads, size), ["lang", "head"])
+    w = w.withColumn("n", F.explode("sizes")).filter(F.col("start") + F.col("n") <= F.col("n_tokens"))
+    w = w.withColumn("win", F.slice("ts", F.col("start") + 1, F.col("n"))).drop("ts")
+    w = w.withColumn("key", F.coalesce(F.lower(F.array_join("win", "\x1f")), F.lit("")))
     # Several forms may share a prefix; the table holds each prefix once.
     side = prefixes.select("lang", "n", "key", "is_term", "is_open")
     return w.join(hint(side, size), ["lang", "n", "key"]).select(
-        *keys, F.col("w.start").alias("start"), (F.col("w.start") + F.col("n")).alias("end"), "n_tokens",
+        *keys, "start", (F.col("start") + F.col("n")).alias("end"), "n_tokens",
         "is_term", "is_open",
     )
 

@@ -45,25 +45,25 @@ def _tokens_text(c: str) -> Column:
 
 @query
 def collapsed_text(spark, sf):
-    d = inp.table(spark, sf, "documents")
+    d = inp.texts(spark, sf, "documents")
     return d.select("doc_id", _hash(tx.collapse_spaces("text")).alias("text_md5"))
 
 
 @query
 def tokens_by_lang(spark, sf):
-    d = inp.table(spark, sf, "documents").select("lang", F.explode(tx.tokenize("text", F.col("lang"))).alias("token"))
+    d = inp.texts(spark, sf, "documents").select("lang", F.explode(tx.tokenize("text", F.col("lang"))).alias("token"))
     return d.groupBy("lang", F.lower("token").alias("token")).agg(F.count("*").alias("n"))
 
 
 @query
 def tokens_table(spark, sf):
-    d = inp.table(spark, sf, "conversations")
+    d = inp.texts(spark, sf, "conversations")
     return d.select("conv_id", "turn", F.posexplode(tx.tokenize("text")).alias("pos", "token"))
 
 
 @query
 def detokenize_roundtrip(spark, sf):
-    d = inp.table(spark, sf, "documents")
+    d = inp.texts(spark, sf, "documents")
     back = tx.detokenize(tx.tokenize("text"))
     return d.select("doc_id", _hash(back).alias("text_md5"), (back == tx.collapse_spaces("text")).alias("same"))
 
@@ -82,19 +82,19 @@ def sentences_by_doc(spark, sf):
 
 @query
 def sentence_counts(spark, sf):
-    d = inp.table(spark, sf, "documents")
+    d = inp.texts(spark, sf, "documents")
     return d.select("doc_id", tx.count_sentences("text").alias("n_sentences"))
 
 
 @query
 def sentence_token_ends(spark, sf):
-    d = inp.table(spark, sf, "documents")
+    d = inp.texts(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(tx.sentence_token_ends("text", F.col("lang"))).alias("pos", "n_tokens"))
 
 
 @query
 def ends_phrase(spark, sf):
-    d = inp.table(spark, sf, "conversations")
+    d = inp.texts(spark, sf, "conversations")
     return d.select("conv_id", "turn", tx.ends_sentence("text").alias("complete"))
 
 
@@ -123,20 +123,20 @@ def common_prefixes(spark, sf):
 
 @query
 def sentence_case(spark, sf):
-    d = inp.table(spark, sf, "documents")
+    d = inp.texts(spark, sf, "documents")
     loud = d.withColumn("text", F.upper(F.replace("text", F.lit("ß"), F.lit("ss")))).withColumn("as_lang", F.lit("en"))
     return loud.select("doc_id", _hash(tx.sentence_case("text", F.col("as_lang"))).alias("text_md5"))
 
 
 @query
 def normalized_docs(spark, sf):
-    d = inp.table(spark, sf, "documents")
+    d = inp.texts(spark, sf, "documents")
     return d.select("doc_id", _hash(nz.normalize("text")).alias("folded_md5"), _hash(nz.normalize("text", False)).alias("cased_md5"))
 
 
 @query
 def spoken_or_display(spark, sf):
-    d = inp.table(spark, sf, "conversations")
+    d = inp.texts(spark, sf, "conversations")
     spoken = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, F.lower("text"))
     return d.select("conv_id", "turn", _hash(tx.spoken_or_display(spoken, F.col("text"))).alias("text_md5"))
 
@@ -221,7 +221,7 @@ def domain_terms(spark, sf):
 
 def _lang_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Language pairs asked for: every language of the corpus with every target of the fixed list."""
-    langs = inp.table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    langs = inp.texts(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"))
     targets = F.explode(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]))
     return langs.select(F.col("lang").alias("source"), targets.alias("target"), "n_docs")
 
@@ -257,12 +257,12 @@ def profile_counts(spark, sf):
 
 @query
 def auto_sources(spark, sf):
-    langs = inp.table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    langs = inp.texts(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"))
     return gl.auto_sources(langs, "en")
 
 
 def _vocabulary_split(spark: SparkSession, sf: str):
-    docs = inp.table(spark, sf, "documents")
+    docs = inp.texts(spark, sf, "documents")
     vocabulary = docs.filter("lang = 'en'").select(
         "lang", F.explode(F.array_distinct(F.transform(tx.tokenize("text"), lambda t: F.lower(t)))).alias("piece")
     )
@@ -284,7 +284,7 @@ def hotword_vocab(spark, sf):
 
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.find_terms(inp.table(spark, sf, "documents"), ["doc_id"], "text", "lang", inp.active_forms(spark))
+    return mt.find_terms(inp.texts(spark, sf, "documents"), ["doc_id"], "text", "lang", inp.active_forms(spark))
 
 
 @query
@@ -295,7 +295,7 @@ def term_matches(spark, sf):
 
 @query
 def bigram_matches(spark, sf):
-    docs = inp.table(spark, sf, "documents")
+    docs = inp.texts(spark, sf, "documents")
     g = inp.bigram_glossary(docs)
     tid = F.concat(F.lit("b"), F.col("rank"))
     terms = g.select(
@@ -360,14 +360,14 @@ def prefix_flags(spark, sf):
 
 @query
 def canonicalized_docs(spark, sf):
-    d = rw.canonicalize(inp.table(spark, sf, "documents"), ["doc_id"], "text", "lang", inp.active_forms(spark))
+    d = rw.canonicalize(inp.texts(spark, sf, "documents"), ["doc_id"], "text", "lang", inp.active_forms(spark))
     return d.select("doc_id", "n_corrections", _hash(F.col("canonical_text")).alias("text_md5"))
 
 
 @query
 def canonical_term_counts(spark, sf):
     """Flagship: canonicalize the corpus, then count canonical terms per language."""
-    d = rw.canonicalize(inp.table(spark, sf, "documents"), ["doc_id"], "text", "lang", inp.active_forms(spark))
+    d = rw.canonicalize(inp.texts(spark, sf, "documents"), ["doc_id"], "text", "lang", inp.active_forms(spark))
     d = d.select("doc_id", "lang", tx.collapse_spaces("canonical_text").alias("text"))
     m = mt.best_matches(mt.find_terms(d, ["doc_id"], "text", "lang", inp.active_forms(spark)), ["doc_id"])
     return m.groupBy("lang", "term_id").agg(F.count("*").alias("n_matches"), F.count_distinct("doc_id").alias("n_docs"))
@@ -376,7 +376,7 @@ def canonical_term_counts(spark, sf):
 @query
 def spoken_text(spark, sf):
     g = inp.glossary(spark)
-    d = rw.speak(inp.table(spark, sf, "documents"), ["doc_id"], "text", "lang", inp.active_forms(spark), g.spoken)
+    d = rw.speak(inp.texts(spark, sf, "documents"), ["doc_id"], "text", "lang", inp.active_forms(spark), g.spoken)
     return d.select("doc_id", "substitutions", _hash(F.col("spoken_text")).alias("text_md5"))
 
 
@@ -442,7 +442,7 @@ def stripped_context(spark, sf):
 
 @query
 def merged_lines(spark, sf):
-    c = inp.table(spark, sf, "conversations")
+    c = inp.texts(spark, sf, "conversations")
     g = c.withColumn("block", F.floor(F.col("turn") / 64)).groupBy("conv_id", "block").agg(
         F.array_sort(F.collect_list(F.struct(F.col("turn"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("text")))).alias("ls")
     )
@@ -521,7 +521,7 @@ def _unsteady(text: Column, source: Column, target: Column) -> Column:
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    d = inp.table(spark, sf, "documents").filter("lang = 'en'")
+    d = inp.texts(spark, sf, "documents").filter("lang = 'en'")
     return d.select(
         "doc_id", F.col("source").alias("stream_id"), F.col("doc_id").alias("revision"), "text",
         (F.col("doc_id") % 2 == 0).alias("is_final"),
@@ -542,7 +542,7 @@ def translated_with_fallback(spark, sf):
 
 @query
 def translated_through_pivot(spark, sf):
-    d = inp.table(spark, sf, "documents").filter("lang = 'fr'")
+    d = inp.texts(spark, sf, "documents").filter("lang = 'fr'")
     r = d.select("doc_id", F.col("source").alias("stream_id"), F.col("doc_id").alias("revision"), "text", F.lit(True).alias("is_final"))
     t = tr.translate_requests(r, ["doc_id"], ["fr", "en", "es"], inp.active_forms(spark), _bound(spark), tr.echo, fallback=False)
     return t.select("doc_id", "translated", "matches", "hops")
@@ -792,7 +792,7 @@ def session_report(spark, sf):
 
 @query
 def history(spark, sf):
-    c = inp.table(spark, sf, "conversations").withColumn("is_final", F.col("role") == "assistant")
+    c = inp.texts(spark, sf, "conversations").withColumn("is_final", F.col("role") == "assistant")
     d = ev.history(c, "conv_id", ["turn"], "text")
     return d.select("conv_id", "part", "n_texts", _hash(F.col("history")).alias("text_md5"))
 
@@ -828,7 +828,7 @@ def pacing(spark, sf):
 
 def _cases(spark: SparkSession, sf: str):
     """Expected terms are what the matcher finds; observed ones miss some and hold extra ones."""
-    docs = inp.table(spark, sf, "documents")
+    docs = inp.texts(spark, sf, "documents")
     m = mt.best_matches(_matches(spark, sf), ["doc_id"]).select(F.col("doc_id").alias("case_id"), "term_id")
     order = F.when(F.col("term_id") == "the_word", 1).when(F.col("term_id") == "of_word", 2).otherwise(3)
     seen = m.filter((F.col("case_id") + order) % 4 != 0)

@@ -32,6 +32,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of texts.  One that comes as fewer splits than there are cores, such as a single small
+    file, is spread over them, since text work costs far more than moving the rows."""
+    d = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def instant(c: str) -> Column:
     """A stored wall time as the UTC instant it means, whatever the time zone of the session."""
     return F.from_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone())
@@ -79,7 +87,7 @@ def bigram_glossary(docs: DataFrame, per_lang: int = 50) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations")
+    c = texts(spark, sf, "conversations")
     stream = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     return c.select("conv_id", "turn", stream.alias("stream_id"), "text", F.lit("en").alias("lang"))
 
@@ -167,5 +175,5 @@ def timed_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     return d.select("doc_id", "lang", F.posexplode(split_sentences("text")).alias("pos", "sentence"))

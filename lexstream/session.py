@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_BYTES = 64 << 20
+_LOCAL: dict[str, str] = {}
 
 
 def build_session(app: str = "lexstream", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,18 +50,20 @@ def small_side(df: DataFrame, *text_cols: str, limit: int = MAX_BROADCAST_BYTES)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a session without one must set it first."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    """The shared folder of the cluster; a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lexstream-"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Used where two branches read the result of a costly user function: the function then runs
-    once, and a lost executor re-reads files instead of recomputing.
+    Used for compiled dictionaries, and where two branches read the result of a costly user function:
+    the function then runs once, and a lost executor re-reads files instead of recomputing.
     """
     path = os.path.join(work_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
