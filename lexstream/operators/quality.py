@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import common_prefix, let
 
 
 def term_outcomes(expected: DataFrame, observed: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -42,23 +42,38 @@ def term_accuracy(outcomes: DataFrame, cases: DataFrame, *dims: str, minutes: st
 
 
 def character_errors(hypothesis: Column, reference: Column) -> Column:
-    """Edit distance in characters."""
-    return F.levenshtein(hypothesis, reference)
+    """Edit distance in characters.
+
+    Equal beginnings never change the distance and are cut off first, piece by piece: hypotheses of
+    one utterance mostly begin alike, and the distance costs the product of the lengths.
+    """
+
+    def differ(a: Column, b: Column) -> Column:
+        n = F.size(common_prefix(a, b))
+        rest = lambda x: F.array_join(F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0))), "")
+        return F.levenshtein(rest(a), rest(b))
+
+    short = lambda c: F.regexp_extract_all(c, F.lit("(?s).{1,16}"), F.lit(0))
+    return let(short(hypothesis), lambda a: let(short(reference), lambda b: differ(a, b)))
 
 
 def word_errors(hypothesis: Column, reference: Column) -> Column:
     """Edit distance in tokens of two token arrays.
 
-    The distinct tokens of the pair are numbered and each written as one character of the higher
-    planes, so that the built-in edit distance compares words.
+    Behind the common beginning, the distinct tokens of the pair are numbered and each written as one
+    character of the higher planes, so that the built-in edit distance compares words.
     """
-    vocabulary = F.array_distinct(F.concat(hypothesis, reference))
 
     def spell(ts: Column, v: Column) -> Column:
         code = lambda t: F.lpad(F.hex(F.array_position(v, t) + 0x10000), 8, "0")
         return F.array_join(F.transform(ts, lambda t: F.decode(F.unhex(code(t)), "UTF-32")), "")
 
-    return let(vocabulary, lambda v: F.levenshtein(spell(hypothesis, v), spell(reference, v)))
+    def differ(n: Column) -> Column:
+        rest = lambda x: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
+        a, b = rest(hypothesis), rest(reference)
+        return let(F.array_distinct(F.concat(a, b)), lambda v: F.levenshtein(spell(a, v), spell(b, v)))
+
+    return let(F.size(common_prefix(hypothesis, reference)), differ)
 
 
 def corpus_rate(pairs: DataFrame, errors: str, size: str, *by: str) -> DataFrame:
