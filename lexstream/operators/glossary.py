@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nz
 from ..functions.text import tokenize
 
-# Translation policies, languages and translation pairs of the reference dictionary.
+# Translation policies, languages, translation pairs, the rule for ids, the default boost.
 POLICIES = (
     "preferred_term",
     "preserve",

@@ -22,11 +22,11 @@ def duck():
 
 def canonical(df):
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "~"
         if type(v).__name__ in ("bool", "bool_"):
             return str(bool(v))
-        if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "if":
+        if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in ("i", "u", "f"):
             return repr(round(float(v), 6))
         return str(v)
 
