@@ -120,33 +120,45 @@ def sized(df: DataFrame, width: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if fits(df.count() if rows is None else rows, width) else df
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node of the links (a, b) has one parent, and parents have none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(links.select("b", F.lit(0)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("top"))
+    return seen.where("ups > 1 or (ups = 1 and top = 0)").limit(1).count() == 0
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of undirected edges (a, b); root is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until the edges stand still: logarithmically many
-    rounds, each a grouped minimum and a join.  The minima are stored first, so that both sides of the
-    join are shuffled for it and adaptive execution can split a hub's links.
+    Alternates the large-star and small-star steps until the links form stars: logarithmically many
+    rounds, each a grouped minimum and a join.  While the minima may be broadcast they are; beyond
+    that they are stored first, so that both sides of the join are shuffled for it and adaptive
+    execution can split a hub's links.
     """
     now = scratch.put(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    mark = None
-    while True:
+    while not _settled(now):
+        small_enough = fits(2 * now.count(), 48)
+        held = [now]
+
+        def side(least: DataFrame) -> DataFrame:
+            if small_enough:
+                return F.broadcast(least)
+            held.append(scratch.put(least))
+            return held[-1]
+
         both = now.union(now.select("b", "a"))
-        lowest = scratch.put(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        lowest = side(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = scratch.put(large.where("a <> b").distinct())
-        nearest = scratch.put(large.groupBy("a").agg(F.min("b").alias("m")))
+        held.append(large)
+        nearest = side(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(nearest, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")),
         )).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        after = scratch.put(small)
-        seen = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
-        for step in (now, lowest, large, nearest):
+        now = scratch.put(small)
+        for step in held:
             scratch.drop(step)
-        now = after
-        if seen == mark:
-            break
-        mark = seen
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

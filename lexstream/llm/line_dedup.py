@@ -126,7 +126,7 @@ def keep_bitmaps(
         for batch in batches:
             keep = []
             for positions in batch.column(2).to_pylist():
-                bits = np.ones(max(positions) + 1, np.uint8)
+                bits = np.ones(-(-(max(positions) + 1) // 8) * 8, np.uint8)
                 bits[positions] = 0
                 keep.append(zlib.compress(np.packbits(bits).tobytes(), 1))
             yield {"id": batch.column(0), "key": batch.column(1), "keep": keep}

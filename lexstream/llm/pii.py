@@ -192,9 +192,8 @@ def _listed(column: str):
 def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in every whole text of ``documents``."""
     found = extract_pii(table(spark, sf, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)
-    ]
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("spans").alias("spans")
     )
