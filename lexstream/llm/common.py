@@ -120,6 +120,20 @@ def sized(df: DataFrame, width: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if fits(df.count() if rows is None else rows, width) else df
 
 
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest place reachable by links (a, b) among n places."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _settled(links: DataFrame) -> bool:
     """Whether every node of the links (a, b) has one parent, and parents have none."""
     ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(links.select("b", F.lit(0)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_pass, components, grouped_pass, sized, table
+from .common import Scratch, arrow_pass, components, grouped_pass, local_roots, sized, table
 
 #: Vectors the rotations are learned on at most.
 SAMPLE = 20_000
@@ -94,20 +94,6 @@ def _classes(vectors: DataFrame, id_kind: str, dtype: str) -> DataFrame:
     return arrow_pass(vectors, step, f"id {id_kind}, class binary, raw binary")
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest place reachable by links (a, b) among n places."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _compare(bucket: dict, threshold: float) -> tuple[list, list]:
     """Counts and spanning edges of the links within a block, or between two blocks of a bucket."""
     x, w, codes, t, left, names = (bucket[c] for c in ("unit", "weight", "codes", "table", "left", "class"))
@@ -128,7 +114,7 @@ def _compare(bucket: dict, threshold: float) -> tuple[list, list]:
         first.append(a)
         second.append(b)
     a, b = np.concatenate(first), np.concatenate(second)
-    root = _local_roots(len(x), a, b) if len(a) else np.arange(len(x))
+    root = local_roots(len(x), a, b) if len(a) else np.arange(len(x))
     hit = np.flatnonzero(counts)
     away = np.flatnonzero(root != np.arange(len(x)))
     return [(names[k], int(counts[k])) for k in hit], [(names[k], names[root[k]]) for k in away]

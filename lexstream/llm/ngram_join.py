@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_pass, components, fresh, grouped_pass, sized, spaced, table, utf8
+from .common import Scratch, arrow_pass, components, fresh, grouped_pass, local_roots, sized, spaced, table, utf8
 
 #: Tokens of at most so many classes are rare: an entry of theirs never joins more classes.
 RARE = 64
@@ -321,7 +321,7 @@ def _rest_links(clusters: DataFrame, linked: DataFrame, sets: DataFrame, percent
         order = np.lexsort(key[::-1])
         key = key[:, order]
         edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-        reps, part = group.column("rep").to_numpy()[order], group.column("part").to_numpy()[order]
+        part = group.column("part").to_numpy()[order]
         is_rest = group.column("rest").to_numpy(zero_copy_only=False)[order]
         blobs = group.column("tokens").take(pa.array(order)).to_pylist()
         out_a, out_b = [], []
@@ -330,12 +330,20 @@ def _rest_links(clusters: DataFrame, linked: DataFrame, sets: DataFrame, percent
             if not len(r) or not len(e):
                 continue
             sets = {k: np.frombuffer(blobs[k], np.uint64) for k in range(a, b)}
+            # A part is named by its first class, and its classes are linked already: parts are what is joined here.
+            names, place = np.unique(part[a:b], return_inverse=True)
+            left, right = [], []
             for k, hits in _block_links([sets[k] for k in r], [sets[k] for k in e], percent):
-                new = e[hits][part[e[hits]] != part[r[k]]]
-                # One link to each component is enough.
-                _, first = np.unique(part[new], return_index=True)
-                out_a += [int(reps[r[k]])] * len(first)
-                out_b += reps[new[first]].tolist()
+                own, met = place[r[k] - a], np.unique(place[e[hits] - a])
+                met = met[met != own]
+                left.append(np.full(len(met), own))
+                right.append(met)
+            if not left:
+                continue
+            root = local_roots(len(names), np.concatenate(left), np.concatenate(right))
+            moved = np.flatnonzero(root != np.arange(len(names)))
+            out_a += names[moved].tolist()
+            out_b += names[root[moved]].tolist()
         return {"a": out_a, "b": out_b}
 
     return grouped_pass(rows.join(sets.select("rep", "tokens"), "rep"), ["group"], compare, "a long, b long")
