@@ -8,6 +8,7 @@ one.  A step needs only a few sums, so each is one distributed aggregate; rates
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_pass, fresh, table, utf8, words
+from .common import Scratch, arrow_pass, fresh, grouped_pass, sized, table, utf8, words
 
 #: Domains that the labels table tells apart, and the weights of the registered query.
 DOMAINS = ("good", "low", "toxic")
@@ -31,17 +32,21 @@ def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.coalesce(F.col(toxic), F.lit(0)) == 1, 2).when(F.col(quality) == 1, 0).when(F.col(quality) == 0, 1)
 
 
+_MARKS = re.compile(rb"[!$%&*#|@~^=+<>]{1,3}(?=\s|$)")
+_CAPITALS, _SMALL = bytes(range(65, 91)), bytes(range(97, 123))
+
+
 def _pieces(text: bytes | None) -> np.ndarray:
-    """Distinct hashes of the words of a text, of the marks that end its tokens, and of repeats."""
+    """Distinct hashes of the words of a text, of the marks before white space, of repeats and capitals."""
     if not text:
         return np.zeros(0, np.int64)
-    tokens = text.split()
-    found = set(words(text))
-    found.update(t[-3:] for t in tokens if t[-1:] in b"!$%&*#|@~^=+<>")
-    half = len(tokens) // 2
-    if half and sum(a == b for a, b in zip(tokens, tokens[1:])) >= half:
+    split = words(text)
+    found = set(split)
+    if len(split) >= 20 and len(found) * 6 <= len(split):
         found.add(b" repeats")
-    if half and sum(t.isupper() for t in tokens) >= half:
+    found.update(_MARKS.findall(text))
+    capitals, small = (len(text) - len(text.translate(None, letters)) for letters in (_CAPITALS, _SMALL))
+    if capitals > small:
         found.add(b" capitals")
     return np.unique(np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % HASHES)
 
@@ -70,7 +75,7 @@ def learn_membership(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     k = len(DOMAINS)
     marked = labels.withColumn("domain", domain_of()).where("doc_id is not null and domain is not null")
     marked = marked.groupBy("doc_id").agg(F.max("domain").alias("domain"))
-    rows = docs.select("doc_id", utf8(text_col).alias("text")).join(marked, "doc_id").select("doc_id", "text", "domain")
+    rows = docs.select("doc_id", utf8(text_col).alias("text")).join(sized(marked, 16), "doc_id").select("doc_id", "text", "domain")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros((k, HASHES + 1), np.int64)
@@ -78,13 +83,18 @@ def learn_membership(docs: DataFrame, labels: DataFrame, text_col: str = "text",
             for text, domain in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 total[domain, _pieces(text)] += 1
                 total[domain, HASHES] += 1
-        d, h = np.nonzero(total)
-        yield {"domain": d, "hash": h, "n": total[d, h]}
+        yield {"domain": list(range(k)), "counts": [zlib.compress(row.tobytes(), 1) for row in total]}
+
+    def add(group: pa.Table) -> dict:
+        total = np.sum([np.frombuffer(zlib.decompress(c), np.int64) for c in group.column("counts").to_pylist()], 0)
+        return {"domain": [group.column("domain")[0].as_py()], "counts": [zlib.compress(total.tobytes(), 1)]}
 
-    # At most k x (HASHES + 1) sums reach the driver, whatever the input.
+    # Each task sends one row of sums for each domain; they are added in two steps, and k rows reach the driver.
+    parts = arrow_pass(rows, count, "domain int, counts binary").withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(64)))
+    parts = grouped_pass(parts, ["domain", "salt"], add, "domain int, counts binary")
     counts = np.zeros((k, HASHES + 1))
-    for r in arrow_pass(rows, count, "domain int, hash int, n long").groupBy("domain", "hash").agg(F.sum("n").alias("n")).collect():
-        counts[r["domain"], r["hash"]] = r["n"]
+    for r in grouped_pass(parts, ["domain"], add, "domain int, counts binary").collect():
+        counts[r["domain"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     size, counts = counts[:, HASHES], counts[:, :HASHES]
     seen, total = counts.sum(0), max(size.sum(), 1)
     gain = np.zeros(HASHES)
@@ -96,31 +106,32 @@ def learn_membership(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     place = np.full(HASHES, -1)
     place[best] = np.arange(len(best))
 
-    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             at = [place[_pieces(t)] for t in batch.column(1).to_pylist()]
             yield {"x": [a[a >= 0].astype(np.int16).tobytes() for a in at], "y": batch.column(2)}
 
-    sample = arrow_pass(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain"), features, "x binary, y int")
+    few = docs.select("doc_id", utf8(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain")
+    sample = arrow_pass(few, features, "x binary, y int")
     sample = sorted((bytes(r["x"]), r["y"]) for r in sample.limit(2 * max_labelled).collect())
     weight, bias = np.zeros((SELECTED, k)), np.log(size + 0.5)
     if sample:
         x = np.zeros((len(sample), SELECTED), np.float32)
         for i, (held, _) in enumerate(sample):
             x[i, np.frombuffer(held, np.int16)] = 1
-        y = np.eye(k)[[d for _, d in sample]]
-        bias = np.log(y.mean(0) + 1e-3)
-        m, v = np.zeros((SELECTED + 1, k)), np.zeros((SELECTED + 1, k))
-        for t in range(1, 301):
+        y = np.eye(k, dtype=np.float32)[[d for _, d in sample]]
+        weight, bias = weight.astype(np.float32), np.log(y.mean(0) + 1e-3).astype(np.float32)
+        m, v = np.zeros((SELECTED + 1, k), np.float32), np.zeros((SELECTED + 1, k), np.float32)
+        for t in range(1, 201):
             z = x @ weight + bias
             p = np.exp(z - z.max(1, keepdims=True))
             d = (p / p.sum(1, keepdims=True) - y) / len(x)
             g = np.vstack([x.T @ d + 1e-4 * weight, d.sum(0)])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            weight, bias = weight - move[:-1], bias - move[-1]
+            weight, bias = weight - move[:-1].astype(np.float32), bias - move[-1].astype(np.float32)
     return Membership(place, weight, bias)
 
 
@@ -175,8 +186,9 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...], tolerance: float =
     Minimizes the squared distance of the expected totals ``S_k = sum_d r_d * tokens_d * p_dk`` from the
     targets over r >= 0, starting from r = 1.  The gradient of a row depends on the row by its posterior
     only; it is scaled by the Gram matrix of the rows that are not at zero, so a few steps do.  The
-    domain of the largest weight keeps its tokens, the others are thinned or repeated to fit.  Domains
-    that no row belongs to are left out of the targets; without tokens there is no step.
+    domain of the largest weight keeps its tokens and the others are thinned to fit; a domain that has
+    fewer tokens than its weight asks for keeps those it has, as no text is to be repeated.  Domains that
+    no row belongs to are left out of the targets; without tokens there is no step.
     """
     k = len(targets)
     have, gram = _sums(members, [], k)
@@ -184,7 +196,7 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...], tolerance: float =
     if not have.sum() or not want.sum():
         return [], {"have": have, "target": have, "got": have}
     lead = int(np.argmax(want))
-    target = want * have[lead] / want[lead]
+    target = np.minimum(want * have[lead] / want[lead], have)
     steps: list[np.ndarray] = []
     got, best = have, (np.inf, 0)
     for _ in range(rounds):
