@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
-from ..functions.text import tokenize
+from ..functions.text import is_blank, tokenize
 
 # Translation policies, languages, translation pairs, the rule for ids, the default boost.
 POLICIES = (
@@ -53,7 +53,7 @@ def validate_glossary(
     breach = lambda df, rule, detail: df.select(
         F.lit(rule).alias("rule"), "term_id", detail.cast("string").alias("detail")
     )
-    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    blank = lambda c: F.col(c).isNull() | is_blank(c)
     no_domains = F.col("domains").isNull() | (F.size("domains") == 0)
     formless = terms.join(forms.select("term_id").distinct(), "term_id", "left_anti")
     norm = forms.withColumn("norm", nz.normalize("form"))

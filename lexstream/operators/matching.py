@@ -63,7 +63,7 @@ def prepare_forms(forms: DataFrame, terms: DataFrame, case_sensitive_codes: bool
     d = d.select(
         "term_id", "lang", "form", "canonical", "is_alias", "policy", "priority", "sensitive", "bounded",
         "by_word", "norm", "key", tail.alias("head"), F.size("units").alias("n_units"),
-        (F.col("declaration_order") * 1000 + F.col("form_order")).alias("rank"),
+        (F.col("declaration_order").cast("long") * (1 << 32) + F.col("form_order")).alias("rank"),
         F.length("norm").alias("norm_len"),
     )
     # Compiled once: the joins below read it several times, and its rules stay out of their plans.
@@ -184,12 +184,20 @@ def find_terms(docs: DataFrame, keys: list[str], text: str, lang: str, forms: Da
         found = _matches(texts, keys, forms.filter(F.col("by_word") == row["by_word"]), br, row["k"], row["size"])
         out = found if out is None else out.unionByName(found)
     if out is None:
-        raise ValueError("the dictionary holds no form")
+        return _no_matches(docs, keys, lang, forms)
     # Only aligned texts can yield one original span twice, when a character folds to several.
     # No-boundary branches only; whole words cannot start inside a character.
     return out.drop("mode") if all(r["by_word"] for r in branches) else _distinct_spans(out, keys)
 
 
+def _no_matches(docs: DataFrame, keys: list[str], lang: str, forms: DataFrame) -> DataFrame:
+    """What an empty dictionary finds: no row, in the columns of all others."""
+    none = docs.select(*keys, F.col(lang).alias("lang")).where(F.lit(False))
+    held = ("term_id", "form", "canonical", "is_alias", "policy", "priority", "rank", "norm_len")
+    typed = [F.lit(None).cast(forms.schema[c].dataType).alias(c) for c in held]
+    return none.select("*", *typed, F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+
+
 def _distinct_spans(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.drop("mode").dropDuplicates([*keys, "term_id", "start", "end", "form"])
 

@@ -99,7 +99,7 @@ def _code_like(form: str) -> bool:
 
 FORM_ROWS = [
     (f[1], f[2] if _code_like(f[2]) else f[2].lower(), len(f[2].split()), _code_like(f[2]), f[0], f[2], f[4], f[5],
-     _RANKS[f[0]][2], _RANKS[f[0]][4] * 1000 + f[3], len(f[2]))
+     _RANKS[f[0]][2], _RANKS[f[0]][4] * 2**32 + f[3], len(f[2]))
     for f in _F if f[0] in {t[0] for t in ACTIVE}
 ]
 FORMS = values(FORM_ROWS, "lang, key, k, cased, term_id, form, canonical, is_alias, priority, rank, len")

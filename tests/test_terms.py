@@ -264,3 +264,25 @@ def test_pivot_protects_on_every_hop(spark, g, forms):
     out = run(spark, g, forms, tr.echo, route=("en", "vi", "en"))
     assert out[2].translated == "[en] [vi] Press the emergency stop button now. [en] [vi] Fine."
     assert out[2].hops == 4
+
+
+def test_empty_dictionary_changes_nothing(spark, g):
+    d = docs(spark, [(1, "en", "press the stop button"), (2, "en", None)])
+    none = mt.prepare_forms(g.forms, g.terms.limit(0))
+    assert mt.find_terms(d, ["id"], "text", "lang", none).isEmpty()
+    assert {r.id: r.text for r in rw.canonicalize(d, ["id"], "text", "lang", none).select("id", "text").collect()} == {
+        1: "press the stop button", 2: None}
+
+
+def test_many_forms_keep_the_declaration_order(spark):
+    forms = [("a", "en", f"one {k}", k, "one 0", k > 0, None) for k in range(1002)] + [("b", "en", "two", 0, "two", False, None)]
+    terms = [("a", ["x"], 1, "preserve", 0), ("b", ["x"], 1, "preserve", 1)]
+    d = mt.prepare_forms(spark.createDataFrame(forms, sg.FORMS), spark.createDataFrame(terms, sg.TERMS))
+    ranks = {r.form: r["rank"] for r in d.select("form", "rank").collect()}
+    assert len(set(ranks.values())) == 1003 and max(ranks, key=ranks.get) == "two"
+
+
+def test_blank_forms_of_any_white_space(spark, g):
+    odd = spark.createDataFrame([("stop_button", "en", "\t\u00a0", 9, "stop button", True, None)], sg.FORMS)
+    found = gl.validate_glossary(g.terms, g.forms.unionByName(odd), g.spoken)
+    assert "blank_form" in {r.rule for r in found.collect()}
