@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from . import patterns as p
 
-_CUT = "\uffff"
 _BLOCK = 64
 # The look-behind keeps the search linear over long runs of spaces inside the text.
 _TAIL = f"(?<![{p.SPACE}])[{p.SPACE}]++\\z"
@@ -122,8 +121,8 @@ def detokenize(tokens: Column | str, lang: Column | None = None) -> Column:
 
 def split_sentences(c: Column | str) -> Column:
     """Array of sentences; an unterminated tail is the last element."""
-    marked = F.regexp_replace(collapse_spaces(c), p.SENTENCE_END, "$0" + _CUT)
-    return F.filter(F.transform(F.split(marked, _CUT), lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.regexp_extract_all(collapse_spaces(c), F.lit(f"(?s).*?(?:{p.SENTENCE_END})|.+"), F.lit(0))
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def count_sentences(c: Column | str) -> Column:

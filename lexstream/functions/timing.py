@@ -30,8 +30,12 @@ def valid_words(words: Column) -> Column:
     return F.transform(ordered, lambda w: F.struct(w["text"], w["start"], w["end"], w["confidence"]).cast(WORD))
 
 
-def strip_context(words: Column, lang: Column, context_s: Column) -> Column:
-    """Struct (text, words) without the words of the acoustic overlap, times shifted to its end."""
+def strip_context(words: Column, lang: Column, context_s: Column, raw: Column | None = None) -> Column:
+    """Struct (text, words) without the words of the acoustic overlap, times shifted to its end.
+
+    Without an overlap, or without words, the text is ``raw``, the recognizer's own, if given.
+    """
+    context_s = F.greatest(context_s, F.lit(0.0))
     seen = F.filter(words, lambda w: w["start"] >= context_s - EDGE_S)
     shifted = F.transform(
         seen,
@@ -44,6 +48,9 @@ def strip_context(words: Column, lang: Column, context_s: Column) -> Column:
     )
     texts = F.transform(seen, lambda w: w["text"])
     joined = F.when(lang == "zh", F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
+    if raw is not None:
+        own = (F.coalesce(context_s, F.lit(0.0)) <= 0) | (F.coalesce(F.size(words), F.lit(0)) <= 0)
+        joined = F.when(own, raw).otherwise(joined)
     return F.struct(joined.alias("text"), shifted.cast(f"array<{WORD}>").alias("words"))
 
 

@@ -89,12 +89,13 @@ def history(rows: DataFrame, session: str, order: list[str], text: str, rows_per
     the whole history.
     """
     d = rows.filter(F.col("is_final") & ~is_blank(F.col(text)))
-    d = d.withColumn("__hash", F.floor(F.col(order[0]) / rows_per_part))
-    g = d.groupBy(session, "__hash").agg(
+    d = blocks.numbered(d, [session], order, F.floor(F.col(order[0]) / 1024), "__n")
+    d = d.withColumn("__part", F.floor((F.col("__n") - 1) / rows_per_part))
+    g = d.groupBy(session, "__part").agg(
         F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__text")))).alias("ts"), F.count("*").alias("n_texts")
     )
     joined = F.array_join(F.transform("ts", lambda x: x["__text"]), "\n\n")
-    return g.select(session, F.col("__hash").alias("part"), "n_texts", joined.alias("history"))
+    return g.select(session, F.col("__part").alias("part"), "n_texts", joined.alias("history"))
 
 
 def last_messages(events: DataFrame, session: str, n: int = 5, types: tuple[str, ...] = ("overload", "error")) -> DataFrame:

@@ -158,11 +158,11 @@ def derived_measures(spark, sf):
 
 
 def _doc_glossary(spark: SparkSession, sf: str):
-    """A glossary drawn from the benchmark table: the first words of each item, with seeded faults."""
+    """A glossary drawn from the benchmark table: the words of each whole item, with seeded faults."""
     b = inp.table(spark, sf, "benchmark")
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 3)
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     i = F.col("item_id")
-    d = b.withColumn("w", words).filter("size(w) = 3")
+    d = b.withColumn("w", words).filter("size(w) > 0")
     tid = F.when(i % 10 == 3, F.concat(F.lit("Term"), i)).otherwise(F.concat(F.lit("term_"), i))
     terms = d.select(
         tid.alias("term_id"),
@@ -172,7 +172,7 @@ def _doc_glossary(spark: SparkSession, sf: str):
         F.when(i % 9 == 1, "keep").otherwise("preserve").alias("policy"), i.cast("int").alias("declaration_order"),
     )
     canonical = F.array_join("w", " ")
-    alias = F.when(i % 5 == 0, F.upper(canonical)).when(i % 5 == 1, F.left(F.get("w", F.lit(0)), F.lit(2))).otherwise(F.get("w", F.lit(1)))
+    alias = F.when(i % 5 == 0, F.upper(canonical)).when(i % 5 == 1, F.left(F.get("w", F.lit(0)), F.lit(2))).otherwise(F.element_at("w", -1))
     rows = F.posexplode(F.array(canonical, alias))
     forms = d.select(
         tid.alias("term_id"), F.when(i % 8 == 6, "xx").otherwise("en").alias("lang"), canonical.alias("canonical"), i,
@@ -263,8 +263,8 @@ def auto_sources(spark, sf):
 
 def _vocabulary_split(spark: SparkSession, sf: str):
     docs = inp.texts(spark, sf, "documents")
-    vocabulary = docs.filter("lang = 'en'").select(
-        "lang", F.explode(F.array_distinct(F.transform(tx.tokenize("text"), lambda t: F.lower(t)))).alias("piece")
+    vocabulary = docs.select(
+        F.lit("en").alias("lang"), F.explode(F.array_distinct(F.transform(tx.tokenize("text"), lambda t: F.lower(t)))).alias("piece")
     )
     b = inp.table(spark, sf, "benchmark")
     units = b.select(
@@ -297,13 +297,13 @@ def term_matches(spark, sf):
 def bigram_matches(spark, sf):
     docs = inp.texts(spark, sf, "documents")
     g = inp.bigram_glossary(docs)
-    tid = F.concat(F.lit("b"), F.col("rank"))
+    tid = F.concat("lang", F.lit(":"), "form")
     terms = g.select(
-        F.concat(tid, F.lit("_"), "lang").alias("term_id"), F.lit(1).alias("priority"), F.lit("preserve").alias("policy"),
-        F.col("rank").alias("declaration_order"),
+        tid.alias("term_id"), F.lit(1).alias("priority"), F.lit("preserve").alias("policy"),
+        F.lit(0).alias("declaration_order"),
     )
     forms = g.select(
-        F.concat(tid, F.lit("_"), "lang").alias("term_id"), "lang", "form", F.lit(0).alias("form_order"),
+        tid.alias("term_id"), "lang", "form", F.lit(0).alias("form_order"),
         F.col("form").alias("canonical"), F.lit(False).alias("is_alias"), F.lit(None).cast("double").alias("boost"),
     )
     found = mt.find_terms(docs, ["doc_id"], "text", "lang", mt.prepare_forms(forms, terms, case_sensitive_codes=False))
@@ -351,8 +351,9 @@ def open_suffix(spark, sf):
 @query
 def prefix_flags(spark, sf):
     h = inp.hypotheses(spark, sf)
-    tail = h.withColumn("tail", F.slice("tokens", F.greatest(F.size("tokens") - 1, F.lit(1)), F.lit(2)))
-    return mt.prefix_flags(tail, ["stream_id", "revision"], "tail", "lang", inp.active_prefixes(spark))
+    at = h.select("stream_id", "revision", "lang", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens"))).alias("pos"))
+    pairs = at.withColumn("pair", F.slice("tokens", F.col("pos"), F.lit(2))).drop("tokens")
+    return mt.prefix_flags(pairs, ["stream_id", "revision", "pos"], "pair", "lang", inp.active_prefixes(spark))
 
 
 # Rewriting --------------------------------------------------------------------------------------
@@ -435,27 +436,34 @@ def stripped_context(spark, sf):
         ),
     )
     d = d.withColumn("good", tm.valid_words(bad))
-    s = tm.strip_context(F.col("good"), F.col("lang"), F.lit(1.0))
-    d = d.withColumn("s", s)
+    context = F.when(F.col("turn") % 3 == 0, 0.0).otherwise(1.0)
+    d = d.withColumn("s", tm.strip_context(F.col("good"), F.col("lang"), context, F.col("text")))
     return d.select("conv_id", "turn", F.size("good").alias("n_valid"), F.size("s.words").alias("n_kept"), _hash(F.col("s.text")).alias("text_md5"))
 
 
 @query
 def merged_lines(spark, sf):
     c = inp.texts(spark, sf, "conversations")
-    g = c.withColumn("block", F.floor(F.col("turn") / 64)).groupBy("conv_id", "block").agg(
+    c = c.withColumn("newest", -F.col("turn"))
+    c = blocks.numbered(c, ["conv_id"], ["newest"], F.floor(F.col("newest") / 1024), "n")
+    g = c.withColumn("part", F.floor((F.col("n") - 1) / 4096)).groupBy("conv_id", "part").agg(
         F.array_sort(F.collect_list(F.struct(F.col("turn"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("text")))).alias("ls")
     )
     lines = F.transform("ls", lambda x: F.struct((-x["turn"]).cast("double").alias("start"), x["text"].alias("text")))
-    return g.select("conv_id", "block", _hash(tm.merge_lines(lines)).alias("text_md5"))
+    return g.select("conv_id", "part", _hash(tm.merge_lines(lines)).alias("text_md5"))
 
 
 # Translation ------------------------------------------------------------------------------------
 
 
-def _english(spark: SparkSession, sf: str) -> DataFrame:
-    d = inp.sentence_rows(spark, sf).filter("lang = 'en'")
-    return d.withColumn("source", F.lit("en")).withColumn("target", F.lit("fr"))
+def _other(lang: Column) -> Column:
+    """The language a text goes to: French, and English for French ones."""
+    return F.when(lang == "fr", "en").otherwise("fr")
+
+
+def _sentences(spark: SparkSession, sf: str) -> DataFrame:
+    d = inp.sentence_rows(spark, sf)
+    return d.withColumn("source", F.col("lang")).withColumn("target", _other(F.col("lang")))
 
 
 def _bound(spark: SparkSession) -> DataFrame:
@@ -472,37 +480,39 @@ def target_forms(spark, sf):
 
 @query
 def protected_text(spark, sf):
-    d = rw.term_spans(_english(spark, sf), ["doc_id", "pos"], "sentence", "source", "target", inp.active_forms(spark), _bound(spark))
+    d = rw.term_spans(_sentences(spark, sf), ["doc_id", "pos"], "sentence", "source", "target", inp.active_forms(spark), _bound(spark))
     text = rw.protected(F.col("sentence"), F.col("spans"), p.PLACEHOLDER_FORMATS[0])
     return d.select("doc_id", "pos", F.size("spans").alias("n_terms"), text.alias("protected"))
 
 
 def _faulty(text: Column, kind: Column) -> Column:
-    """Outputs a translator may spoil: lost, doubled, rewritten, extra placeholders."""
-    one = F.lit("__TERM_0001__")
+    """Outputs a translator may spoil: lost, doubled, rewritten, extra, swapped placeholders."""
+    one, two, held = F.lit("__TERM_0001__"), F.lit("__TERM_0002__"), F.lit("\x01")
+    swapped = F.replace(F.replace(F.replace(text, one, held), two, one), held, two)
     return (
         F.when(kind == 1, F.replace(text, one, F.lit("")))
         .when(kind == 2, F.concat(text, F.lit(" "), one))
         .when(kind == 3, F.replace(text, F.lit("__TERM_"), F.lit("__term_ ")))
         .when(kind == 4, F.concat(text, F.lit(" __TERM_9999__")))
+        .when((kind == 5) & text.contains("__TERM_0002__"), swapped)
         .otherwise(text)
     )
 
 
 @query
 def validated(spark, sf):
-    d = rw.term_spans(_english(spark, sf), ["doc_id", "pos"], "sentence", "source", "target", inp.active_forms(spark), _bound(spark))
-    d = d.filter("size(spans) > 0").withColumn("marks", rw.placeholders(F.col("spans"), p.PLACEHOLDER_FORMATS[0]))
-    d = d.withColumn("out", _faulty(rw.protected(F.col("sentence"), F.col("spans"), p.PLACEHOLDER_FORMATS[0]), F.col("doc_id") % 5))
+    d = rw.term_spans(_sentences(spark, sf), ["doc_id", "pos"], "sentence", "source", "target", inp.active_forms(spark), _bound(spark))
+    d = d.withColumn("marks", rw.placeholders(F.col("spans"), p.PLACEHOLDER_FORMATS[0]))
+    d = d.withColumn("out", _faulty(rw.protected(F.col("sentence"), F.col("spans"), p.PLACEHOLDER_FORMATS[0]), F.col("doc_id") % 6))
     d = d.withColumn("restored", tr.restore(F.col("out"), F.col("marks"), F.col("spans")))
-    fault = tr.check(F.col("out"), F.col("marks"), F.col("restored"))
+    fault = tr.check(F.col("out"), F.col("marks"), F.col("restored"), in_order=True)
     d = d.withColumn("fault", F.coalesce(fault, F.lit("none")))
     return d.groupBy("doc_id", "fault").agg(F.count("*").alias("n"))
 
 
 @query
 def restored(spark, sf):
-    d = rw.term_spans(_english(spark, sf), ["doc_id", "pos"], "sentence", "source", "target", inp.active_forms(spark), _bound(spark))
+    d = rw.term_spans(_sentences(spark, sf), ["doc_id", "pos"], "sentence", "source", "target", inp.active_forms(spark), _bound(spark))
     marks = rw.placeholders(F.col("spans"), p.PLACEHOLDER_FORMATS[0])
     out = rw.protected(F.col("sentence"), F.col("spans"), p.PLACEHOLDER_FORMATS[0])
     return d.select("doc_id", "pos", tr.restore(out, marks, F.col("spans")).alias("restored"))
@@ -521,36 +531,38 @@ def _unsteady(text: Column, source: Column, target: Column) -> Column:
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    d = inp.texts(spark, sf, "documents").filter("lang = 'en'")
+    d = inp.texts(spark, sf, "documents")
     return d.select(
-        "doc_id", F.col("source").alias("stream_id"), F.col("doc_id").alias("revision"), "text",
+        "doc_id", F.array("lang", _other(F.col("lang"))).alias("route"), F.col("source").alias("stream_id"), F.col("doc_id").alias("revision"), "text",
         (F.col("doc_id") % 2 == 0).alias("is_final"),
     )
 
 
 @query
 def translated(spark, sf):
-    t = tr.translate_requests(_requests(spark, sf), ["doc_id"], ["en", "fr"], inp.active_forms(spark), _bound(spark), _unsteady, fallback=False)
+    t = tr.translate_requests(_requests(spark, sf), ["doc_id"], "route", inp.active_forms(spark), _bound(spark), _unsteady, hops=1, fallback=False)
     return t.select("doc_id", "translated", *tr.STATS, "cache_hits", "faults")
 
 
 @query
 def translated_with_fallback(spark, sf):
-    t = tr.translate_requests(_requests(spark, sf), ["doc_id"], ["en", "fr"], inp.active_forms(spark), _bound(spark), _unsteady)
+    t = tr.translate_requests(_requests(spark, sf), ["doc_id"], "route", inp.active_forms(spark), _bound(spark), _unsteady, hops=1)
     return t.select("doc_id", "translated", *tr.STATS, "cache_hits")
 
 
 @query
 def translated_through_pivot(spark, sf):
-    d = inp.texts(spark, sf, "documents").filter("lang = 'fr'")
-    r = d.select("doc_id", F.col("source").alias("stream_id"), F.col("doc_id").alias("revision"), "text", F.lit(True).alias("is_final"))
-    t = tr.translate_requests(r, ["doc_id"], ["fr", "en", "es"], inp.active_forms(spark), _bound(spark), tr.echo, fallback=False)
+    d = inp.texts(spark, sf, "documents")
+    last = F.when(F.col("lang") == "es", "fr").otherwise("es")
+    route = F.when(F.col("lang") == "en", F.array("lang", last)).otherwise(F.array(F.col("lang"), F.lit("en"), last))
+    r = d.select("doc_id", route.alias("route"), F.col("source").alias("stream_id"), F.col("doc_id").alias("revision"), "text", F.lit(True).alias("is_final"))
+    t = tr.translate_requests(r, ["doc_id"], "route", inp.active_forms(spark), _bound(spark), tr.echo, fallback=False)
     return t.select("doc_id", "translated", "matches", "hops")
 
 
 @query
 def translation_stats(spark, sf):
-    t = tr.translate_requests(_requests(spark, sf), ["doc_id"], ["en", "fr"], inp.active_forms(spark), _bound(spark), tr.echo, fallback=False)
+    t = tr.translate_requests(_requests(spark, sf), ["doc_id"], "route", inp.active_forms(spark), _bound(spark), tr.echo, hops=1, fallback=False)
     return t.groupBy("stream_id").agg(*[F.sum(c).alias(c) for c in (*tr.STATS, "cache_hits")])
 
 
@@ -560,16 +572,15 @@ def translation_stats(spark, sf):
 @query
 def latest_partials(spark, sf):
     b = inp.busy_streams(spark, sf)
-    slot = F.concat_ws("-", F.col("turn").cast("string"), F.floor(F.unix_millis("at") / 2000).cast("string"))
+    slot = F.concat_ws("-", F.col("turn").cast("string"), F.col("utt").cast("string"), F.floor(F.unix_millis("at") / 2000).cast("string"))
     d = rv.latest_partials(b, "stream_id", slot, "revision")
-    return d.select("conv_id", "turn", "revision", "is_final", F.size("tokens").alias("n_tokens"), "coalesced")
+    return d.select("conv_id", "turn", "utt", "revision", "is_final", F.size("tokens").alias("n_tokens"), "coalesced")
 
 
 @query
 def revision_guard(spark, sf):
     b = inp.busy_streams(spark, sf)
-    shuffled = b.withColumn("result", F.col("revision") - F.when(F.col("seq") % 4 == 0, 3).otherwise(0))
-    shuffled = shuffled.withColumn("result", F.col("turn") * 100 + F.col("result"))
+    shuffled = b.withColumn("result", F.col("seq") - F.when(F.col("seq") % 4 == 0, 3).otherwise(0))
     d = rv.revision_guard(shuffled, "stream_id", "seq", "result")
     return d.groupBy("conv_id").agg(F.count_if("stale").alias("stale"), F.count("*").alias("n"))
 
@@ -578,7 +589,7 @@ def revision_guard(spark, sf):
 def changed_only(spark, sf):
     b = inp.busy_streams(spark, sf).withColumn("shown", F.floor(F.size("tokens") / 12))
     d = rv.changed_only(b, "stream_id", "seq", "shown")
-    return d.select("conv_id", "turn", "revision", "shown")
+    return d.select("conv_id", "turn", "utt", "revision", "shown")
 
 
 @query
@@ -590,7 +601,7 @@ def revision_numbers(spark, sf):
 @query
 def utterance_ids(spark, sf):
     d = rv.utterances(inp.busy_streams(spark, sf), "stream_id", "seq")
-    return d.select("conv_id", "turn", "revision", "utterance")
+    return d.select("conv_id", "turn", "utt", "revision", "utterance")
 
 
 @query
@@ -610,7 +621,7 @@ def overload_generations(spark, sf):
 @query
 def frozen_partials(spark, sf):
     h = inp.hypotheses(spark, sf)
-    ends = h.filter("not is_final").groupBy("stream_id").agg(F.min(F.when(F.size("tokens") >= 20, F.col("revision"))).alias("endpoint"))
+    ends = h.filter("not is_final").groupBy("stream_id").agg(F.min(F.when(F.size("tokens") >= 10, F.col("revision"))).alias("endpoint"))
     d = rv.freeze_after_endpoint(h.join(ends, "stream_id", "left"), "stream_id", "endpoint")
     return d.groupBy("stream_id").agg(F.count("*").alias("n"), F.max("revision").alias("last"))
 
@@ -618,8 +629,8 @@ def frozen_partials(spark, sf):
 @query
 def finals_in_order(spark, sf):
     b = inp.busy_streams(spark, sf).filter("is_final")
-    d = blocks.numbered(b, ["stream_id"], ["turn", "revision"], F.floor(F.col("turn") / 64), "place")
-    return d.select("conv_id", "turn", "place")
+    d = blocks.numbered(b, ["stream_id"], ["seq"], F.floor(F.col("seq") / 1024), "place")
+    return d.select("conv_id", "turn", "utt", "place")
 
 
 @query
@@ -792,7 +803,7 @@ def session_report(spark, sf):
 
 @query
 def history(spark, sf):
-    c = inp.texts(spark, sf, "conversations").withColumn("is_final", F.col("role") == "assistant")
+    c = inp.texts(spark, sf, "conversations").withColumn("is_final", F.lit(True))
     d = ev.history(c, "conv_id", ["turn"], "text")
     return d.select("conv_id", "part", "n_texts", _hash(F.col("history")).alias("text_md5"))
 

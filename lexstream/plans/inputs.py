@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_sentences, tokenize
@@ -12,6 +12,7 @@ from ..operators.glossary import activate
 from ..sources.glossary import FORMS, SPOKEN, TERMS, Glossary
 
 LANGS = ("en", "fr", "de", "es")
+STEP = 5
 
 # The sample dictionary: (id, domains, priority, policy, {lang: (canonical, aliases)}, {lang: spoken}).
 ENTRIES = [
@@ -76,14 +77,13 @@ def active_prefixes(spark: SparkSession) -> DataFrame:
     return mt.prefix_table(g.forms.join(activate(g.terms, g.default_domains), "term_id", "left_semi"))
 
 
-def bigram_glossary(docs: DataFrame, per_lang: int = 50) -> DataFrame:
-    """The most frequent word pairs of each language as a dictionary of ``per_lang`` forms."""
+def bigram_glossary(docs: DataFrame, min_support: int = 10) -> DataFrame:
+    """Every word pair that a language holds ``min_support`` times, as a dictionary that grows with the corpus."""
     words = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.lower(w))
     d = docs.select("lang", words.alias("w"))
     pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     d = d.select("lang", F.explode(F.array_compact(pairs)).alias("form")).groupBy("lang", "form").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.desc("n"), "form")
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_lang)
+    return d.filter(F.col("n") >= min_support)
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,23 +93,24 @@ def conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hypotheses(spark: SparkSession, sf: str) -> DataFrame:
-    """Growing hypotheses of every turn: about forty revisions at most, the last one final and whole.
+    """Growing hypotheses of every sentence of every turn, ``STEP`` tokens more each time, the last final and whole.
 
-    Odd partials end in a wrong token.  Revisions are half a second apart.
+    Odd partials end in a wrong token.  Revisions are half a second apart, sentences a minute, turns an hour.
     """
-    d = conversations(spark, sf).withColumn("all", tokenize("text")).filter("size(all) > 0")
-    step = F.greatest(F.lit(5), F.ceil(F.size("all") / 40).cast("int"))
-    d = d.withColumn("step", step).withColumn("k_max", F.ceil(F.size("all") / F.col("step")).cast("int"))
+    d = conversations(spark, sf).select("conv_id", "turn", "lang", F.posexplode(split_sentences("text")).alias("utt", "sentence"))
+    stream = F.concat_ws("-", *[F.col(c).cast("string") for c in ("conv_id", "turn", "utt")])
+    d = d.withColumn("stream_id", stream).withColumn("all", tokenize("sentence")).filter("size(all) > 0")
+    d = d.withColumn("k_max", F.ceil(F.size("all") / STEP).cast("int"))
     d = d.withColumn("revision", F.explode(F.sequence(F.lit(1), F.col("k_max"))))
     final = F.col("revision") == F.col("k_max")
-    size = F.least(F.size("all"), F.col("step") * F.col("revision"))
+    size = F.least(F.size("all"), STEP * F.col("revision"))
     whole = F.slice("all", F.lit(1), size)
     wrong = F.concat(F.slice("all", F.lit(1), size - 1), F.array(F.lit("zz")))
     at = F.timestamp_millis(
-        F.lit(1704067200000) + F.col("conv_id") * 1000 + F.col("turn") * 60000 + F.col("revision") * 500
+        F.lit(1704067200000) + F.col("conv_id") * 1000 + F.col("turn") * 3600000 + F.col("utt") * 60000 + F.col("revision") * 500
     )
     return d.select(
-        "conv_id", "turn", "stream_id", "revision", "lang",
+        "conv_id", "turn", "utt", "stream_id", "revision", "lang",
         F.when(~final & (F.col("revision") % 2 == 1), wrong).otherwise(whole).alias("tokens"),
         final.alias("is_final"), at.alias("at"),
     )
@@ -118,7 +119,8 @@ def hypotheses(spark: SparkSession, sf: str) -> DataFrame:
 def busy_streams(spark: SparkSession, sf: str) -> DataFrame:
     """The same rows with one stream per conversation: many utterances, ``seq`` over all of them."""
     h = hypotheses(spark, sf).drop("stream_id")
-    return h.withColumn("stream_id", F.col("conv_id")).withColumn("seq", F.col("turn") * 100 + F.col("revision"))
+    h = h.withColumn("stream_id", F.col("conv_id"))
+    return blocks.numbered(h, ["stream_id"], ["turn", "utt", "revision"], F.col("turn"), "seq")
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:

@@ -203,14 +203,17 @@ oracle("restore_punctuation", f"""
   FROM q GROUP BY doc_id""")
 
 HYP = f"""
-  h0 AS (SELECT conv_id, turn, conv_id || '-' || turn AS stream_id, {tokens('text')} AS a FROM conversations),
-  h1 AS (SELECT *, greatest(5, CAST(ceil(len(a) / 40.0) AS INT)) AS step FROM h0 WHERE len(a) > 0),
+  hs AS (SELECT conv_id, turn, {sentences('text')} AS l FROM conversations),
+  hu AS (SELECT conv_id, turn, generate_subscripts(l, 1) - 1 AS utt, unnest(l) AS s FROM hs),
+  h0 AS (SELECT conv_id, turn, utt, conv_id || '-' || turn || '-' || utt AS stream_id, {tokens('s')} AS a FROM hu),
+  h1 AS (SELECT *, 5 AS step FROM h0 WHERE len(a) > 0),
   h2 AS (SELECT *, CAST(ceil(len(a) * 1.0 / step) AS INT) AS kmax FROM h1),
   h3 AS (SELECT *, unnest(range(1, kmax + 1)) AS revision FROM h2),
   h4 AS (SELECT *, least(len(a), step * revision) AS sz, revision = kmax AS is_final FROM h3),
-  h AS (SELECT conv_id, turn, stream_id, revision, is_final, turn * 100 + revision AS seq,
+  h AS (SELECT conv_id, turn, utt, stream_id, revision, is_final, len(a) AS n_ref, sz, array_to_string(a, ' ') AS ref,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, utt, revision) AS seq,
     CASE WHEN NOT is_final AND revision % 2 = 1 THEN list_concat(a[1:sz - 1], ['zz']) ELSE a[1:sz] END AS tokens,
-    1704067200000 + conv_id * 1000 + turn * 60000 + revision * 500 AS ms FROM h4)"""
+    1704067200000 + conv_id * 1000 + turn * 3600000 + utt * 60000 + revision * 500 AS ms FROM h4)"""
 
 
 def lcp(a: str, b: str) -> str:
@@ -241,12 +244,12 @@ oracle("derived_measures", """
 # Glossary ---------------------------------------------------------------------------------------
 
 DOC_GLOSSARY = f"""
-  gw AS (SELECT item_id AS i, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')[1:3] AS w FROM benchmark),
+  gw AS (SELECT item_id AS i, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark),
   gd AS (SELECT *, CASE WHEN i % 10 = 3 THEN 'Term' || i ELSE 'term_' || i END AS term_id, array_to_string(w, ' ') AS canonical
-    FROM gw WHERE len(w) = 3),
+    FROM gw WHERE len(w) > 0),
   gt AS (SELECT i, term_id, CASE WHEN i % 11 = 4 THEN [] WHEN i % 7 = 2 THEN ['a', 'a'] ELSE ['d' || (i % 3)] END AS domains,
     CASE WHEN i % 13 <> 5 THEN i % 4 END AS priority, CASE WHEN i % 9 = 1 THEN 'keep' ELSE 'preserve' END AS policy FROM gd),
-  ga AS (SELECT *, CASE WHEN i % 5 = 0 THEN upper(canonical) WHEN i % 5 = 1 THEN left(w[1], 2) ELSE w[2] END AS alias FROM gd),
+  ga AS (SELECT *, CASE WHEN i % 5 = 0 THEN upper(canonical) WHEN i % 5 = 1 THEN left(w[1], 2) ELSE w[-1] END AS alias FROM gd),
   gf AS (SELECT i, term_id, CASE WHEN i % 8 = 6 THEN 'xx' ELSE 'en' END AS lang, u.form, u.form_order, canonical,
       CASE WHEN i % 12 = 7 THEN -1.0 WHEN i % 3 = 0 THEN 2.5 END AS boost, lower(u.form) AS norm
     FROM ga, LATERAL (SELECT canonical AS form, 0 AS form_order UNION ALL SELECT alias, 1) u),
@@ -323,7 +326,7 @@ oracle("profile_counts", f"""
   FROM r LEFT JOIN a ON a.lang = source LEFT JOIN v ON v.lang = target WHERE route IS NOT NULL""")
 oracle("auto_sources", "SELECT lang, count(*) AS n_docs FROM documents WHERE lang <> 'en' GROUP BY lang")
 oracle("hotword_vocab", f"""
-  WITH v AS (SELECT DISTINCT lower(t) AS t FROM (SELECT unnest({tokens('text')}) AS t FROM documents WHERE lang = 'en')),
+  WITH v AS (SELECT DISTINCT lower(t) AS t FROM (SELECT unnest({tokens('text')}) AS t FROM documents)),
   u AS (SELECT item_id, lower(unnest({tokens('text')})) AS t FROM benchmark)
   SELECT item_id AS term_id, bool_and(v.t IS NOT NULL) AS accepted FROM u LEFT JOIN v USING (t) GROUP BY item_id""")
 
@@ -340,7 +343,7 @@ oracle("bigram_matches", f"""
       regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents),
   pr AS (SELECT lang, unnest([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS form FROM w0),
   top AS (SELECT lang, form FROM (SELECT lang, form, count(*) AS n FROM pr GROUP BY ALL)
-    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, form) <= 50),
+    WHERE n >= 10),
   px AS (SELECT doc_id, lang, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM w0),
   g AS (SELECT doc_id, lang, lower(piece) || regexp_replace(lead(piece) OVER x, '[{SP}]+', ' ', 'g') || lower(lead(piece, 2) OVER x) AS form
     FROM px WINDOW x AS (PARTITION BY doc_id ORDER BY i))
@@ -371,8 +374,9 @@ _q = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 oracle("open_suffix", f"""
   WITH {HYP} SELECT stream_id, revision, len(tokens) - 1 AS open_start FROM h WHERE lower(tokens[-1]) IN {_q(_OPEN)}""")
 oracle("prefix_flags", f"""
-  WITH {HYP}, t AS (SELECT stream_id, revision, lower(array_to_string(tokens[greatest(len(tokens) - 1, 1):], ' ')) AS x FROM h)
-  SELECT stream_id, revision, x IN {_q(sorted({*_EN1, *_EN2, *_OPEN}))} AS is_prefix, x IN {_q(sorted({*_EN1, *_EN2}))} AS is_term,
+  WITH {HYP}, u AS (SELECT stream_id, revision, tokens, unnest(range(1, len(tokens) + 1)) AS pos FROM h),
+  t AS (SELECT stream_id, revision, pos, lower(array_to_string(tokens[pos:pos + 1], ' ')) AS x FROM u)
+  SELECT stream_id, revision, pos, x IN {_q(sorted({*_EN1, *_EN2, *_OPEN}))} AS is_prefix, x IN {_q(sorted({*_EN1, *_EN2}))} AS is_term,
     x IN {_q(_OPEN)} AS is_open FROM t""")
 
 # Rewriting --------------------------------------------------------------------------------------
@@ -429,12 +433,14 @@ oracle("words_from_pieces", """
   SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, text, round(pos / 10.0, 4) AS start_s,
     round(CASE WHEN nxt IS NULL THEN total / 10.0 ELSE nxt - least(0.06, greatest(0, nxt - last) / 2) END, 4) AS end_s FROM n""")
 oracle("stripped_context", f"""
-  WITH t AS (SELECT conv_id, turn, {lexical(tokens('text'))} AS l FROM conversations),
-  g AS (SELECT conv_id, turn, [i for i in range(0, len(l)) if i % 7 <> 3 and i % 11 <> 5] AS ok, l FROM t)
-  SELECT conv_id, turn, len(ok) AS n_valid, len(list_filter(ok, lambda i: i >= 4)) AS n_kept,
-    md5(coalesce(array_to_string([l[i + 1] for i in list_filter(ok, lambda i: i >= 4)], ' '), '')) AS text_md5 FROM g""")
+  WITH t AS (SELECT conv_id, turn, text, {lexical(tokens('text'))} AS l FROM conversations),
+  g AS (SELECT conv_id, turn, text, [i for i in range(0, len(l)) if i % 7 <> 3 and i % 11 <> 5] AS ok, l FROM t)
+  SELECT conv_id, turn, len(ok) AS n_valid, CASE WHEN turn % 3 = 0 THEN len(ok) ELSE len(list_filter(ok, lambda i: i >= 4)) END AS n_kept,
+    md5(CASE WHEN turn % 3 = 0 OR len(ok) = 0 THEN text
+      ELSE coalesce(array_to_string([l[i + 1] for i in list_filter(ok, lambda i: i >= 4)], ' '), '') END) AS text_md5 FROM g""")
 oracle("merged_lines", f"""
-  SELECT conv_id, turn // 64 AS block, md5(string_agg({strip('text')}, ' ' ORDER BY turn DESC)) AS text_md5 FROM conversations GROUP BY ALL""")
+  WITH n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1) // 4096 AS part FROM conversations)
+  SELECT conv_id, part, md5(string_agg({strip('text')}, ' ' ORDER BY turn DESC)) AS text_md5 FROM n GROUP BY ALL""")
 
 # Translation ------------------------------------------------------------------------------------
 
@@ -444,32 +450,36 @@ BOUND = values(
      for t in ACTIVE for a in inp.LANGS for b in inp.LANGS],
     "term_id, source, target, target_form",
 )
-ENGLISH = f"{SENTENCE_ROWS}, en AS (SELECT doc_id, i - 1 AS pos, lang, text FROM sr WHERE lang = 'en')"
-EN_BEST = f"{ENGLISH}, {matches('en', 'doc_id, pos')}, {best('doc_id, pos')}"
+SENTENCE_BEST = f"""{SENTENCE_ROWS}, se AS (SELECT doc_id, i - 1 AS pos, lang, text FROM sr),
+  {matches('se', 'doc_id, pos')}, {best('doc_id, pos')}"""
 oracle("target_forms", f"""
   WITH {DOC_MATCHES}, {best('doc_id')}
   SELECT b.lang, b.term_id, t.target_form, count(*) AS n FROM b JOIN {BOUND} t ON t.term_id = b.term_id AND t.source = b.lang AND t.target = 'en'
   GROUP BY ALL""")
 oracle("protected_text", f"""
-  WITH {EN_BEST}, ed AS (SELECT *, printf('__TERM_%04d__', row_number() OVER (PARTITION BY doc_id, pos ORDER BY s)) AS rep FROM b),
-  {spliced('en', 'doc_id, pos', 'ed')}
+  WITH {SENTENCE_BEST}, ed AS (SELECT *, printf('__TERM_%04d__', row_number() OVER (PARTITION BY doc_id, pos ORDER BY s)) AS rep FROM b),
+  {spliced('se', 'doc_id, pos', 'ed')}
   SELECT doc_id, pos, n_edits AS n_terms, new_text AS protected FROM x""")
 oracle("restored", f"""
-  WITH {EN_BEST}, ed AS (SELECT b.*, t.target_form AS rep FROM b JOIN {BOUND} t ON t.term_id = b.term_id AND t.source = 'en' AND t.target = 'fr'),
-  {spliced('en', 'doc_id, pos', 'ed')}
+  WITH {SENTENCE_BEST}, ed AS (SELECT b.*, t.target_form AS rep FROM b JOIN {BOUND} t ON t.term_id = b.term_id AND t.source = b.lang AND t.target = CASE b.lang WHEN 'fr' THEN 'en' ELSE 'fr' END),
+  {spliced('se', 'doc_id, pos', 'ed')}
   SELECT doc_id, pos, new_text AS restored FROM x""")
 oracle("validated", f"""
-  WITH {EN_BEST}, q AS (SELECT DISTINCT doc_id, pos FROM b)
-  SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'none' WHEN 2 THEN 'duplicate' WHEN 4 THEN 'unexpected' ELSE 'missing' END AS fault, count(*) AS n
+  WITH {SENTENCE_BEST}, c AS (SELECT doc_id, pos, count(*) AS n FROM b GROUP BY ALL),
+  q AS (SELECT se.doc_id, coalesce(c.n, 0) AS n FROM se LEFT JOIN c ON c.doc_id = se.doc_id AND c.pos = se.pos)
+  SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN CASE WHEN q.n > 0 THEN 'missing' ELSE 'none' END
+      WHEN 2 THEN CASE WHEN q.n > 0 THEN 'duplicate' ELSE 'unexpected' END WHEN 3 THEN CASE WHEN q.n > 0 THEN 'missing' ELSE 'none' END
+      WHEN 4 THEN 'unexpected' WHEN 5 THEN CASE WHEN q.n > 1 THEN 'order' ELSE 'none' END ELSE 'none' END AS fault, count(*) AS n
   FROM q GROUP BY ALL""")
 oracle("translation_stats", f"""
-  WITH {EN_BEST}, src AS (SELECT doc_id, source AS stream_id, lang FROM documents),
+  WITH {SENTENCE_BEST}, src AS (SELECT doc_id, source AS stream_id, coalesce(count_if(doc_id % 2 = 0) OVER (PARTITION BY source ORDER BY doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM documents),
   c AS (SELECT doc_id, pos, count(*) AS n FROM b GROUP BY ALL),
   done AS (SELECT doc_id, i - 1 AS pos, i < n OR whole AS done FROM sr),
-  e AS (SELECT en.doc_id, en.pos, s.stream_id, coalesce(c.n, 0) AS n, d.done AND row_number() OVER (
-      PARTITION BY s.stream_id, en.text ORDER BY en.doc_id, en.pos) > 1 AS hit
-    FROM en JOIN src s USING (doc_id) LEFT JOIN c ON c.doc_id = en.doc_id AND c.pos = en.pos
-      JOIN done d ON d.doc_id = en.doc_id AND d.pos = en.pos),
+  e AS (SELECT se.doc_id, se.pos, s.stream_id, coalesce(c.n, 0) AS n, d.done AND row_number() OVER (
+      PARTITION BY s.stream_id, s.epoch, se.lang, se.text ORDER BY se.doc_id, se.pos) > 1 AS hit
+    FROM se JOIN src s USING (doc_id) LEFT JOIN c ON c.doc_id = se.doc_id AND c.pos = se.pos
+      JOIN done d ON d.doc_id = se.doc_id AND d.pos = se.pos),
   t AS (SELECT stream_id, sum(n) AS matches, count(*) AS hops, count_if(hit) AS cache_hits FROM e GROUP BY stream_id)
   SELECT stream_id, CAST(matches AS BIGINT) AS matches, CAST(0 AS BIGINT) AS retries, CAST(0 AS BIGINT) AS fallbacks, hops, cache_hits FROM t""")
 
@@ -477,19 +487,19 @@ oracle("translation_stats", f"""
 
 oracle("latest_partials", f"""
   WITH {HYP}, q AS (SELECT *, max(revision) OVER w AS top, max(CASE WHEN is_final THEN revision END) OVER w AS fin,
-      count_if(NOT is_final) OVER w AS np FROM h WINDOW w AS (PARTITION BY conv_id, turn, ms // 2000))
-  SELECT conv_id, turn, revision, is_final, len(tokens) AS n_tokens, np - CASE WHEN fin IS NULL OR fin < top THEN 1 ELSE 0 END AS coalesced
+      count_if(NOT is_final) OVER w AS np FROM h WINDOW w AS (PARTITION BY conv_id, turn, utt, ms // 2000))
+  SELECT conv_id, turn, utt, revision, is_final, len(tokens) AS n_tokens, np - CASE WHEN fin IS NULL OR fin < top THEN 1 ELSE 0 END AS coalesced
   FROM q WHERE is_final OR revision = top""")
 oracle("revision_guard", f"""
-  WITH {HYP}, q AS (SELECT conv_id, seq, turn * 100 + revision - CASE WHEN seq % 4 = 0 THEN 3 ELSE 0 END AS r FROM h),
+  WITH {HYP}, q AS (SELECT conv_id, seq, seq - CASE WHEN seq % 4 = 0 THEN 3 ELSE 0 END AS r FROM h),
   s AS (SELECT *, max(r) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM q)
   SELECT conv_id, count_if(r < seen) AS stale, count(*) AS n FROM s GROUP BY conv_id""")
 oracle("changed_only", f"""
-  WITH {HYP}, q AS (SELECT conv_id, turn, revision, len(tokens) // 12 AS shown, lag(len(tokens) // 12) OVER (PARTITION BY conv_id ORDER BY seq) AS was FROM h)
-  SELECT conv_id, turn, revision, shown FROM q WHERE was IS DISTINCT FROM shown""")
+  WITH {HYP}, q AS (SELECT conv_id, turn, utt, revision, len(tokens) // 12 AS shown, lag(len(tokens) // 12) OVER (PARTITION BY conv_id ORDER BY seq) AS was FROM h)
+  SELECT conv_id, turn, utt, revision, shown FROM q WHERE was IS DISTINCT FROM shown""")
 oracle("revision_numbers", f"WITH {HYP} SELECT conv_id, seq, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS number FROM h")
 oracle("utterance_ids", f"""
-  WITH {HYP} SELECT conv_id, turn, revision, coalesce(count_if(is_final) OVER (PARTITION BY conv_id ORDER BY seq
+  WITH {HYP} SELECT conv_id, turn, utt, revision, coalesce(count_if(is_final) OVER (PARTITION BY conv_id ORDER BY seq
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS utterance FROM h""")
 oracle("elapsed_since_previous", f"""
   WITH {HYP} SELECT conv_id, seq, CAST(ms - lag(ms) OVER (PARTITION BY conv_id ORDER BY seq) AS DOUBLE) AS elapsed_ms FROM h""")
@@ -499,11 +509,11 @@ oracle("overload_generations", """
   t AS (SELECT *, max(generation) OVER (PARTITION BY user_id) AS top FROM g)
   SELECT user_id AS session_id, generation, count(*) AS n FROM t WHERE generation = top GROUP BY ALL""")
 oracle("frozen_partials", f"""
-  WITH {HYP}, e AS (SELECT stream_id, min(CASE WHEN NOT is_final AND len(tokens) >= 20 THEN revision END) AS endpoint FROM h GROUP BY stream_id)
+  WITH {HYP}, e AS (SELECT stream_id, min(CASE WHEN NOT is_final AND len(tokens) >= 10 THEN revision END) AS endpoint FROM h GROUP BY stream_id)
   SELECT stream_id, count(*) AS n, max(revision) AS last FROM h JOIN e USING (stream_id)
   WHERE is_final OR endpoint IS NULL OR revision <= endpoint GROUP BY stream_id""")
 oracle("finals_in_order", f"""
-  WITH {HYP} SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, revision) AS place FROM h WHERE is_final""")
+  WITH {HYP} SELECT conv_id, turn, utt, row_number() OVER (PARTITION BY conv_id ORDER BY turn, utt) AS place FROM h WHERE is_final""")
 oracle("stable_prefix", f"""
   WITH {HYP}, q AS (SELECT *, lag(tokens) OVER (PARTITION BY stream_id ORDER BY revision) AS was FROM h),
   a AS (SELECT stream_id, revision, CASE WHEN was IS NOT NULL THEN tokens[1:{lcp('tokens', 'was')}] END AS agreed FROM q)
@@ -571,8 +581,9 @@ oracle("session_report", f"""
   SELECT user_id AS session_id, {tail('a', 't1')} AS asr_tail_s, {tail('m', 'a')} AS mt_tail_s, {tail('t', 'm')} AS tts_tail_s,
     {tail('z', 't1')} AS post_input_s, {tail('t', 't0')} AS overall_s, round(1728000.0 - 576000.0, 3) AS feed_drift_s FROM j""")
 oracle("history", f"""
-  SELECT conv_id, turn // 4096 AS part, count(*) AS n_texts, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_md5
-  FROM conversations WHERE role = 'assistant' AND regexp_matches(text, '[^{SP}]') GROUP BY ALL""")
+  WITH n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4096 AS part
+    FROM conversations WHERE regexp_matches(text, '[^{SP}]'))
+  SELECT conv_id, part, count(*) AS n_texts, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM n GROUP BY ALL""")
 oracle("last_warnings", """
   SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank, event_id, props AS message
   FROM events WHERE event_type = 'error' QUALIFY rank <= 5""")
@@ -606,3 +617,16 @@ oracle("term_quality", f"""
   SELECT lang, source, hit, miss, extra, round(CASE WHEN hit + miss > 0 THEN hit / (hit + miss) END, 6) AS recall,
     round(CASE WHEN hit + extra > 0 THEN hit / (hit + extra) END, 6) AS precision,
     round(CASE WHEN mins > 0 THEN extra / mins END, 6) AS false_per_minute FROM g""")
+# A right hypothesis lacks the rest of the characters; of a wrong token ``zz``, only letters z of the rest can be kept.
+oracle("character_error_rate", f"""
+  WITH {HYP},
+  k AS (SELECT stream_id, tokens, ref, length(array_to_string(tokens, ' ')) AS n_hyp,
+    substring(ref, length(array_to_string(tokens[1:len(tokens) - 1], ' ')) + CASE WHEN len(tokens) > 1 THEN 2 ELSE 1 END) AS rest FROM h),
+  c AS (SELECT stream_id, length(ref) AS n, CASE WHEN tokens[-1] <> 'zz' THEN length(ref) - n_hyp
+      ELSE greatest(length(rest), 2) - least(2, length(rest) - length(replace(rest, 'z', ''))) END AS d FROM k)
+  SELECT stream_id, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS size, round(sum(d) / sum(n), 6) AS rate FROM c GROUP BY stream_id""")
+# A hypothesis of sz right tokens lacks the others; one that ends in a wrong token has one right token less.
+oracle("word_error_rate", f"""
+  WITH {HYP}, c AS (SELECT stream_id, n_ref, n_ref - sz + CASE WHEN tokens[-1] = 'zz' THEN 1 ELSE 0 END AS d FROM h)
+  SELECT stream_id, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n_ref) AS BIGINT) AS size, round(sum(d) / sum(n_ref), 6) AS rate
+  FROM c GROUP BY stream_id""")

@@ -286,3 +286,17 @@ def test_blank_forms_of_any_white_space(spark, g):
     odd = spark.createDataFrame([("stop_button", "en", "\t\u00a0", 9, "stop button", True, None)], sg.FORMS)
     found = gl.validate_glossary(g.terms, g.forms.unionByName(odd), g.spoken)
     assert "blank_form" in {r.rule for r in found.collect()}
+
+
+def test_a_final_ends_the_cache_and_routes_differ_by_row(spark, g, forms):
+    rows = [(1, "s", 1, "Same here.", False, ["en", "vi"]), (2, "s", 2, "Same here.", True, ["en", "vi"]),
+            (3, "s", 3, "Same here.", False, ["en", "vi"]), (4, "s", 4, "Same here.", False, ["vi", "en"]),
+            (5, "s", 5, "Same here.", False, ["en", "vi"]), (6, "s", 6, "Same here.", False, None),
+            (7, "s", 7, "Same here.", False, ["en", "vi", "zh"])]
+    r = spark.createDataFrame(rows, "id int, stream_id string, revision long, text string, is_final boolean, path array<string>")
+    t = tr.translate_requests(r, ["id"], "path", forms, rw.bindings(g.forms, g.terms), tr.echo)
+    out = {x.id: x for x in t.collect()}
+    assert [out[i].cache_hits for i in range(1, 8)] == [0, 1, 0, 0, 1, 0, 0]
+    assert [out[i].hops for i in range(1, 8)] == [1, 1, 1, 1, 1, 0, 2]
+    assert out[4].translated == "[en] Same here." and out[6].translated is None
+    assert (out[4].source_language, out[4].target_language, out[7].target_language) == ("vi", "en", "zh")

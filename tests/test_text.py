@@ -155,3 +155,17 @@ def test_error_rates_equal_edit_distance(spark):
     d = d.withColumn("x", F.split("a", " ")).withColumn("y", F.split("b", " "))
     for r in d.select("*", ql.character_errors(F.col("a"), F.col("b")).alias("c"), ql.word_errors(F.col("x"), F.col("y")).alias("w")).collect():
         assert r.c == distance(r.a, r.b) and r.w == distance(r.x, r.y)
+
+
+def test_noncharacters_end_no_sentence(spark):
+    got = one(spark, "one\uffff two. three", tx.split_sentences("c"))[0]
+    assert got == ["one\uffff two.", "three"]
+
+
+def test_context_strip_keeps_own_text(spark):
+    words = [("a", 0.0, 0.5, None), ("b", 1.5, 2.0, None)]
+    strip = lambda context: tm.strip_context(F.col("w"), F.lit("en"), F.lit(context), F.lit("Own text."))
+    assert one(spark, (words,), strip(0.0), schema=WORDS)[0]["text"] == "Own text."
+    assert len(one(spark, (words,), strip(0.0), schema=WORDS)[0]["words"]) == 2
+    assert one(spark, ([],), strip(1.0), schema=WORDS)[0]["text"] == "Own text."
+    assert one(spark, (words,), strip(1.0), schema=WORDS)[0]["text"] == "b"
