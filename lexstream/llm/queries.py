@@ -25,7 +25,67 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
+#: A-Z in lower case; null is no text.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op5_licenses": rf"""
+      WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+      phrase AS (SELECT label, string_split(t, ' ') AS t FROM (VALUES ('gpl', 'gnu general public license'), ('apache', 'apache license'),
+        ('cc-by', 'cc by'), ('mit', 'mit license')) AS v(label, t)),
+      notice AS (SELECT row_number() OVER () AS no, label, list_distinct(string_split(t, ' ')) AS t FROM (VALUES
+        ('agpl-3.0', 'licensed under the gnu affero general public license version 3'),
+        ('apache-2.0', 'licensed under the apache license version 2 0'),
+        ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted'),
+        ('cc-by-nc-4.0', 'licensed under cc by nc 4 0'),
+        ('cc-by-sa-4.0', 'licensed under cc by sa 4 0'),
+        ('gpl-3.0', 'licensed under the gnu general public license version 3'),
+        ('lgpl', 'licensed under the gnu lesser general public license'),
+        ('mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software'),
+        ('mit', 'released under the mit license'),
+        ('mpl-2.0', 'subject to the terms of the mozilla public license v 2 0')) AS v(label, t)),
+      x AS (SELECT doc_id, w, unnest(range(len(w))) AS k FROM d),
+      p AS (SELECT doc_id, label, k FROM x JOIN phrase ON w[k + 1] = t[1] WHERE w[k + 1:k + len(t)] = t),
+      base AS (SELECT doc_id, count(*) AS n, min(k) AS first_word, max(k) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY doc_id),
+      blocks AS (SELECT doc_id, list_distinct(w[s + 1:s + 64]) AS block
+        FROM (SELECT doc_id, w, unnest(range(0, greatest(0, CAST(ceil((len(w) - 64) / 32) AS BIGINT)) * 32 + 1, 32)) AS s FROM d WHERE len(w) > 0)),
+      held AS (SELECT doc_id, label, len(list_intersect(t, block)) AS n, len(t) AS size FROM blocks, notice),
+      found AS (SELECT doc_id, label, n / size AS share FROM held WHERE 100 * n >= 80 * size),
+      best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
+      every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+        FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM found) GROUP BY doc_id)
+      SELECT d.doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, first_word, last_word, coalesce(base.labels, '') AS base_labels,
+        coalesce(every.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(best.share, 0.0) END AS score
+      FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN every USING (doc_id)""",
+    "op6_decontamination": rf"""
+      WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+      b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+      i AS (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM b WHERE len(w) > 0),
+      v AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS phrase FROM i),
+      s AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM v) WHERE len(w) >= k),
+      g AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS phrase FROM s),
+      m AS (SELECT doc_id, g.k, p, item_id FROM g JOIN v ON g.k = v.k AND g.phrase = v.phrase),
+      h AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS word FROM (SELECT DISTINCT doc_id, k, p FROM m)) GROUP BY doc_id),
+      t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+      SELECT d.doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+      FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "op7_ngram_join": rf"""
+      WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+      x AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 2), lambda p: array_to_string(w[p:p + 3], ' ')) END)) AS s FROM d),
+      k AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM x WHERE len(s) > 0 GROUP BY s),
+      e AS (SELECT id, n, unnest(s) AS g FROM k),
+      c AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS n, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.id < b.id
+            GROUP BY a.id, b.id, a.n + b.n),
+      l AS (SELECT a, b FROM c WHERE 100 * shared >= 85 * (n - shared)),
+      f AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+      r AS (SELECT id, id AS root FROM k UNION SELECT f.b, r.root FROM r JOIN f ON f.a = r.id),
+      z AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+      SELECT x.doc_id, len(x.s) AS n_shingles, coalesce(z.root, x.doc_id) AS component_id
+      FROM x LEFT JOIN k ON x.s = k.s LEFT JOIN z ON k.id = z.id""",
     "op9_line_dedup": """
       WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
       x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
