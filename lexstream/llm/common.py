@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +66,18 @@ def grouped_pass(df: DataFrame, keys: list[str], step: Callable[[pa.Table], dict
     return df.groupBy(*keys).applyInArrow(run, kind)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of this package with its class, so executors need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(packed: Broadcast):
+    """The object of ``share``, unpacked once in a worker process."""
+    if not hasattr(packed, "unpacked"):
+        packed.unpacked = pickle.loads(packed.value)
+    return packed.unpacked
+
+
 def flags(batch: pa.RecordBatch, mask: np.ndarray, columns: list[str]) -> pa.RecordBatch:
     """The rows of a batch that the mask keeps, in the named columns."""
     kept = batch.filter(pa.array(mask, pa.bool_()))

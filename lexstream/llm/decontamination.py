@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, flags, table, utf8, words
+from .common import arrow_pass, flags, share, shared, table, utf8, words
 
 #: Item bytes held by one automaton; larger benchmarks are read in blocks of this size.
 BLOCK_BYTES = 4 << 20
@@ -188,10 +188,9 @@ def matches(
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     schema = f"row long, id {kind}, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
-    sc = docs.sparkSession.sparkContext
     parts = []
     for automaton, ids in _automata(items, item_id, item_text, window, block_bytes):
-        held = sc.broadcast((automaton, ["null" if i is None else i for i in ids]))
+        held = share(docs.sparkSession, (automaton, ["null" if i is None else i for i in ids]))
         parts.append(arrow_pass(texts, lambda batches, held=held: _find(batches, held), schema))
     if len(parts) == 1:
         return parts[0].withColumnRenamed("id", id_col)
@@ -206,7 +205,7 @@ def matches(
 
 
 def _find(batches: Iterator[pa.RecordBatch], held) -> Iterator[dict]:
-    automaton, ids = held.value
+    automaton, ids = shared(held)
     for batch in batches:
         counts, spans, items = [], [], []
         for text in batch.column(2).to_pylist():
@@ -238,13 +237,12 @@ def decontaminated(
     """
     columns = docs.columns
     out = docs
-    sc = docs.sparkSession.sparkContext
     at = columns.index(text_col)
     for automaton, _ in _automata(items, item_id, item_text, window, block_bytes):
-        held = sc.broadcast((automaton, None))
+        held = share(docs.sparkSession, (automaton, None))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            automaton = held.value[0]
+            automaton = shared(held)[0]
             for batch in batches:
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
                 keep = np.ones(len(texts), bool)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_pass, components, grouped_pass, local_roots, sized, table
+from .common import Scratch, arrow_pass, components, grouped_pass, local_roots, share, shared, sized, table
 
 #: Vectors the rotations are learned on at most.
 SAMPLE = 20_000
@@ -125,17 +125,15 @@ def _links(reps: DataFrame, dim: int, dtype: str, vectors: int, threshold: float
     spark = reps.sparkSession
     # A bounded sample, the classes of the smallest digests.
     drawn = reps.select("class", "raw").orderBy("class").limit(sample).collect()
-    codes = spark.sparkContext.broadcast(
-        learn_codes(_units([bytes(r["raw"]) for r in drawn], dtype, dim), vectors, threshold, recall)
-    )
-    tables = len(codes.value.tables)
+    learned = learn_codes(_units([bytes(r["raw"]) for r in drawn], dtype, dim), vectors, threshold, recall)
+    codes, tables = share(spark, learned), len(learned.tables)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 packed = part.column(1).to_pylist()
-                own = codes.value.buckets(_units(packed, dtype, dim))
+                own = shared(codes).buckets(_units(packed, dtype, dim))
                 n = len(own)
                 yield {
                     "table": np.tile(np.arange(tables), n), "bucket": own.ravel(),
@@ -152,7 +150,7 @@ def _links(reps: DataFrame, dim: int, dtype: str, vectors: int, threshold: float
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = codes.value.buckets(_units(batch.column(0).to_pylist(), dtype, dim))
+            own = shared(codes).buckets(_units(batch.column(0).to_pylist(), dtype, dim))
             yield {"table": np.tile(np.arange(tables), len(own)), "bucket": own.ravel()}
 
     sizes = arrow_pass(reps.select("raw"), codes_only, "table int, bucket long").groupBy("table", "bucket").agg(F.count("*").alias("n"))

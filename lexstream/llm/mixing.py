@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_pass, fresh, grouped_pass, sized, table, utf8, words
+from .common import Scratch, arrow_pass, fresh, grouped_pass, share, shared, sized, table, utf8, words
 
 #: Domains that the labels table tells apart, and the weights of the registered query.
 DOMAINS = ("good", "low", "toxic")
@@ -138,14 +138,14 @@ def learn_membership(docs: DataFrame, labels: DataFrame, text_col: str = "text",
 def members_of(docs: DataFrame, membership: Membership, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tokens, posterior) for every row; null and empty texts have no tokens and the prior."""
     kind = dict(docs.dtypes)[id_col]
-    held = docs.sparkSession.sparkContext.broadcast(membership)
+    held = share(docs.sparkSession, membership)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             yield {
                 "id": batch.column(0), "tokens": [len(t.split()) if t else 0 for t in texts],
-                "posterior": [held.value.posterior(t) for t in texts],
+                "posterior": [shared(held).posterior(t) for t in texts],
             }
 
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
@@ -228,11 +228,11 @@ def mixed(
     docs: DataFrame, membership: Membership, steps: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text", hold: float = 0.05,
 ) -> DataFrame:
     """The rows of ``docs``, all columns kept, as often as their rate tells."""
-    held = docs.sparkSession.sparkContext.broadcast((membership, steps))
+    held = share(docs.sparkSession, (membership, steps))
     columns, raw, at = docs.columns, fresh(docs, "raw"), fresh(docs, "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, moves = held.value
+        model, moves = shared(held)
         for batch in batches:
             p = np.array([model.posterior(t) for t in batch.column(len(columns)).to_pylist()]).reshape(-1, len(DOMAINS))
             n = copies(replay(p, moves), batch.column(len(columns) + 1).to_numpy(zero_copy_only=False), hold)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, flags, fresh, grouped_pass, table, utf8
+from .common import arrow_pass, flags, fresh, grouped_pass, share, shared, table, utf8
 
 CLASSES, DIM, NONZERO, PARTS = 8192, 32, 2, 16
 #: Labelled rows that the network is fitted on at most.
@@ -237,11 +237,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def quality_scores(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row; null and empty texts are scored as texts without words."""
-    held = docs.sparkSession.sparkContext.broadcast(network)
+    held = share(docs.sparkSession, network)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield {"id": batch.column(0), "score": held.value.score(batch.column(1))}
+            yield {"id": batch.column(0), "score": shared(held).score(batch.column(1))}
 
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
@@ -250,13 +250,13 @@ def quality_scores(docs: DataFrame, network: Network, id_col: str = "doc_id", te
 
 def accepted(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose score reaches the threshold."""
-    held = docs.sparkSession.sparkContext.broadcast(network)
+    held = share(docs.sparkSession, network)
     columns = docs.columns
     raw = fresh(docs, "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield flags(batch, held.value.score(batch.column(len(columns))) >= threshold, columns)
+            yield flags(batch, shared(held).score(batch.column(len(columns))) >= threshold, columns)
 
     return docs.withColumn(raw, utf8(text_col)).mapInArrow(run, docs.schema)
 

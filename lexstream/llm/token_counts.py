@@ -9,7 +9,6 @@ that one cut chunk.  Texts are never encoded again to answer truncation or budge
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +22,8 @@ VOCABULARY = "word_bpe_49k.json"
 MEMO = 1 << 20
 
 
-@lru_cache(maxsize=4)
 def counter(vocabulary: str) -> Callable[[list[bytes]], list[int]]:
-    """Counts of chunks, as the tokenizers library gives them; remembered in the worker across tasks."""
+    """Counts of chunks, as the tokenizers library gives them; remembered in the process, so in a worker across tasks."""
     import os
     import sys
 
