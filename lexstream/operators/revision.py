@@ -7,17 +7,15 @@ busy stream spreads over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import partial
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import common_prefix, detokenize, ends_sentence, sentence_token_ends, tokenize
 from ..schemas import schema
-from . import blocks, folds, keyed, matching
+from . import agreement, blocks, chunking, keyed, matching
 
 BLOCK = 1024
 
@@ -141,7 +139,7 @@ REQUEST = dict(
     wait=6, update=4, timeout_ms=1200, zh_wait=12, zh_update=8, zh_timeout_ms=1000, interval_ms=500,
     sentences_only=False,
 )
-PHRASE = dict(low=8, high=24, agreement=2, timeout_ms=1200, mode="final_utterance")
+PHRASE = dict(low=8, high=24, agreement=2, mode="final_utterance")
 
 
 def commit_input(hypotheses: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
@@ -170,7 +168,7 @@ def commit_input(hypotheses: DataFrame, prefixes: DataFrame | None = None) -> Da
 def commit(hypotheses: DataFrame, prefixes: DataFrame | None = None, **options) -> DataFrame:
     """Local agreement commits of hypotheses, with locked sentences, term hold and endpoints."""
     d = utterances(hypotheses, "stream_id", "revision")
-    step = partial(folds.commit_step, **{**COMMIT, **options})
+    step = partial(agreement.commit_step, **{**COMMIT, **options})
     out = keyed.fold(commit_input(d, prefixes), _KEY, ["revision"], step, COMMITTED)
     return out.withColumn("text", detokenize("tokens", F.col("lang")))
 
@@ -184,56 +182,75 @@ def request_input(committed: DataFrame) -> DataFrame:
 
 def schedule_requests(committed: DataFrame, **options) -> DataFrame:
     """Committed rows that become translation requests under wait-k."""
-    step = partial(folds.request_step, **{**REQUEST, **options})
+    step = partial(agreement.request_step, **{**REQUEST, **options})
     picked = keyed.fold(request_input(committed), _KEY, ["in_revision"], step, REQUESTS)
     return committed.join(picked, ["stream_id", "utterance", "in_revision", "revision"], "left_semi")
 
 
+def _with_terms(d: DataFrame, keys: list[str], prefixes: DataFrame | None) -> DataFrame:
+    """Add ``term_hits``: the token spans of whole terms in ``tokens``."""
+    if prefixes is None:
+        return d.withColumn("term_hits", F.lit(None).cast(_SPANS))
+    found = matching.prefix_hits(d, keys, "tokens", "lang", prefixes).filter("is_term")
+    names = [f"__k{i}" for i in range(len(keys))]
+    side = found.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
+        F.collect_list(F.struct("start", "end")).cast(_SPANS).alias("term_hits")
+    )
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return d.join(side, same, "left").drop(*names)
+
+
 def phrase_input(rows: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
-    """Columns the phrase step reads, from (stream_id, seq, kind, phrase_no, text, lang, ...)."""
-    toks = F.when(F.col("kind") == "update", tokenize("text", F.col("lang")))
-    d = rows.withColumn("tokens", toks)
-    ends = F.when(F.col("kind") == "update", sentence_token_ends("text", F.col("lang")))
-    d = d.withColumn("sentence_ends", ends)
-    hits = F.lit(None).cast(_SPANS)
-    if prefixes is not None:
-        updates = d.filter("kind = 'update'")
-        found = matching.prefix_hits(updates, ["stream_id", "seq"], "tokens", "lang", prefixes).filter("is_term")
-        grouped = found.groupBy("stream_id", "seq").agg(F.collect_list(F.struct("start", "end")).alias("__terms"))
-        d = d.join(grouped, ["stream_id", "seq"], "left")
-        hits = F.col("__terms").cast(_SPANS)
-    return d.select(
-        "stream_id", "seq", "kind", "phrase_no", "source_revision", "lang", "tokens", "is_final",
-        F.unix_millis("at").alias("at_ms"), "sentence_ends", hits.alias("term_hits"),
+    """Columns the phrase step reads, from (stream_id, seq, text, lang, source_revision, is_final, at)."""
+    d = rows.withColumn("tokens", tokenize("text", F.col("lang")))
+    d = d.withColumn("sentence_ends", sentence_token_ends("text", F.col("lang")))
+    return _with_terms(d, ["stream_id", "seq"], prefixes).select(
+        "stream_id", "seq", "source_revision", "lang", "tokens", "is_final", F.unix_millis("at").alias("at_ms"),
+        "sentence_ends", "term_hits",
     )
 
 
 def phrases(rows: DataFrame, prefixes: DataFrame | None = None, **options) -> DataFrame:
-    """Speakable phrases of translated streams, with agreement, reservations and acknowledgements."""
-    step = partial(folds.phrase_step, **{**PHRASE, **options})
+    """Speakable phrases of translated streams, with agreement; contradicted ones are withdrawn."""
+    step = partial(chunking.phrase_step, **{**PHRASE, **options})
     out = keyed.fold(phrase_input(rows, prefixes), ["stream_id"], ["seq"], step, PHRASES)
     return out.withColumn("text", detokenize("tokens", F.col("lang")))
 
 
 def chunk_finals(texts: DataFrame, keys: list[str], text: str, lang: str, prefixes: DataFrame | None = None, low: int = 8, high: int = 24) -> DataFrame:
-    """Phrases of final texts: at most ``high`` tokens, sentences first, commas next, terms whole."""
-    one = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys])
-    rows = texts.select(
-        one.alias("stream_id"), F.lit(1).alias("seq"), F.lit("update").alias("kind"),
-        F.lit(None).cast("int").alias("phrase_no"), F.lit(1).alias("source_revision"), F.col(text).alias("text"),
-        F.col(lang).alias("lang"), F.lit(True).alias("is_final"), F.timestamp_millis(F.lit(0)).alias("at"),
-    )
-    step = partial(folds.phrase_step, **{**PHRASE, "low": low, "high": high})
-    arrow = to_arrow_schema(PHRASES)
+    """Phrases of final texts: at most ``high`` tokens, sentences first, commas next, terms whole.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Every row is a whole stream, so nothing is shuffled and no state is kept.
-        for b in batches:
-            out = [{"stream_id": r["stream_id"], **x} for r in b.to_pylist() for x in step({}, r)]
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+    Returns the keys and (phrase_no, lang, tokens, text, is_final, shifts, oversized).  Python sees the
+    places of sentence ends, commas and terms, not the texts; rows are shuffled only to meet their terms.
+    """
+    d = texts.select(*keys, F.col(lang).alias("lang"), F.col(text).alias("__text"))
+    d = d.withColumn("tokens", tokenize("__text", F.col("lang")))
+    d = d.withColumn("__ends", sentence_token_ends("__text", F.col("lang"))).drop("__text")
+    places = F.transform("tokens", lambda t, i: F.when(t.isin(*chunking.COMMAS), i + 1))
+    d = _with_terms(d.withColumn("__commas", F.array_compact(places)), keys, prefixes)
+
+    def cuts(sizes: pd.Series, ends: pd.Series, commas: pd.Series, hits: pd.Series) -> pd.Series:
+        out = []
+        for n, e, c, h in zip(sizes, ends, commas, hits):
+            spans = chunking.disjoint(h if h is None else list(h), n)
+            table = chunking.cut_table(max(0, n), list(e), list(c), spans, low, high, "stable_sentence", True)
+            out.append([dict(zip(("end", "shifts", "oversized"), x)) for x in chunking.walk(table)])
+        return pd.Series(out)
+
+    cut = F.pandas_udf(cuts, "array<struct<end:int,shifts:int,oversized:int>>")
+    none = F.array().cast("array<int>")
+    size = F.coalesce(F.size("tokens"), F.lit(0))
+    d = d.withColumn("__cuts", cut(size, F.coalesce("__ends", none), F.coalesce("__commas", none), "term_hits"))
+
+    def phrase(c: Column, i: Column) -> Column:
+        start = F.coalesce(F.get("__cuts", i - 1)["end"], F.lit(0))
+        return F.struct(
+            (i + 1).cast("int").alias("phrase_no"), F.slice("tokens", start + 1, c["end"] - start).alias("tokens"),
+            (c["end"] == F.size("tokens")).alias("is_final"), c["shifts"].alias("shifts"), c["oversized"].alias("oversized"),
+        )
 
-    out = phrase_input(rows, prefixes).mapInArrow(run, PHRASES)
-    return out.withColumn("text", detokenize("tokens", F.col("lang"))).drop("source_revision", "at_ms")
+    out = d.select(*keys, "lang", F.explode(F.transform("__cuts", phrase)).alias("p")).select(*keys, "lang", "p.*")
+    return out.withColumn("text", detokenize("tokens", F.col("lang")))
 
 
 # Endpoints --------------------------------------------------------------------------------------

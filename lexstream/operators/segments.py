@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import schema
-from . import blocks, folds, keyed
+from . import blocks, keyed, voice
 
 FRAME_BLOCK = 1 << 14
 SETTINGS = dict(padding=10, min_speech=12, end_silence=30, emit=25, longest=750, context=0)
@@ -70,13 +70,13 @@ def segments(frames: DataFrame, cuts: DataFrame | None = None, **options) -> Dat
             F.lit(o["padding"]).cast("bigint").alias("n"), "voiced", "cut", (F.col("part") + 1).alias("part"),
         )
         runs = runs.unionByName(tail)
-    step = partial(folds.segment_step, **{k: o[k] for k in SETTINGS})
+    step = partial(voice.segment_step, **{k: o[k] for k in SETTINGS})
     flush = _flush
     return keyed.fold(runs, ["stream_id", "part"], ["start"], step, SEGMENTS, flush)
 
 
 def _flush(state: dict, last: dict) -> list[dict]:
-    return folds.segment_flush(state, last["start"] + last["n"])
+    return voice.segment_flush(state, last["start"] + last["n"])
 
 
 def rechunk(chunks: DataFrame, size: int, block: int = 1024, keep_tail: bool = True) -> DataFrame:

@@ -684,8 +684,7 @@ def endpoint(spark, sf):
 def phrases(spark, sf):
     c = rv.commit(inp.hypotheses(spark, sf))
     u = c.select(
-        "stream_id", F.col("revision").alias("seq"), F.lit("update").alias("kind"), F.lit(None).cast("int").alias("phrase_no"),
-        "text", "lang", F.col("revision").alias("source_revision"), "is_final", F.timestamp_millis("at_ms").alias("at"),
+        "stream_id", F.col("revision").alias("seq"), "text", "lang", F.col("revision").alias("source_revision"), "is_final", F.timestamp_millis("at_ms").alias("at"),
     )
     d = rv.phrases(u, inp.active_prefixes(spark), low=4, high=12, mode="stable_sentence")
     return d.select("stream_id", "phrase_no", "source_revision", "text", "is_final", "shifts")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.text import detokenize
-from ..operators import folds, keyed
+from ..operators import agreement, chunking, keyed, voice
 from ..operators import revision as rv
 from ..schemas import schema
 
@@ -35,7 +35,7 @@ def commit_stream(hypotheses: DataFrame, ttl_ms: int = 0, **options) -> DataFram
 
     A final row resets its stream, so utterances need no numbering here.
     """
-    step = partial(folds.commit_step, **{**rv.COMMIT, **options})
+    step = partial(agreement.commit_step, **{**rv.COMMIT, **options})
     rows = rv.commit_input(hypotheses)
     out = _run(rows, ["revision"], step, _drop(rv.COMMITTED, "utterance"), ttl_ms)
     return out.withColumn("text", detokenize("tokens", F.col("lang")))
@@ -49,7 +49,7 @@ REQUESTED = T.StructType(_drop(rv.COMMITTED, "utterance").fields + [
 def _commit_and_request(state: dict, row: dict, commit: Callable, request: Callable) -> list[dict]:
     out = []
     for c in commit(state.setdefault("commit", {}), row):
-        ends = folds.sentence_ends(c["tokens"], c["lang"])[-1:] == [len(c["tokens"])] and bool(c["tokens"])
+        ends = agreement.sentence_ends(c["tokens"], c["lang"])[-1:] == [len(c["tokens"])] and bool(c["tokens"])
         asked = request(state.setdefault("request", {}), {**c, "n_tokens": len(c["tokens"]), "ends_sentence": ends})
         out.append({**c, "requested": bool(asked), "text_ends": ends})
     return out
@@ -59,30 +59,30 @@ def request_stream(hypotheses: DataFrame, commit: dict | None = None, request: d
     """Commits with the wait-k decision on each, in one state per stream."""
     step = partial(
         _commit_and_request,
-        commit=partial(folds.commit_step, **{**rv.COMMIT, **(commit or {})}),
-        request=partial(folds.request_step, **{**rv.REQUEST, **(request or {})}),
+        commit=partial(agreement.commit_step, **{**rv.COMMIT, **(commit or {})}),
+        request=partial(agreement.request_step, **{**rv.REQUEST, **(request or {})}),
     )
     out = _run(rv.commit_input(hypotheses), ["revision"], step, REQUESTED, ttl_ms)
     return out.withColumn("text", detokenize("tokens", F.col("lang")))
 
 
 def phrase_stream(rows: DataFrame, ttl_ms: int = 0, **options) -> DataFrame:
-    """Phrases of a stream of updates and acknowledgements.
+    """Phrases of a stream of revisions.
 
     A finished stream leaves a mark that makes duplicate finals silent until ``ttl_ms``.
     """
-    step = partial(folds.phrase_step, **{**rv.PHRASE, **options})
+    step = partial(chunking.phrase_step, **{**rv.PHRASE, **options})
     out = _run(rv.phrase_input(rows), ["seq"], step, rv.PHRASES, ttl_ms)
     return out.withColumn("text", detokenize("tokens", F.col("lang")))
 
 
 def _segment_frames(state: dict, row: dict, **options) -> list[dict]:
     if row.get("end_of_stream"):
-        out = folds.segment_flush(state, row["frame_no"])
+        out = voice.segment_flush(state, row["frame_no"])
         state.clear()
         return out
     run = {"start": row["frame_no"], "n": 1, "voiced": row["voiced"], "cut": row.get("cut")}
-    return folds.segment_step(state, run, **options)
+    return voice.segment_step(state, run, **options)
 
 
 def segment_stream(frames: DataFrame, ttl_ms: int = 0, **options) -> DataFrame:

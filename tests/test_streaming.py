@@ -56,8 +56,7 @@ def test_request_stream(spark, folder):
 def test_phrase_stream(spark, folder):
     c = rv.commit(inp.hypotheses(spark, SF).filter("conv_id < 6"))
     u = c.select(
-        "stream_id", F.col("revision").alias("seq"), F.lit("update").alias("kind"),
-        F.lit(None).cast("int").alias("phrase_no"), "text", "lang", F.col("revision").alias("source_revision"), "is_final",
+        "stream_id", F.col("revision").alias("seq"), "text", "lang", F.col("revision").alias("source_revision"), "is_final",
         F.timestamp_millis("at_ms").alias("at"),
     )
     o = dict(low=4, high=12, mode="stable_sentence")
