@@ -630,3 +630,131 @@ oracle("word_error_rate", f"""
   WITH {HYP}, c AS (SELECT stream_id, n_ref, n_ref - sz + CASE WHEN tokens[-1] = 'zz' THEN 1 ELSE 0 END AS d FROM h)
   SELECT stream_id, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n_ref) AS BIGINT) AS size, round(sum(d) / sum(n_ref), 6) AS rate
   FROM c GROUP BY stream_id""")
+
+# Steps ------------------------------------------------------------------------------------------
+
+# On these streams every text extends what was agreed, so agreed lengths tell all.
+AGREED = f"""
+  ga AS (SELECT *, lag(tokens) OVER (PARTITION BY stream_id ORDER BY revision) AS was FROM h),
+  gb AS (SELECT *, CASE WHEN was IS NULL THEN [] ELSE tokens[1:{lcp('tokens', 'was')}] END AS same FROM ga),
+  gc AS (SELECT *, CASE WHEN is_final THEN len(tokens) WHEN suffix({marked(detok('same'))}, {SEP}) THEN len(same)
+    ELSE greatest(len(same) - 1, 0) END AS free FROM gb),
+  gd AS (SELECT *, CASE WHEN NOT is_final AND free > 0 AND lower(tokens[free]) IN {_q(_OPEN)} THEN lower(tokens[free]) END AS term FROM gc),
+  ge AS (SELECT *, term IS NOT NULL AND term IS DISTINCT FROM lag(term) OVER (PARTITION BY stream_id ORDER BY revision) AS opens FROM gd)"""
+
+
+def shown(size: str) -> str:
+    """Rows whose text has grown, numbered, with the terms that began to wait since the row before."""
+    return f"""
+  sa AS (SELECT *, {size} AS n, sum(CAST(opens AS INT)) OVER (PARTITION BY stream_id ORDER BY revision) AS waits FROM ge),
+  sb AS (SELECT *, max(n) OVER (PARTITION BY stream_id ORDER BY revision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sa),
+  sc AS (SELECT *, row_number() OVER x AS no, waits - coalesce(lag(waits) OVER x, 0) AS events FROM sb
+    WHERE is_final OR n > coalesce(before, 0) WINDOW x AS (PARTITION BY stream_id ORDER BY revision))"""
+
+
+oracle("committed", f"""
+  WITH {HYP}, {AGREED}, {shown('CASE WHEN term IS NULL THEN free ELSE free - 1 END')}
+  SELECT stream_id, revision AS in_revision, no AS revision, {detok('tokens[1:n]')} AS text, is_final,
+    CAST(events AS BIGINT) AS hold_events, 0 AS flushes FROM sc""")
+oracle("mt_schedule", f"""
+  WITH RECURSIVE {HYP}, {AGREED}, {shown('free')},
+  q AS (SELECT stream_id, no, revision AS in_revision, is_final, n, ms,
+    suffix({marked(detok('tokens[1:n]'))}, {SEP}) AS whole FROM sc),
+  z AS (SELECT stream_id, min(ms) AS start FROM h GROUP BY stream_id),
+  r AS (
+    SELECT stream_id, CAST(0 AS BIGINT) AS no, CAST(0 AS BIGINT) AS in_revision, false AS is_final, CAST(0 AS BIGINT) AS n,
+      CAST(0 AS BIGINT) AS known, CAST(start AS BIGINT) AS since, false AS any_before, false AS asked FROM z
+    UNION ALL
+    SELECT stream_id, no, in_revision, is_final, n, CASE WHEN ask THEN n ELSE known END, CASE WHEN ask THEN ms ELSE since END,
+      any_before OR ask, ask
+    FROM (SELECT q.stream_id, q.no, q.in_revision, q.is_final, q.n, q.ms, r.known, r.since, r.any_before,
+        q.n > 0 AND (q.is_final OR q.n >= 6 AND (q.whole OR q.n - r.known >= 4 AND (NOT r.any_before OR q.ms - r.since >= 500)
+          OR q.n > r.known AND q.ms - r.since >= 1200)) AS ask
+      FROM r JOIN q ON q.stream_id = r.stream_id AND q.no = r.no + 1))
+  SELECT stream_id, in_revision, no AS revision, is_final, n AS n_tokens FROM r WHERE asked""")
+def chunks(low: int, high: int) -> str:
+    """Phrases ``r`` of the final texts ``t`` (stream_id, text, words, m)."""
+    return f"""
+  s AS (SELECT stream_id, unnest(list_filter([trim(x) for x in string_split(replace(m, chr(2), '.'), {SEP})], lambda x: x <> '')) AS s,
+      generate_subscripts(list_filter([trim(x) for x in string_split(replace(m, chr(2), '.'), {SEP})], lambda x: x <> ''), 1) AS i,
+      len(list_filter([trim(x) for x in string_split(m, {SEP})], lambda x: x <> '')) AS k, suffix(m, {SEP}) AS whole FROM t),
+  c AS (SELECT stream_id, sum(len({tokens('s')})) OVER (PARTITION BY stream_id ORDER BY i) AS z, i < k OR whole AS done FROM s),
+  e AS (SELECT stream_id, list(CAST(z AS BIGINT)) AS ends FROM c WHERE done GROUP BY stream_id),
+  src AS (SELECT stream_id, 'en' AS lang, words AS ts FROM t), {token_hits('src', 'stream_id')},
+  p AS (SELECT stream_id, list({{'a': CAST(a AS BIGINT), 'z': CAST(z AS BIGINT)}}) AS spans FROM ts GROUP BY stream_id),
+  w AS (SELECT t.stream_id, words, len(words) AS n, coalesce(ends, []) AS ends, coalesce(spans, []) AS spans,
+      list_filter(range(1, len(words) + 1), lambda i: words[i] IN (',', ';', ':')) AS commas
+    FROM t LEFT JOIN e USING (stream_id) LEFT JOIN p USING (stream_id)),
+  r AS (
+    SELECT stream_id, 0 AS no, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS z, 0 AS shifts, 0 AS oversized FROM w
+    UNION ALL
+    SELECT stream_id, no + 1, here, CASE WHEN sp IS NULL THEN cut WHEN greatest(sp.a, here) - here >= {low} THEN greatest(sp.a, here) ELSE sp.z END,
+      CASE WHEN sp IS NULL THEN 0 ELSE 1 END,
+      CASE WHEN greatest(sp.a, here) - here < {low} AND sp.z - greatest(sp.a, here) > {high} THEN 1 ELSE 0 END
+    FROM (SELECT *, list_filter(spans, lambda x: x.a < cut AND cut < x.z)[1] AS sp
+      FROM (SELECT *, CASE WHEN stop <= top THEN stop WHEN stop = top + 1 AND top - 1 - here >= {low} THEN top - 1
+          WHEN top < n THEN coalesce(list_max(list_filter(commas, lambda x: x <= top AND x - here >= {low})), top) ELSE n END AS cut
+        FROM (SELECT w.*, r.no, r.z AS here, least(w.n, r.z + {high}) AS top, list_min(list_filter(w.ends, lambda x: x > r.z)) AS stop
+          FROM r JOIN w ON w.stream_id = r.stream_id WHERE r.z < w.n))))"""
+
+
+WORDS = f"{tokens('text')} AS words, {marked(collapse('text'))} AS m"
+oracle("final_chunks", f"""
+  WITH RECURSIVE t AS (SELECT conv_id || '-' || turn AS stream_id, text, {WORDS} FROM conversations), {chunks(8, 24)}
+  SELECT w.stream_id, no AS phrase_no, {detok('words[a + 1:z]')} AS text, z = n AS is_final, shifts, oversized
+  FROM r JOIN w ON w.stream_id = r.stream_id WHERE no > 0""")
+# A sentence ends with its final only, so the final gives all phrases, and no partial has two sentences.
+oracle("phrases", f"""
+  WITH RECURSIVE {HYP}, {AGREED}, {shown('free')},
+  f AS (SELECT stream_id, no AS source_revision, {detok('tokens')} AS text FROM sc WHERE is_final),
+  t AS (SELECT stream_id, text, {WORDS} FROM f), {chunks(4, 12)}
+  SELECT w.stream_id, r.no AS phrase_no, source_revision, {detok('words[a + 1:z]')} AS text, z = n AS is_final, shifts
+  FROM r JOIN w ON w.stream_id = r.stream_id JOIN f ON f.stream_id = r.stream_id WHERE r.no > 0""")
+oracle("endpoint", f"""
+  WITH {HYP}, {AGREED}, {shown('free')},
+  x AS (SELECT *, {detok('tokens[1:n]')} AS text FROM sc)
+  SELECT stream_id, revision AS in_revision, text, NOT is_final AS is_endpoint, is_final, 0 AS n_frozen FROM x
+  WHERE is_final OR len({marked('text')}) - len(replace({marked('text')}, {SEP}, '')) >= 2""")
+
+
+def voiced(cut: str) -> str:
+    """Segments frame by frame; a frame where ``cut`` holds asks to keep four frames and one of context."""
+    return f"""
+  WITH RECURSIVE {FRAMES},
+  n AS (SELECT stream_id, max(frame_no) + 1 AS stop FROM fr GROUP BY stream_id),
+  r AS (
+    SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS f, false AS active, false AS asked, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS start,
+      0 AS lead, 0 AS before, 0 AS cand, 0 AS size, 0 AS since, 0 AS quiet, 0 AS context,
+      CAST(NULL AS BIGINT) AS o_first, CAST(0 AS BIGINT) AS o_from, 0 AS o_n, CAST(0 AS BIGINT) AS o_end, false AS o_final, false AS o_cut,
+      0 AS o_context FROM fr
+    UNION ALL
+    SELECT stream_id, f, opens OR is_cut OR was AND NOT is_end, asked AND NOT was,
+      CASE WHEN is_cut THEN first + begin ELSE first END, CASE WHEN is_cut THEN start + greatest(0, begin - lead) ELSE start END,
+      CASE WHEN opens THEN before WHEN is_cut THEN greatest(0, lead - begin) ELSE lead END,
+      CASE WHEN was OR opens THEN 0 WHEN speech THEN before ELSE least(2, before + 1) END, CASE WHEN was OR opens OR NOT speech THEN 0 ELSE cand END,
+      CASE WHEN opens THEN before + cand WHEN is_cut THEN size - begin ELSE size END,
+      CASE WHEN opens THEN before + cand WHEN is_cut THEN size - begin WHEN due THEN 0 ELSE since END,
+      CASE WHEN opens OR is_cut THEN 0 ELSE quiet END, CASE WHEN opens THEN 0 WHEN is_cut THEN keep - begin ELSE context END,
+      CASE WHEN is_cut OR is_end OR due THEN first END, start, CASE WHEN is_cut THEN keep ELSE size - trim END,
+      start - lead + greatest(lead, CASE WHEN is_cut THEN keep ELSE size - trim END), is_cut OR is_end, is_cut, context
+    FROM (SELECT *, keep - least(1, keep - 1) AS begin, was AND NOT is_end AND NOT is_cut AND since >= 6 AS due,
+        CASE WHEN size < 60 AND quiet >= 5 THEN quiet - 2 ELSE 0 END AS trim
+      FROM (SELECT *, least(4, size) AS keep, was AND asked AS is_cut, was AND NOT asked AND (size >= 60 OR quiet >= 5) AS is_end,
+          NOT was AND cand >= 3 AS opens
+        FROM (SELECT r.stream_id, fr.frame_no AS f, fr.voiced AS speech, r.active AS was, r.asked OR ({cut}) AS asked,
+            CASE WHEN NOT r.active AND fr.voiced AND r.cand = 0 THEN fr.frame_no ELSE r.first END AS first,
+            CASE WHEN NOT r.active AND fr.voiced AND r.cand = 0 THEN fr.frame_no ELSE r.start END AS start, r.lead, r.before,
+            CASE WHEN fr.voiced THEN r.cand + 1 ELSE 0 END AS cand, r.size + 1 AS size, r.since + 1 AS since,
+            CASE WHEN r.active AND NOT fr.voiced THEN r.quiet + 1 ELSE 0 END AS quiet, r.context
+          FROM r JOIN fr ON fr.stream_id = r.stream_id AND fr.frame_no = r.f + 1)))),
+  seg AS (
+    SELECT stream_id, o_first AS first_frame, o_from AS from_frame, o_end AS end_frame, o_n AS n_frames, f + 1 AS at_frame,
+      o_final AS is_final, o_cut AS is_cut, o_context AS context_frames FROM r WHERE o_first IS NOT NULL
+    UNION ALL
+    SELECT r.stream_id, first, start, start - lead + size, size, stop, true, false, context
+    FROM r JOIN n ON n.stream_id = r.stream_id AND f + 1 = stop WHERE active)"""
+
+
+oracle("segments", f"{voiced('false')} SELECT stream_id, first_frame, from_frame, end_frame, n_frames, at_frame, is_final FROM seg")
+oracle("cut_segments", f"""{voiced('fr.voiced AND fr.frame_no % 17 = 5')}
+  SELECT stream_id, first_frame, end_frame, n_frames, at_frame, is_final, is_cut, context_frames FROM seg""")
