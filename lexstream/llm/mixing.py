@@ -25,6 +25,8 @@ DOMAINS = ("good", "low", "toxic")
 TARGETS = (0.98, 0.01, 0.01)
 HASHES, SELECTED = 1 << 16, 512
 MAX_LABELLED = 20_000
+#: Text bytes of a batch of copies, about.
+COPY_BYTES = 8 << 20
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -186,17 +188,20 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...], tolerance: float =
     Minimizes the squared distance of the expected totals ``S_k = sum_d r_d * tokens_d * p_dk`` from the
     targets over r >= 0, starting from r = 1.  The gradient of a row depends on the row by its posterior
     only; it is scaled by the Gram matrix of the rows that are not at zero, so a few steps do.  The
-    domain of the largest weight keeps its tokens and the others are thinned to fit; a domain that has
-    fewer tokens than its weight asks for keeps those it has, as no text is to be repeated.  Domains that
-    no row belongs to are left out of the targets; without tokens there is no step.
+    domain of the largest weight keeps its tokens; the others are thinned or repeated until the totals
+    stand to each other as the weights do.  A domain's share of a mix is at most the largest posterior
+    of a row, so a weight beyond that is out of reach of any rates: such a domain is to keep its tokens,
+    and ``unreached`` names its place.  Without tokens there is no step.
     """
     k = len(targets)
     have, gram = _sums(members, [], k)
-    want = np.where(have > 1e-9 * max(have.sum(), 1.0), np.array(targets, float), 0.0)
+    want = np.array(targets, float)
     if not have.sum() or not want.sum():
-        return [], {"have": have, "target": have, "got": have}
-    lead = int(np.argmax(want))
-    target = np.minimum(want * have[lead] / want[lead], have)
+        return [], {"have": have, "target": have, "got": have, "unreached": []}
+    most = members.where("tokens > 0").agg(*[F.max(F.col("posterior")[d]) for d in range(k)]).first()
+    reached = np.array(most, float) >= want / want.sum()
+    lead = int(np.argmax(np.where(reached, want, -1.0)))
+    target = np.where(reached & (want[lead] > 0), want * have[lead] / max(want[lead], 1e-300), have)
     steps: list[np.ndarray] = []
     got, best = have, (np.inf, 0)
     for _ in range(rounds):
@@ -210,12 +215,11 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...], tolerance: float =
     else:
         best = min(best, (float(np.abs(got - target).max()), len(steps)))
     steps = steps[: best[1]]
-    return steps, {"have": have, "target": target, "got": _sums(members, steps, k)[0]}
+    return steps, {"have": have, "target": target, "got": _sums(members, steps, k)[0], "unreached": np.flatnonzero(~reached).tolist()}
 
 
-def copies(rates: np.ndarray, draws: np.ndarray, hold: float) -> np.ndarray:
-    """Whole copies with the rates as their mean; rates within ``hold`` of one are one."""
-    rates = np.where(np.abs(rates - 1) <= hold, 1.0, rates)
+def copies(rates: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Whole copies with the rates as their mean."""
     return np.floor(rates + draws).astype(np.int64)
 
 
@@ -224,9 +228,7 @@ def draw(id_col: str, text_col: str, seed: int = 4) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def mixed(
-    docs: DataFrame, membership: Membership, steps: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text", hold: float = 0.05,
-) -> DataFrame:
+def mixed(docs: DataFrame, membership: Membership, steps: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns kept, as often as their rate tells."""
     held = share(docs.sparkSession, (membership, steps))
     columns, raw, at = docs.columns, fresh(docs, "raw"), fresh(docs, "draw")
@@ -234,10 +236,13 @@ def mixed(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, moves = shared(held)
         for batch in batches:
-            p = np.array([model.posterior(t) for t in batch.column(len(columns)).to_pylist()]).reshape(-1, len(DOMAINS))
-            n = copies(replay(p, moves), batch.column(len(columns) + 1).to_numpy(zero_copy_only=False), hold)
-            places = pa.array(np.repeat(np.arange(batch.num_rows), n))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(places) for c in range(len(columns))], names=columns)
+            texts = batch.column(len(columns)).to_pylist()
+            p = np.array([model.posterior(t) for t in texts]).reshape(-1, len(DOMAINS))
+            n = copies(replay(p, moves), batch.column(len(columns) + 1).to_numpy(zero_copy_only=False))
+            places = np.repeat(np.arange(batch.num_rows), n)
+            size = np.array([64 + len(t or b"") for t in texts], np.int64)[places]
+            for part in np.split(places, np.flatnonzero(np.diff(np.cumsum(size) // COPY_BYTES)) + 1):
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(part)) for c in range(len(columns))], names=columns)
 
     return docs.withColumn(raw, utf8(text_col)).withColumn(at, draw(id_col, text_col)).mapInArrow(run, docs.schema)
 
@@ -260,7 +265,7 @@ def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
             rate = replay(p, steps)
             yield {
                 "doc_id": batch.column(0), "n_tokens": batch.column(1), **{f"p_{d}": p[:, k] for k, d in enumerate(DOMAINS)},
-                "rate": rate, "copies": copies(rate, batch.column(3).to_numpy(zero_copy_only=False), 0.0),
+                "rate": rate, "copies": copies(rate, batch.column(3).to_numpy(zero_copy_only=False)),
             }
 
     schema = f"doc_id long, n_tokens long, {', '.join(f'p_{d} double' for d in DOMAINS)}, rate double, copies long"

@@ -437,6 +437,27 @@ def test_rates_meet_targets(spark):
     assert rate.min() >= 0 and np.abs(got - totals["target"]).max() <= 1e-3 * totals["target"].sum()
 
 
+def test_scarce_domains_meet_their_weights(spark):
+    rng = np.random.default_rng(9)
+    alpha = [[200, 0.02, 0.3]] * 500 + [[0.5, 20, 0.5]] * 2 + [[0.5, 0.5, 20]] * 3
+    rows = [(int(t), [float(x) for x in rng.dirichlet(a)]) for t, a in zip(rng.integers(50, 500, len(alpha)), alpha)]
+    members = spark.createDataFrame(rows, "tokens long, posterior array<double>")
+    weights = np.array([0.7, 0.2, 0.1])
+    steps, totals = mixing.fit_rates(members, tuple(weights))
+    p = np.array([p for _, p in rows])
+    got = (np.array([t for t, _ in rows]) * mixing.replay(p, steps)) @ p
+    assert totals["have"][1] < 0.05 * totals["have"].sum() and not totals["unreached"]
+    assert np.abs(got / got.sum() - weights).max() <= 1e-3
+    steps, totals = mixing.fit_rates(members.where("posterior[1] < 0.1"), tuple(weights))
+    assert totals["unreached"] == [1] and totals["target"][1] == totals["have"][1]
+
+
+def test_copies_have_their_rates_as_mean():
+    draws = np.arange(1000) / 1000
+    for rate in (0.0, 0.03, 0.97, 1.03, 7.5):
+        assert abs(mixing.copies(np.full(1000, rate), draws).mean() - rate) <= 1e-3
+
+
 # 2: vectors
 
 def brute_vectors(vectors):
