@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_pass, flags, share, shared, table, utf8, words
+from .common import arrow_pass, flags, fresh, share, shared, table, utf8, words
 
 #: Item bytes held by one automaton; larger benchmarks are read in blocks of this size.
 BLOCK_BYTES = 4 << 20
@@ -217,6 +218,24 @@ def _find(batches: Iterator[pa.RecordBatch], held) -> Iterator[dict]:
         yield {"row": batch.column(0), "id": batch.column(1), "n_words": counts, "spans": spans, "items": items}
 
 
+def _packed(spans: list[tuple[int, int]], before: bytes | None) -> bytes | None:
+    """Spans of a block, behind those of the blocks before it."""
+    return (before or b"") + np.array(spans, np.int64).tobytes() if spans else before
+
+
+def _united(spans: list[tuple[int, int]], before: bytes | None) -> list[tuple[int, int]]:
+    """Spans of all blocks in order, merged where they overlap or touch."""
+    if before is None:
+        return spans
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted([*spans, *map(tuple, np.frombuffer(before, np.int64).reshape(-1, 2).tolist())]):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and what stands between them."""
     places = [m.span() for m in _WORD_AT.finditer(text)]
@@ -234,30 +253,40 @@ def decontaminated(
     """``docs`` without the spans that match a window, and without documents hit beyond ``max_coverage``.
 
     Rows keep all their columns; rows without a hit, null and empty texts included, come back unchanged.
+    Each block of a large benchmark reads the whole text and hands its spans on; the last one judges
+    coverage and cuts by the spans of all blocks.
     """
-    columns = docs.columns
+    columns, spans = docs.columns, fresh(docs, "spans")
     out = docs
     at = columns.index(text_col)
-    for automaton, _ in _automata(items, item_id, item_text, window, block_bytes):
-        held = share(docs.sparkSession, (automaton, None))
+    held = [share(docs.sparkSession, (automaton, None)) for automaton, _ in _automata(items, item_id, item_text, window, block_bytes)]
+    handed = T.StructType([*docs.schema.fields, T.StructField(spans, T.BinaryType())])
+    for k, block in enumerate(held):
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            automaton = shared(held)[0]
+        def run(batches: Iterator[pa.RecordBatch], block=block, first=not k, last=k == len(held) - 1) -> Iterator[pa.RecordBatch]:
+            automaton = shared(block)[0]
             for batch in batches:
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
+                before = [None] * len(texts) if first else batch.column(len(columns)).to_pylist()
                 keep = np.ones(len(texts), bool)
                 for k, text in enumerate(texts):
                     split = words(text)
-                    if automaton.shortest > len(split):
+                    found = automaton.spans(split)[0] if automaton.shortest <= len(split) else []
+                    if not last:
+                        before[k] = _packed(found, before[k])
                         continue
-                    spans = automaton.spans(split)[0]
-                    if spans:
-                        keep[k] = sum(b - a for a, b in spans) <= max_coverage * len(split)
-                        texts[k] = without_spans(text, spans)
-                column = pa.array(texts, pa.binary()).cast(batch.column(at).type)
-                yield flags(batch.set_column(at, columns[at], column), keep, columns)
-
-        out = out.mapInArrow(run, docs.schema)
+                    found = _united(found, before[k])
+                    if found:
+                        keep[k] = sum(b - a for a, b in found) <= max_coverage * len(split)
+                        texts[k] = without_spans(text, found)
+                if last:
+                    column = pa.array(texts, pa.binary()).cast(batch.column(at).type)
+                    yield flags(batch.set_column(at, columns[at], column), keep, columns)
+                else:
+                    held_columns = [batch.column(c) for c in range(len(columns))]
+                    yield pa.RecordBatch.from_arrays([*held_columns, pa.array(before, pa.binary())], names=[*columns, spans])
+
+        out = out.mapInArrow(run, docs.schema if k == len(held) - 1 else handed)
     return out
 
 

@@ -250,6 +250,20 @@ def test_spans_removed(spark):
     assert decontamination.decontaminated(made, items.limit(0)).count() == 4
 
 
+def test_decontaminated_in_blocks(spark):
+    """A benchmark in blocks cuts and drops as one block does."""
+    items = [(k, " ".join(f"w{k * 7 + j}" for j in range(20))) for k in range(12)]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    run = lambda a, b: " ".join(f"w{j}" for j in range(a, b))
+    pads = lambda n: " ".join(f"p{j}" for j in range(n))
+    made = [(1, f"{pads(50)} {run(0, 90)} {pads(400)}"), (2, f"{run(0, 11)} {pads(80)} {run(40, 51)}"), (3, f"{run(7, 12)} {run(0, 20)} {run(12, 27)} {pads(300)}")]
+    made = docs_of(spark, made + HIT).withColumn("spans", F.lit("s"))
+    for window, coverage in ((10, 0.2), (10, 0.01), (5, 0.5), (10, 1.0)):
+        one, many = (decontamination.decontaminated(made, items, window, coverage, block_bytes=b) for b in (4 << 20, 100))
+        assert many.columns == made.columns
+        assert Counter(tuple(r) for r in many.collect()) == Counter(tuple(r) for r in one.collect())
+
+
 # 1: personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
