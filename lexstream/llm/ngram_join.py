@@ -358,14 +358,18 @@ def near_texts(
     is the smallest id reachable by links.  A text without words, null included, has the empty set and
     links with nothing.  ``kept`` marks one row of each component, the first by id (null first) and row,
     and every row without words.  Rows that share an id are documents each; null ids rank above all others in
-    ``component_id``.  ``row`` numbers the rows as ``monotonically_increasing_id`` does on ``docs``.
-    An empty table gives no rows.
+    ``component_id``.  ``row`` is a number that each row gets once, stored with its text, so that later jobs
+    read the same rows under it however ``docs`` is split then.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "texts")
-    kind = dict(docs.dtypes)[id_col]
+    scratch = Scratch(docs.sparkSession, "texts")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    read = scratch.put(_read(texts, kind, size, percent))
+    return _near(scratch.put(texts), size, percent, scratch).withColumnRenamed("id", id_col)
+
+
+def _near(texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``near_texts`` of stored rows (row, id, text)."""
+    spark = texts.sparkSession
+    read = scratch.put(_read(texts, dict(texts.dtypes)["id"], size, percent))
     classes = read.where("n > 0").groupBy("name").agg(
         F.first("n").alias("n"), F.first("countable").alias("countable"), F.min("row").alias("row"), F.min("id").alias("least")
     )
@@ -400,20 +404,23 @@ def near_texts(
     named = scratch.put(named.join(least, "root").select("name", "root", "component_id"))
     rows = read.select("row", "id", "n", "name").join(named, "name", "left")
     rows = scratch.put(rows)
-    scratch.drop(sets)
+    for step in (sets, read, texts):
+        scratch.drop(step)
     first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "row")).alias("f")).select(F.col("f.row").alias("keeper"))
     rows = rows.join(scratch.put(first), F.col("row") == F.col("keeper"), "left")
     return rows.select(
-        "row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+        "row", "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
         (F.col("keeper").isNotNull() | (F.col("n") == 0)).alias("kept"),
     )
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_texts`` keeps, all columns kept."""
-    row = fresh(docs, "row")
-    found = Scratch(docs.sparkSession, "kept").put(near_texts(docs, id_col, text_col, size, percent).where("not kept").select(F.col("row").alias(row)))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(sized(found, 16), row, "left_anti").drop(row).select(docs.columns)
+    row, scratch = fresh(docs, "row"), Scratch(docs.sparkSession, "kept")
+    stored = scratch.put(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = stored.select(F.col(f"`{row}`").alias("row"), F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    found = scratch.put(_near(texts, size, percent, scratch).where("not kept").select(F.col("row").alias(row)))
+    return stored.join(sized(found, 16), row, "left_anti").drop(row).select(docs.columns)
 
 
 def op7_ngram_join(spark: SparkSession, sf: str) -> DataFrame:

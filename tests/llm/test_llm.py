@@ -621,6 +621,26 @@ def test_near_copies_of_many_kinds(spark, monkeypatch):
     assert ngram_join.near_texts(df.limit(0)).count() == 0
 
 
+def test_rows_keep_their_numbers(spark, folder, monkeypatch):
+    """Files that later jobs deal to other partitions change no result."""
+    made = [(k, " ".join(f"w{k // 2 * 40 + j}" for j in range(40)) + " x" * (k % 2)) for k in range(200)]
+    docs_of(spark, made).repartition(12).write.parquet(f"{folder}/docs")
+    df, plain, name = spark.read.parquet(f"{folder}/docs"), ngram_join.components, "spark.sql.files.minPartitionNum"
+
+    def dealt_anew(edges, scratch):
+        spark.conf.set(name, "1")
+        return plain(edges, scratch)
+
+    monkeypatch.setattr(ngram_join, "components", dealt_anew)
+    try:
+        check_near(ngram_join.near_texts(df).collect(), made)
+        spark.conf.unset(name)
+        out = ngram_join.without_near_copies(df).collect()
+    finally:
+        spark.conf.unset(name)
+    assert sorted(r["doc_id"] // 2 for r in out) == list(range(100))
+
+
 # All
 
 def test_components(spark):
