@@ -25,6 +25,8 @@ SAMPLE = 20_000
 BLOCK = 1024
 #: Vectors of a group of buckets, about.
 GROUP = 8192
+#: Pairs at the threshold that the tables are measured on, and groups of them by closeness to the mean.
+PAIRS, GROUPS = 8000, 10
 
 
 @dataclass
@@ -44,32 +46,89 @@ class Codes:
         return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _pairs(sample: np.ndarray, mean: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled vectors with partners at the threshold, and the group of each pair.
+
+    Half of the partners lie in any direction, half towards a near one of 32 vectors of the same group.
+    """
+    ranked = sample[np.argsort(sample @ mean, kind="stable")]
+    n = len(ranked)
+    place = np.sort(rng.integers(0, n, PAIRS))
+    group = place * GROUPS // n
+    first = ranked[place]
+    aside = rng.normal(size=first.shape)
+    for k in range(0, PAIRS, 2):
+        low, high = -(-group[k] * n // GROUPS), -(-(group[k] + 1) * n // GROUPS)
+        others = ranked[rng.integers(low, high, 32)]
+        near = others @ first[k]
+        at = int(np.argmax(np.where(near < 1 - 1e-9, near, -2.0)))
+        if near[at] < 1 - 1e-9:
+            aside[k] = others[at]
+    aside = _unit(aside - (aside * first).sum(1, keepdims=True) * first)
+    second = _unit(threshold * first + np.sqrt(max(0.0, 1 - threshold**2)) * aside)
+    return first, second, group * 2 + np.arange(PAIRS) % 2
+
+
+def _asked(first: np.ndarray, second: np.ndarray, group: np.ndarray, bits: int, recall: float) -> int:
+    """Tables of random planes that find the pairs of the worst group with the recall."""
+    cos = np.clip((_unit(first) * _unit(second)).sum(1), -1, 1)
+    missed = 1 - np.minimum((1 - np.arccos(cos) / np.pi) ** bits, 1 - 1e-12)
+    size = np.maximum(np.bincount(group, minlength=2 * GROUPS), 1)
+    tables = 1
+    while (np.bincount(group, missed**tables, minlength=2 * GROUPS) / size).max() > 1 - recall and tables < 1 << 20:
+        tables *= 2
+    low, high = tables // 2, tables
+    while high - low > 1:
+        middle = (low + high) // 2
+        enough = (np.bincount(group, missed**middle, minlength=2 * GROUPS) / size).max() <= 1 - recall
+        low, high = (low, middle) if enough else (middle, high)
+    return high
+
+
 def learn_codes(sample: np.ndarray, vectors: int, threshold: float, recall: float, seed: int = 2, rounds: int = 30) -> Codes:
     """Iterative quantisation on the sample; as many tables as the recall at the threshold asks for.
 
-    A bit differs between vectors at the threshold with probability angle / pi.  Substrings have about
-    log2 of the number of vectors bits less six, so buckets hold some tens of unrelated vectors.
+    A bit differs between vectors with probability angle / pi, and centering widens the angle of vectors
+    close to the mean.  So the tables are measured on pairs at the threshold: there are as many as the
+    angles ask for without centering, and more until the worst group of pairs has the recall.  Where the
+    angles after centering ask for over four times the tables, the vectors are not centered.  Substrings have about log2 of the
+    number of vectors bits less six, so buckets hold some tens of unrelated vectors.
     """
     dim = sample.shape[1]
     mean = sample.mean(0)
-    x = sample - mean
-    _, _, axes = np.linalg.svd(x.T @ x / len(x))
     rng = np.random.default_rng(seed)
     bits = int(min(dim, max(6, np.ceil(np.log2(max(vectors, 2))) - 6)))
-    same = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
-    wanted = 1 if same >= 1 else int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
+    first, second, group = _pairs(sample, mean, threshold, np.random.default_rng(seed + 1))
+    wanted, plain = _asked(first - mean, second - mean, group, bits, recall), _asked(first, second, group, bits, recall)
+    if wanted > 4 * plain:
+        mean, wanted = np.zeros(dim), plain
+    x = sample - mean
+    _, _, axes = np.linalg.svd(x.T @ x / len(x))
     per = max(1, dim // bits)
+    size = np.maximum(np.bincount(group, minlength=2 * GROUPS), 1)
+    found = np.zeros(PAIRS, bool)
     rotations, tables = [], []
-    while len(tables) < wanted:
+    while True:
         turn, _ = np.linalg.qr(rng.normal(size=(dim, dim)))
         v = x @ axes.T
-        for _ in range(rounds):
+        # Rotations beyond the expected number stay random, so that each new one adds to the recall.
+        for _ in range(rounds if len(tables) < wanted else 0):
             u, _, w = np.linalg.svd(np.sign(v @ turn).T @ v)
             turn = (u @ w).T
-        order = rng.permutation(dim) + dim * len(rotations)
+        order = rng.permutation(dim)
         rotations.append(axes.T @ turn)
-        tables += [order[i * bits : (i + 1) * bits] for i in range(per)]
-    return Codes(mean, np.hstack(rotations), tables[:wanted])
+        alike = ((first - mean) @ rotations[-1] >= 0) == ((second - mean) @ rotations[-1] >= 0)
+        for i in range(per):
+            places = order[i * bits : (i + 1) * bits]
+            tables.append(places + dim * (len(rotations) - 1))
+            found |= alike[:, places].all(1)
+            missed = (np.bincount(group, ~found, minlength=2 * GROUPS) / size).max()
+            if len(tables) >= plain and missed <= 1 - recall:
+                return Codes(mean, np.hstack(rotations), tables)
 
 
 def _units(packed: list[bytes], dtype: str, dim: int) -> np.ndarray:

@@ -545,6 +545,24 @@ def test_vector_recall(spark):
     assert sum(r["n_links"] for r in out) >= 0.9 * 1200
 
 
+@pytest.mark.parametrize("kind", ["hot", "mean"])
+def test_recall_away_from_the_mean(kind):
+    """Tables are sized for vectors that centering turns apart: a hot group, or a mean that all share."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    made, centre = unit(rng.normal(size=(3000, 64))), unit(rng.normal(size=64))
+    hot = slice(0, 1000)
+    if kind == "hot":
+        made[hot] = unit(np.sqrt(0.9) * centre + np.sqrt(0.1) * made[hot])
+    else:
+        made = unit(0.6 * centre + 0.8 * made)
+    codes = embedding_dedup.learn_codes(made, 1_000_000, 0.9, 0.95)
+    a = made[hot]
+    aside = rng.normal(size=a.shape) if kind == "mean" else np.roll(a, 1, 0)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * unit(aside - (aside * a).sum(1, keepdims=True) * a)
+    assert (codes.buckets(a) == codes.buckets(b)).any(1).mean() >= 0.92
+
+
 def test_vector_query(spark):
     vectors = [tuple(r) for r in common.table(spark, SF, "embeddings").select("vec_id", "embedding").collect()]
     check_vectors(QUERIES["op2_embedding_dedup"](spark, SF).collect(), vectors)
