@@ -1,7 +1,7 @@
 """Operator 1: personal data by bootstrapped contextual extraction.
 
-Seeds are what fixed formats find.  Each seed, and each other token with a digit or an at sign, is a
-mention with lexical patterns: the words around it.  Patterns and instances (the normalized tokens)
+Seeds are what fixed formats find.  Each seed, each other token with a digit or an at sign, and each
+run of digit groups that spreads over tokens is a mention with lexical patterns: the words around it.  Patterns and instances (the normalized tokens)
 form a graph that Spark scores in rounds: a pattern is as good as the share of its instances that
 are known, an instance as good as its patterns together make it.  Instances that good patterns carry
 are unseen identifiers.
@@ -9,6 +9,7 @@ are unseen identifiers.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "+")
-#: Longest token that is taken for an identifier.
-MAX_INSTANCE = 64
+#: Groups of digits, as phones and cards are written.
+_RUN = re.compile(r"(?<![0-9])\+?[0-9]++(?:[ ().-]++[0-9]++)+")
 
 
 def _luhn(digits: str) -> bool:
@@ -108,16 +109,35 @@ def mentions_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     seeds = base_spans(text)
     found = [(a, b, kind, text[a:b].lower(), _around(text, a, b)) for a, kind, b in seeds]
     taken = sorted((a, b) for a, _, b in seeds)
+    runs = list(_runs(text, taken))
+    heads = {a for a, _ in runs}
     k, reach = 0, 0
     for a, b in _tokens(text):
         while k < len(taken) and taken[k][0] < b:
             reach = max(reach, taken[k][1])
             k += 1
-        if a >= reach and b - a <= MAX_INSTANCE:
-            found.append((a, b, -1, text[a:b].lower(), _around(text, a, b)))
+        if a >= reach:
+            # What stands before the first token of a run speaks for the run.
+            found.append((a, b, -1, text[a:b].lower(), [] if a in heads else _around(text, a, b)))
+    found += [(a, b, -1, text[a:b].lower(), _around(text, a, b)) for a, b in runs]
     return seeds, found
 
 
+def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Maximal runs of digit groups between the seeds that hold a blank; others are within one token."""
+    at = 0
+    for start, end in [*taken, (len(text), len(text))]:
+        for m in _RUN.finditer(text, at, max(at, start)):
+            if " " in m[0]:
+                yield m.span()
+        at = max(at, end)
+
+
+def _name(instance: str) -> int:
+    """64-bit hash of a whole instance."""
+    return int.from_bytes(hashlib.blake2b(instance.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def _score(edges: DataFrame, scratch: Scratch, rounds: int, support: float, trust: float) -> DataFrame:
     """(instance, kind) that good patterns carry, beyond the seeds.
 
@@ -154,12 +174,13 @@ def extract_pii(
     ``base`` holds the seeds, ``spans`` the seeds and what the patterns discover: instances whose score
     reaches ``trust``, carried by patterns of at least ``support`` known instances.  Null and empty
     texts have no spans; repeated rows give their spans each; an instance that two kinds claim alike
-    takes the kind listed first.  Without seeds nothing is discovered.
+    takes the kind listed first.  A run of digit groups and a token in it may both be listed.  Without
+    seeds nothing is discovered.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     kind = dict(docs.dtypes)[id_col]
     span = "array<struct<start:int,kind:int,end:int>>"
-    mention = "array<struct<start:int,end:int,kind:int,instance:string,patterns:array<string>>>"
+    mention = "array<struct<start:int,end:int,kind:int,instance:long,patterns:array<string>>>"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -167,16 +188,18 @@ def extract_pii(
             for text in batch.column(2).to_pylist():
                 seeds, mentions = mentions_of(text or "")
                 base.append([dict(zip(("start", "kind", "end"), s)) for s in seeds])
-                found.append([dict(zip(("start", "end", "kind", "instance", "patterns"), m)) for m in mentions])
+                found.append([
+                    {"start": a, "end": b, "kind": kind, "instance": _name(instance), "patterns": patterns}
+                    for a, b, kind, instance, patterns in mentions
+                ])
             yield {"row": batch.column(0), "id": batch.column(1), "base": base, "mentions": found}
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     read = scratch.put(arrow_pass(texts, step, f"row long, id {kind}, base {span}, mentions {mention}"))
     each = read.where("size(mentions) > 0").select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    hashed = each.withColumn("instance", F.xxhash64("instance"))
-    edges = hashed.select("instance", "kind", F.explode("patterns").alias("pattern")).withColumn("pattern", F.xxhash64("pattern"))
+    edges = each.select("instance", "kind", F.explode("patterns").alias("pattern")).withColumn("pattern", F.xxhash64("pattern"))
     unseen = _score(edges, scratch, rounds, support, trust)
-    new = hashed.where("kind < 0").drop("kind").join(unseen, "instance").groupBy("row").agg(
+    new = each.where("kind < 0").drop("kind").join(unseen, "instance").groupBy("row").agg(
         F.collect_list(F.struct("start", "kind", "end")).alias("new")
     )
     out = read.select("row", "id", "base").join(new, "row", "left")

@@ -323,6 +323,15 @@ def test_pii_patterns(spark):
     assert pii.extract_pii(docs_of(spark, ODD[:6])).count() == 6
 
 
+def test_pii_of_several_tokens(spark):
+    known = [(k, f"please call me at +1 (437) 555-0{k:03d} today or mail") for k in range(100, 120)]
+    long = "7" + "x" * 80
+    made = known + [(1, "please call me at 030 1234 5678 today or mail"), (2, f"please call me at {long} today or mail")]
+    out = pii.extract_pii(docs_of(spark, made)).collect()
+    new = {(r["doc_id"], s["start"], s["kind"], s["end"]) for r in out for s in r["spans"] if s not in r["base"]}
+    assert new == {(1, 18, 3, 31), (2, 18, 3, 18 + len(long))}
+
+
 # 5: licenses
 
 def brute_phrases(text):
