@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation_repair import op11_conversation_repair
 from .decontamination import op6_decontamination
 from .embedding_dedup import op2_embedding_dedup
 from .licenses import op5_licenses
@@ -12,6 +13,8 @@ from .pii import op1_pii
 from .quality import op3_quality
 from .sharding import op10_sharding
 from .token_counts import op8_token_counts
+from .url_filter import op13_url_filter
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_whitening": op12_whitening,
+    "op13_url_filter": op13_url_filter,
 }
 #: A-Z in lower case; null is no text.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,3 +103,88 @@ ORACLES = {
         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
       FROM g GROUP BY doc_id""",
 }
+
+
+#: crc32 of a text of ASCII characters, by its definition: a byte after another, bit after bit.
+_CRC32 = """(xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))))"""
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by recursion over the rows of a conversation, a struct (cost, edits, text) for each state."""
+    line = "role || ':' || text || chr(10)"
+
+    def put(state: str, cost: str, edits: str, text: str, when: str = "true") -> str:
+        return f"CASE WHEN {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edits}', 'b': {state}.b || {text}}} END"
+
+    def turn(role: str) -> str:
+        return f"'{role}:' || text || chr(10)"
+
+    def to(role: str, state: str, states: tuple[str, ...], over: tuple[str, ...]) -> str:
+        """Options that lead to the state behind a role: without inserts from ``states``, with one from ``over``."""
+        other = "assistant" if role == "user" else "user"
+        out = [put(state, "3", "D", "''")]
+        for s in states:
+            out.append(put(s, "flaw", "K", line, f"ok AND r = '{role[0]}'"))
+            out.append(put(s, "2 + flaw", "R", turn(role), "ok"))
+        for s in over:
+            insert = f"'{other}:' || chr(10) || "
+            out.append(put(s, "2 + flaw", "IK", insert + line, f"ok AND r = '{role[0]}'"))
+            out.append(put(s, "4 + flaw", "IR", insert + turn(role), "ok"))
+        return f"list_min([{', '.join(out)}])"
+
+    free, none = "{'c': 0, 'a': '', 'b': ''}", "{'c': 1000000000, 'a': '', 'b': ''}"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    kept = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    return rf"""
+      WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format(key)} % 20 AS fate
+        FROM conversations),
+      d AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+          CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+          unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM t WHERE fate <> 0),
+      o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM d),
+      f AS (SELECT *, substr(role, 1, 1) AS r, CASE WHEN {kept} = '' THEN 'blank'
+          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+          WHEN right({kept}, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+      g AS (SELECT *, fault IN ('', 'truncated') AS ok, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS flaw FROM f),
+      n AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS rows, count(*) FILTER (WHERE fault = 'blank') AS blank,
+          count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+          count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM g) GROUP BY conv_id),
+      v AS (SELECT conv_id, rows, CAST(0 AS BIGINT) AS i, {free} AS q0, {none} AS q1, {none} AS q2, {none} AS q3 FROM n
+        UNION ALL
+        SELECT v.conv_id, rows, g.i, {put('q0', '3', 'D', "''")},
+          list_min([{put('q1', '3', 'D', "''")}, {put('q0', 'flaw', 'K', line, "ok AND r = 's'")}]),
+          {to('user', 'q2', ('q0', 'q1', 'q3'), ('q2',))}, {to('assistant', 'q3', ('q2',), ('q0', 'q1', 'q3'))}
+        FROM v JOIN g ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.i = v.i + 1),
+      e AS (SELECT conv_id, list_min([q0, q3, {put('q2', '2', 'I', "'assistant:' || chr(10)")},
+          {put('q1', '4', 'II', "'user:' || chr(10) || 'assistant:' || chr(10)")}]) AS best FROM v WHERE i = rows)
+      SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+        coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+        sha256(coalesce(left(best.b, -1), '')) AS repaired_sha256
+      FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN n ON x.conv_id IS NOT DISTINCT FROM n.conv_id
+        LEFT JOIN e ON x.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+ORACLES["op11_conversation_repair"] = _repair_sql()
+
+_HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op13_url_filter"] = rf"""
+  WITH p AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+  r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS v(verdict, host, path)),
+  j AS (SELECT * FROM (VALUES ('*casino*', '\..*casino.*', ''), ('*poker*', '\..*poker.*', ''), ('*pills*', '\..*pills.*', ''),
+    ('*viagra*', '\..*viagra.*', ''), ('*-bets*', '\..*-bets.*', ''), ('ads.*', '.*\.ads\..*', ''), ('ads-*', '.*\.ads-.*', ''),
+    ('**/wp-login', '.*', '/wp-login'), ('**/cart/', '.*', '/cart/'), ('**/login/', '.*', '/login/'), ('**.zip', '.*', '.zip'),
+    ('**.exe', '.*', '.exe'), ('**.jpg', '.*', '.jpg'), ('**.png', '.*', '.png'), ('**.css', '.*', '.css'), ('**.js', '.*', '.js'))
+    AS v(pattern, host, part)),
+  u AS (SELECT DISTINCT host, path FROM p),
+  a AS (SELECT u.host, u.path, first(r.host || r.path ORDER BY length(r.host || r.path) DESC, r.verdict = 'block' DESC, r.host || r.path) AS rule,
+      first(r.verdict ORDER BY length(r.host || r.path) DESC, r.verdict = 'block' DESC, r.host || r.path) AS verdict
+    FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.host, u.path),
+  b AS (SELECT u.host, u.path, first(pattern ORDER BY length(pattern) DESC, pattern) AS pattern
+    FROM u JOIN j ON regexp_full_match('.' || u.host, '(?s)' || j.host) AND contains(u.path, j.part) GROUP BY u.host, u.path)
+  SELECT page_id, p.host, p.path, a.rule, coalesce(a.verdict, CASE WHEN b.pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+    CASE WHEN a.rule IS NULL THEN b.pattern END AS pattern
+  FROM p LEFT JOIN a ON p.host = a.host AND p.path = a.path LEFT JOIN b ON p.host = b.host AND p.path = b.path"""
