@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from . import blocks
+from . import ordered
 
 # Event types that no consumer may lose, and the guard behind a playback.
 LOSSLESS = ("error", "overload", "asr_final", "translation_final", "tts_final")
@@ -89,7 +89,7 @@ def history(rows: DataFrame, session: str, order: list[str], text: str, rows_per
     the whole history.
     """
     d = rows.filter(F.col("is_final") & ~is_blank(F.col(text)))
-    d = blocks.numbered(d, [session], order, F.floor(F.col(order[0]) / 1024), "__n")
+    d = ordered.numbered(d, [session], order, "__n")
     d = d.withColumn("__part", F.floor((F.col("__n") - 1) / rows_per_part))
     g = d.groupBy(session, "__part").agg(
         F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__text")))).alias("ts"), F.count("*").alias("n_texts")
@@ -110,27 +110,21 @@ def read_ahead(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy("emitted_at", "event_id").limit(n)
 
 
-def playback(phrases: DataFrame, session: str, order: str, available: Column, duration: Column, block: int = 1024) -> DataFrame:
+def playback(phrases: DataFrame, session: str, order: str, available: Column, duration: Column, **options) -> DataFrame:
     """Start and finish of phrases played one after another, in the time unit of ``available``.
 
-    finish_i = max(available_i, finish_{i-1}) + duration_i.  With S the running sum of durations it
-    equals S_i plus the running maximum of available_j - S_{j-1}, so no row waits for the one before.
+    finish_i = max(available_i, finish_{i-1}) + duration_i, in one scan (``ordered.Finish``), so no row
+    waits for the one before.
     """
-    b = F.floor(F.col(order) / block)
-    d = phrases.withColumn("__a", available).withColumn("__d", duration)
-    d = blocks.running(d, [session], [order], b, "sum", F.col("__d"), "__s")
-    d = blocks.running(d, [session], [order], b, "max", F.col("__a") - (F.col("__s") - F.col("__d")), "__m")
-    d = d.withColumn("finish", F.col("__s") + F.col("__m"))
-    return d.withColumn("start", F.col("finish") - F.col("__d")).drop("__a", "__d", "__s", "__m")
+    d = ordered.scan(phrases, [session], [order], {"finish": ordered.Finish(available, duration)}, **options)
+    return d.withColumn("start", F.col("finish") - duration)
 
 
-def pacing(chunks: DataFrame, session: str, order: str, at: Column, duration: Column, started: Column, block: int = 1024) -> DataFrame:
+def pacing(chunks: DataFrame, session: str, order: str, at: Column, duration: Column, started: Column, **options) -> DataFrame:
     """How long each chunk must wait for the media clock: ``delay``, and how late it is: ``drift``."""
-    b = F.floor(F.col(order) / block)
-    d = chunks.withColumn("__d", duration)
-    d = blocks.running(d, [session], [order], b, "sum", F.col("__d"), "media")
+    d = ordered.scan(chunks, [session], [order], {"media": ordered.Sum(duration)}, **options)
     due = started + F.col("media")
-    return d.withColumn("delay", F.greatest(due - at, F.lit(0))).withColumn("drift", F.greatest(at - due, F.lit(0))).drop("__d")
+    return d.withColumn("delay", F.greatest(due - at, F.lit(0))).withColumn("drift", F.greatest(at - due, F.lit(0)))
 
 
 def phrase_audio(chunks: DataFrame, keys: list[str], order: str, samples: str, rate: str) -> DataFrame:
@@ -143,8 +137,8 @@ def phrase_audio(chunks: DataFrame, keys: list[str], order: str, samples: str, r
     return g.select(*keys, joined.alias("samples"), "n_samples", (F.col("n_samples") / F.col("rate")).alias("duration_s"))
 
 
-def elapsed_since_previous(rows: DataFrame, key: str, order: str, at: str, block: int = 1024) -> DataFrame:
+def elapsed_since_previous(rows: DataFrame, key: str, order: str, at: str, **options) -> DataFrame:
     """Milliseconds since the row before in the same stream; null for the first."""
-    d = blocks.previous(rows, [key], [order], F.floor(F.col(order) / block), {"__was": F.col(at)})
+    d = ordered.previous(rows, [key], [order], {"__was": F.col(at)}, **options)
     ms = (F.unix_micros(at) - F.unix_micros("__was")) / 1000.0
     return d.withColumn("elapsed_ms", ms).drop("__was")

@@ -206,12 +206,14 @@ def scan(
     df: DataFrame, keys: list[str], order: list[str], values: dict[str, Running], rows: int = PART_ROWS,
     cut: Layout | None = None,
 ) -> DataFrame:
-    """Add the running ``values`` to the rows.  ``cut`` reuses the layout of rows with the same keys and order.
+    """Add the running ``values`` to the rows.  ``cut`` reuses the layout of rows with the same keys and order;
+    rows that still hold their part from ``cut.parted`` stay where they are, so scans in a row share an exchange.
 
     Null keys are a key; null orders come first.  Rows of equal order count in any order among themselves.
     """
     cut = cut or layout(df, keys, order, rows)
-    d = cut.parted(df)
+    given = PART in df.columns
+    d = df if given else cut.parted(df)
     quoted = [F.col(f"`{k}`") for k in keys]
     inner = Window.partitionBy(*quoted, *([PART] if cut.hot else [])).orderBy(*[F.col(f"`{c}`") for c in order])
     for name, value in values.items():
@@ -219,7 +221,7 @@ def scan(
     base = d
     for name, value in values.items():
         d = value.local(d, name, inner)
-    helpers = [PART]
+    helpers = [] if given else [PART]
     if cut.hot:
         place = order_of(order)
         sums = cut.only_hot(base).groupBy(*quoted, PART).agg(*[c for n, v in values.items() for c in v.summary(n, place)])
@@ -227,7 +229,7 @@ def scan(
         for name, value in values.items():
             sums = value.carry(sums, name, before)
         names = [f"__on{i}" for i in range(len(keys))]
-        carried = [c for c in sums.columns if c.startswith(("__c_", "__m_"))]
+        carried = [c for n in values for c in (f"__c_{n}", f"__m_{n}") if c in sums.columns]
         side = sums.select(
             *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], F.col(PART).alias("__on_part"), *carried
         )
@@ -237,7 +239,7 @@ def scan(
         d = d.withColumns({n: v.joined(n) for n, v in values.items()})
     else:
         d = d.withColumns({n: F.col(n) + F.col(f"__t_{n}") for n, v in values.items() if isinstance(v, Finish)})
-    helpers += [c for c in d.columns if c.startswith(("__v_", "__d_", "__t_"))]
+    helpers += [f"__{kind}_{n}" for n in values for kind in "vdt"]
     return d.drop(*helpers)
 
 

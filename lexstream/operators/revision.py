@@ -15,14 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import common_prefix, detokenize, ends_sentence, sentence_token_ends, tokenize
 from ..schemas import schema
-from . import agreement, blocks, chunking, keyed, matching
-
-BLOCK = 1024
-
-
-def block_of(order: str, size: int = BLOCK) -> Column:
-    return F.floor(F.col(order) / size)
-
+from . import agreement, chunking, keyed, matching, ordered
 
 # Windows ----------------------------------------------------------------------------------------
 
@@ -30,12 +23,12 @@ def block_of(order: str, size: int = BLOCK) -> Column:
 def utterances(rows: DataFrame, stream: str, order: str, final: str = "is_final", name: str = "utterance") -> DataFrame:
     """Number utterances from 0: a new one opens with the first row after a final row."""
     ends = F.coalesce(F.col(final), F.lit(False)).cast("bigint")
-    return blocks.running(rows, [stream], [order], block_of(order), "sum", ends, name, inclusive=False)
+    return ordered.scan(rows, [stream], [order], {name: ordered.Sum(ends, inclusive=False)})
 
 
 def revise_numbers(rows: DataFrame, stream: str, order: str, name: str = "revision") -> DataFrame:
     """Number the rows of a stream from 1."""
-    return blocks.numbered(rows, [stream], [order], block_of(order), name)
+    return ordered.numbered(rows, [stream], [order], name)
 
 
 def latest_partials(rows: DataFrame, stream: str, slot: Column, revision: str = "revision") -> DataFrame:
@@ -70,18 +63,18 @@ def drop_stale_generations(rows: DataFrame, source: str, generation: str = "gene
 
 def overload_generations(rows: DataFrame, source: str, order: str, overload: Column) -> DataFrame:
     """Add ``generation``: the overloads of the source so far, the row itself included."""
-    return blocks.running(rows, [source], [order], block_of(order), "sum", overload.cast("bigint"), "generation")
+    return ordered.scan(rows, [source], [order], {"generation": ordered.Sum(overload.cast("bigint"))})
 
 
 def revision_guard(rows: DataFrame, stream: str, order: str, revision: str) -> DataFrame:
     """Add ``stale``: a result with a revision below the highest that arrived before it."""
-    d = blocks.running(rows, [stream], [order], block_of(order), "max", F.col(revision), "__seen", inclusive=False)
+    d = ordered.scan(rows, [stream], [order], {"__seen": ordered.Max(F.col(revision), inclusive=False)})
     return d.withColumn("stale", F.coalesce(F.col(revision) < F.col("__seen"), F.lit(False))).drop("__seen")
 
 
 def changed_only(rows: DataFrame, stream: str, order: str, value: str) -> DataFrame:
     """Rows whose value differs from the row before in their stream."""
-    d = blocks.previous(rows, [stream], [order], block_of(order), {"__was": F.col(value), "__any": F.lit(True)})
+    d = ordered.previous(rows, [stream], [order], {"__was": F.col(value), "__any": F.lit(True)})
     return d.filter(F.col("__any").isNull() | ~F.col(value).eqNullSafe(F.col("__was"))).drop("__was", "__any")
 
 

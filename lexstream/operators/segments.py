@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import schema
-from . import blocks, keyed, voice
+from . import keyed, ordered, voice
 
-FRAME_BLOCK = 1 << 14
 SETTINGS = dict(padding=10, min_speech=12, end_silence=30, emit=25, longest=750, context=0)
 SEGMENTS = schema(
     "stream_id string, part long, first_frame long, lead_frames array<long>, from_frame long, end_frame long, "
@@ -24,23 +23,23 @@ SEGMENTS = schema(
 )
 
 
-def _block(size: int) -> Column:
-    return F.floor(F.col("frame_no") / size)
-
-
-def frame_runs(frames: DataFrame, block: int = FRAME_BLOCK, breaks: Column | None = None) -> DataFrame:
+def frame_runs(
+    frames: DataFrame, breaks: Column | None = None, cut: ordered.Layout | None = None, rows: int = ordered.PART_ROWS
+) -> DataFrame:
     """Runs of equal ``voiced``: (stream_id, start, n, voiced); ``breaks`` forces a new run."""
-    d = blocks.previous(frames, ["stream_id"], ["frame_no"], _block(block), {"__was": F.col("voiced")})
+    place = (["stream_id"], ["frame_no"])
+    cut = cut or ordered.layout(frames, *place, rows)
+    d = ordered.previous(cut.parted(frames), *place, {"__was": F.col("voiced")}, cut=cut)
     opens = F.col("__was").isNull() | (F.col("__was") != F.col("voiced"))
     if breaks is not None:
         opens = opens | breaks
-    d = blocks.running(d, ["stream_id"], ["frame_no"], _block(block), "max", F.when(opens, F.col("frame_no")), "start")
+    d = ordered.scan(d, *place, {"start": ordered.Max(F.when(opens, F.col("frame_no")))}, cut=cut)
     extra = [F.max_by("cut", -F.col("frame_no")).alias("cut")] if "cut" in frames.columns else []
-    # A run is cut at block borders for the shuffle and put together from its pieces.
+    # Tasks send a row for each of their runs; a run that goes on in another part is put together here.
     return d.groupBy("stream_id", "start").agg(F.count("*").alias("n"), F.any_value("voiced").alias("voiced"), *extra)
 
 
-def segments(frames: DataFrame, cuts: DataFrame | None = None, **options) -> DataFrame:
+def segments(frames: DataFrame, cuts: DataFrame | None = None, rows: int = ordered.PART_ROWS, **options) -> DataFrame:
     """Partial and final voice segments.
 
     Frames are referred to by number: ``lead_frames`` (silence before the speech) and then
@@ -55,21 +54,25 @@ def segments(frames: DataFrame, cuts: DataFrame | None = None, **options) -> Dat
         )
         d = d.join(c, ["stream_id", "frame_no"], "left")
         breaks = F.col("cut").isNotNull()
-    runs = frame_runs(d, breaks=breaks)
+    cut = ordered.layout(frames, ["stream_id"], ["frame_no"], rows)
+    runs = frame_runs(d, breaks, cut)
     if cuts is None:
         runs = runs.withColumn("cut", F.lit(None).cast("struct<first:long,frames:long>"))
     quiet = o["end_silence"] + o["padding"]
     # With cut requests a pending request may outlive a silence, so those streams stay whole.
     splits = (~F.col("voiced") & (F.col("n") >= quiet)) if cuts is None else F.lit(False)
-    order_block = F.floor(F.col("start") / FRAME_BLOCK)
-    runs = blocks.running(runs, ["stream_id"], ["start"], order_block, "sum", splits.cast("bigint"), "part", inclusive=False)
+    # Runs start at frames, so the places where frames are cut divide them as well.
+    starts = ordered.Layout(["stream_id"], ["start"], cut.hot)
+    runs = ordered.scan(runs, ["stream_id"], ["start"], {"part": ordered.Sum(splits.cast("bigint"), inclusive=False)}, cut=starts)
     if cuts is None:
         # The silence that ends a part also fills the padding of the next one.
-        tail = runs.filter(splits).select(
-            "stream_id", (F.col("start") + F.col("n") - o["padding"]).alias("start"),
-            F.lit(o["padding"]).cast("bigint").alias("n"), "voiced", "cut", (F.col("part") + 1).alias("part"),
+        padding = F.lit(o["padding"]).cast("bigint")
+        this = F.struct("start", "n", "voiced", "cut", "part")
+        tail = F.struct(
+            (F.col("start") + F.col("n") - padding).alias("start"), padding.alias("n"), "voiced", "cut", (F.col("part") + 1).alias("part")
         )
-        runs = runs.unionByName(tail)
+        both = F.when(splits, F.array(this, tail)).otherwise(F.array(this))
+        runs = runs.select("stream_id", F.explode(both).alias("r")).select("stream_id", "r.*")
     step = partial(voice.segment_step, **{k: o[k] for k in SETTINGS})
     flush = _flush
     return keyed.fold(runs, ["stream_id", "part"], ["start"], step, SEGMENTS, flush)
@@ -79,16 +82,14 @@ def _flush(state: dict, last: dict) -> list[dict]:
     return voice.segment_flush(state, last["start"] + last["n"])
 
 
-def rechunk(chunks: DataFrame, size: int, block: int = 1024, keep_tail: bool = True) -> DataFrame:
+def rechunk(chunks: DataFrame, size: int, keep_tail: bool = True, **options) -> DataFrame:
     """Cut the samples of a stream into frames of ``size`` across row borders.
 
     ``chunks``: stream_id, sequence, samples.  Offsets are running sums; each row gives its part of
     every frame it touches, and the parts of one frame meet in a group of bounded size.
     """
     n = F.size("samples").cast("bigint")
-    d = blocks.running(
-        chunks.filter(F.size("samples") > 0), ["stream_id"], ["sequence"], F.floor(F.col("sequence") / block), "sum", n, "__to"
-    )
+    d = ordered.scan(chunks.filter(F.size("samples") > 0), ["stream_id"], ["sequence"], {"__to": ordered.Sum(n)}, **options)
     d = d.withColumn("__from", F.col("__to") - n)
     first, last = F.floor(F.col("__from") / size), F.floor((F.col("__to") - 1) / size)
     d = d.withColumn("frame_no", F.explode(F.sequence(first, last)))

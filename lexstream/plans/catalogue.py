@@ -11,10 +11,10 @@ from ..functions import normalize as nz
 from ..functions import patterns as p
 from ..functions import text as tx
 from ..functions import timing as tm
-from ..operators import blocks
 from ..operators import events as ev
 from ..operators import glossary as gl
 from ..operators import matching as mt
+from ..operators import ordered
 from ..operators import quality as ql
 from ..operators import revision as rv
 from ..operators import rewrite as rw
@@ -445,7 +445,7 @@ def stripped_context(spark, sf):
 def merged_lines(spark, sf):
     c = inp.texts(spark, sf, "conversations")
     c = c.withColumn("newest", -F.col("turn"))
-    c = blocks.numbered(c, ["conv_id"], ["newest"], F.floor(F.col("newest") / 1024), "n")
+    c = ordered.numbered(c, ["conv_id"], ["newest"], "n")
     g = c.withColumn("part", F.floor((F.col("n") - 1) / 4096)).groupBy("conv_id", "part").agg(
         F.array_sort(F.collect_list(F.struct(F.col("turn"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("text")))).alias("ls")
     )
@@ -629,7 +629,7 @@ def frozen_partials(spark, sf):
 @query
 def finals_in_order(spark, sf):
     b = inp.busy_streams(spark, sf).filter("is_final")
-    d = blocks.numbered(b, ["stream_id"], ["seq"], F.floor(F.col("seq") / 1024), "place")
+    d = ordered.numbered(b, ["stream_id"], ["seq"], "place")
     return d.select("conv_id", "turn", "utt", "place")
 
 

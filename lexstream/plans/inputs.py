@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_sentences, tokenize
-from ..operators import blocks
 from ..operators import matching as mt
+from ..operators import ordered
 from ..operators.glossary import activate
 from ..sources.glossary import FORMS, SPOKEN, TERMS, Glossary
 
@@ -120,18 +120,14 @@ def busy_streams(spark: SparkSession, sf: str) -> DataFrame:
     """The same rows with one stream per conversation: many utterances, ``seq`` over all of them."""
     h = hypotheses(spark, sf).drop("stream_id")
     h = h.withColumn("stream_id", F.col("conv_id"))
-    return blocks.numbered(h, ["stream_id"], ["turn", "utt", "revision"], F.col("turn"), "seq")
+    return ordered.numbered(h, ["stream_id"], ["turn", "utt", "revision"], "seq")
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's events as numbered frames, voiced above a value of 35."""
-    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    hour = F.floor(F.unix_seconds(instant("ts")) / 3600)
-    d = blocks.numbered(e, ["user_id"], ["ts", "event_id"], hour, "n")
-    return d.select(
-        F.col("user_id").cast("string").alias("stream_id"), (F.col("n") - 1).alias("frame_no"),
-        (F.col("value") > 35).alias("voiced"),
-    )
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("stream_id"), "ts", "event_id", "value")
+    d = ordered.numbered(e, ["stream_id"], ["ts", "event_id"], "n")
+    return d.select("stream_id", (F.col("n") - 1).alias("frame_no"), (F.col("value") > 35).alias("voiced"))
 
 
 # Event kinds of the given table, read as pipeline events.

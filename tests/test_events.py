@@ -8,7 +8,6 @@ import wave
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexstream.operators import blocks
 from lexstream.operators import events as ev
 from lexstream.operators import quality as ql
 from lexstream.operators import revision as rv
@@ -17,26 +16,11 @@ from lexstream.sources import audio, eventlog
 T0 = dt.datetime(2024, 1, 1)
 
 
-def test_running_values_cross_blocks(spark):
-    rng = random.Random(4)
-    rows = [(k, i, rng.randint(-9, 9)) for k in "ab" for i in range(300)]
-    d = spark.createDataFrame(rows, "k string, i int, v int")
-    b = F.floor(F.col("i") / 17)
-    s = blocks.running(d, ["k"], ["i"], b, "sum", F.col("v"), "s")
-    s = blocks.running(s, ["k"], ["i"], b, "max", F.col("v"), "m", inclusive=False)
-    s = blocks.previous(s, ["k"], ["i"], b, {"p": F.col("v")})
-    got = {(r.k, r.i): (r.s, r.m, r.p) for r in s.collect()}
-    for k in "ab":
-        vs = [v for kk, _, v in rows if kk == k]
-        for i in range(300):
-            assert got[k, i] == (sum(vs[: i + 1]), max(vs[:i], default=None), vs[i - 1] if i else None)
-
-
 def test_playback_equals_the_loop(spark):
     rng = random.Random(8)
     rows = [(1, i, i * 3 + rng.randint(0, 40), rng.randint(1, 9)) for i in range(500)]
     d = spark.createDataFrame(rows, "s int, i int, a long, d long")
-    got = {r.i: (r.start, r.finish) for r in ev.playback(d, "s", "i", F.col("a"), F.col("d"), block=32).collect()}
+    got = {r.i: (r.start, r.finish) for r in ev.playback(d, "s", "i", F.col("a"), F.col("d"), rows=40).collect()}
     end = -(10**9)
     for _, i, a, n in rows:
         start = max(a, end)

@@ -297,6 +297,6 @@ def test_rechunk_crosses_rows(spark):
         rows.append(("s", i, x))
         flat += x
     d = spark.createDataFrame(rows, "stream_id string, sequence long, samples array<float>")
-    got = [list(r.samples) for r in sg.rechunk(d, 7, block=8).orderBy("frame_no").collect()]
+    got = [list(r.samples) for r in sg.rechunk(d, 7, rows=9).orderBy("frame_no").collect()]
     assert got == [flat[i : i + 7] for i in range(0, len(flat), 7)]
     assert sg.rechunk(d, 7, keep_tail=False).count() == len(flat) // 7
