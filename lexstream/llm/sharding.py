@@ -1,8 +1,9 @@
 """Operator 10: two-pass external shuffle into shards.
 
-Pass one scatters the rows over memory-sized buckets of their shard by seeded hashes; pass two runs a
-Fisher-Yates shuffle (numpy's ``Generator.permutation``) over each bucket.  A shard is the sequence of
-its buckets, so slots are gapless and the order is uniform given the hashes.
+Pass one numbers the rows, scatters them over memory-sized buckets of their shard by seeded hashes and
+stores them; pass two runs a Fisher-Yates shuffle (numpy's ``Generator.permutation``) over each bucket.  A
+shard is the sequence of its buckets, so slots are gapless and the order is uniform given the hashes.  Sizes and
+rows of the buckets come from the same stored rows: an input behind a shuffle may be split anew each time it is read.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import fits, fresh, sized, table
+from .common import Scratch, fits, fresh, sized, table
 
 BUCKET_BYTES = 8 << 20
 
@@ -31,23 +32,27 @@ def two_pass_shards(
     """All columns of ``docs`` and ``shard``, ``slot``, ``grown_shard``; written to ``path`` by shard if given.
 
     The id and the number of shards alone decide the shard (law ``key``); ``grown_shard`` is that of one
-    shard more.  Null ids are a key like any other.  A bucket also depends on the row's place in the
-    input, so rows that share an id, which must share a shard, still spread over its buckets.  Equal
-    texts are not kept together.  Columns of ``docs`` named like the new ones are replaced.  Buckets are
-    sized by the bytes of all texts, at least one to a task of the session; an empty table gives no rows.
+    shard more.  Null ids are a key like any other.  A bucket also depends on the number that a row got when
+    it was stored, so rows that share an id, which must share a shard, still spread over its buckets.  Equal
+    texts are not kept together.  Columns of ``docs`` named like the new ones come back with ``_`` in front.
+    Buckets are sized by the bytes of all texts, at least one to a task of the session; an empty table gives no
+    rows.  Shards are the same in every run; slots follow the stored numbers.
     """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot", "grown_shard")
+    for name in ("shard", "slot", "grown_shard"):
+        if name in docs.columns:
+            docs = docs.withColumnRenamed(name, fresh(docs, f"_{name}"))
     total = docs.agg(F.sum(F.octet_length(text_col) + F.lit(64)).alias("b")).first()["b"] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per = max(1, -(-int(total) // (shards * bucket_bytes)), -(-tasks // shards))
-    place = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col), F.monotonically_increasing_id()), F.lit(per)).cast("int")
-    scattered = (
-        docs.withColumn("shard", shard_of(F.col(id_col), shards, seed))
+    number, bucket = fresh(docs, "number"), fresh(docs, "bucket")
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    place = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(number)), F.lit(per)).cast("int")
+    scattered = Scratch(spark, "shards").put(
+        numbered.withColumn("shard", shard_of(F.col(id_col), shards, seed))
         .withColumn("grown_shard", shard_of(F.col(id_col), shards + 1, seed))
+        .withColumn(bucket, F.col("shard") * per + place)
     )
-    bucket = fresh(scattered, "bucket")
-    scattered = scattered.withColumn(bucket, F.col("shard") * per + place)
     sizes = scattered.groupBy("shard", bucket).count()
     before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     first = fresh(scattered, "first")
@@ -57,20 +62,18 @@ def two_pass_shards(
 
     placed = scattered.withColumn("slot", F.lit(0).cast("long"))
     arrow = to_arrow_schema(placed.schema)
-    at, ids = placed.columns.index(bucket), placed.columns.index(id_col)
+    at = placed.columns.index(bucket)
 
     def fisher_yates(group: pa.Table) -> pa.Table:
-        number = group.column(at)[0].as_py()
-        # Rows arrive in any order: sorting first makes the seeded shuffle repeatable.
-        known = [group.schema.names[ids]] + [n for n, f in zip(group.schema.names, group.schema) if pa.types.is_string(f.type)]
-        group = group.sort_by([(n, "ascending") for n in dict.fromkeys(known)])
-        order = np.random.default_rng([seed, number]).permutation(group.num_rows)
+        # Rows arrive in any order: sorting by their stored number makes the seeded shuffle repeatable.
+        group = group.sort_by(number)
+        order = np.random.default_rng([seed, group.column(at)[0].as_py()]).permutation(group.num_rows)
         group = group.take(pa.array(order))
         return group.set_column(group.schema.get_field_index("slot"), "slot", pa.array(np.arange(len(order), dtype=np.int64))).cast(arrow)
 
     shuffled = placed.groupBy(bucket).applyInArrow(fisher_yates, placed.schema)
     out = shuffled.join(offsets, bucket).withColumn("slot", F.col("slot") + F.col(first))
-    out = out.select(*[c for c in placed.columns if c != bucket])
+    out = out.select(*[c for c in placed.columns if c not in (bucket, number)])
     if path:
         out.write.partitionBy("shard").parquet(path)
         return spark.read.parquet(path)

@@ -125,9 +125,26 @@ def test_sharding_odd(spark, folder):
     out = sharding.two_pass_shards(clash, bucket_bytes=1000, path=f"{folder}/out")
     assert {"bucket", "first"} <= set(out.columns)
     check_shards(out.collect(), [i for i, _ in ODD] + [6] * 40)
+    assert {r["_slot"] for r in out.collect()} == {9}
     assert sharding.two_pass_shards(clash.limit(0)).count() == 0
 
 
+def test_sharding_of_derived_tables(spark, docs, rows):
+    """Inputs behind a shuffle are split anew by each read; their slots have no gaps all the same."""
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    ids = [i for i, _ in rows]
+    other = docs.select("doc_id", F.col("n_chars").alias("size"))
+    for made in (docs.repartition("source", "doc_id"), docs.join(other.hint("merge"), "doc_id"), docs.orderBy("text", "doc_id")):
+        out = sharding.two_pass_shards(made, bucket_bytes=20_000).collect()
+        check_shards(out, ids)
+        again = sharding.two_pass_shards(made, bucket_bytes=20_000).collect()
+        assert {(r["doc_id"], r["shard"]) for r in out} == {(r["doc_id"], r["shard"]) for r in again}
+    for c, v in old.items():
+        spark.conf.set(c, v)
+
+
 # 9: line dedup
 
 def brute_lines(rows, min_chars=40, min_docs=5):
