@@ -3,7 +3,8 @@
 A classifier learned from the labels table gives each document a posterior over domains.  Document
 rates start at one and follow projected gradient steps of a least-squares problem: the expected domain
 token totals, sums of rate x tokens x posterior, should meet the targets, and rates should stay near
-one.  A step needs only a few sums, so each is one distributed aggregate; rates never go below zero.
+one.  A step needs only a few sums, so each is one distributed aggregate; rates are projected to stay between
+zero and a bound of repetition.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, arrow_pass, fresh, grouped_pass, share, shared, sized, table, utf8, words
 
@@ -25,8 +27,8 @@ DOMAINS = ("good", "low", "toxic")
 TARGETS = (0.98, 0.01, 0.01)
 HASHES, SELECTED = 1 << 16, 512
 MAX_LABELLED = 20_000
-#: Text bytes of a batch of copies, about.
-COPY_BYTES = 8 << 20
+#: No row is taken more often than this on average, and thinning leaves so much of the leading domain at least.
+MAX_RATE, MIN_LEAD = 4.0, 0.5
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -113,11 +115,13 @@ def learn_membership(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             at = [place[_pieces(t)] for t in batch.column(1).to_pylist()]
-            yield {"x": [a[a >= 0].astype(np.int16).tobytes() for a in at], "y": batch.column(2)}
+            yield {"id": batch.column(0), "x": [a[a >= 0].astype(np.int16).tobytes() for a in at], "y": batch.column(2)}
 
     few = docs.select("doc_id", utf8(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain")
-    sample = arrow_pass(few, features, "x binary, y int")
-    sample = sorted((bytes(r["x"]), r["y"]) for r in sample.limit(2 * max_labelled).collect())
+    # Of rows that share an id the one with the least features counts, so there are max_labelled at most.
+    sample = arrow_pass(few, features, f"id {dict(docs.dtypes)['doc_id']}, x binary, y int")
+    sample = sample.groupBy("id").agg(F.min(F.struct("x", "y")).alias("row"))
+    sample = sorted((bytes(r["row"]["x"]), r["row"]["y"]) for r in sample.collect())
     weight, bias = np.zeros((SELECTED, k)), np.log(size + 0.5)
     if sample:
         x = np.zeros((len(sample), SELECTED), np.float32)
@@ -154,54 +158,65 @@ def members_of(docs: DataFrame, membership: Membership, id_col: str = "doc_id",
     return arrow_pass(texts, step, f"id {kind}, tokens long, posterior array<double>").withColumnRenamed("id", id_col)
 
 
-def replay(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+def replay(posteriors: np.ndarray, steps: list[np.ndarray], max_rate: float = MAX_RATE) -> np.ndarray:
     """Rates of rows: one, after projected steps along each row's own gradient."""
     rate = np.ones(len(posteriors))
     for s in steps:
-        rate = np.maximum(0.0, rate - posteriors @ s)
+        rate = np.clip(rate - posteriors @ s, 0.0, max_rate)
     return rate
 
 
-def _sums(members: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Domain totals at the current rates, and the Gram matrix of the rows whose rate is not zero."""
+def _sums(members: DataFrame, steps: list[np.ndarray], k: int, max_rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Domain totals at the current rates, the Gram matrix of the rows whose rate can move, and each domain's own
+    tokens: its part of the rows where it has the largest posterior."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        total = np.zeros(k + k * k)
+        total = np.zeros(2 * k + k * k)
         for batch in batches:
             tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
             p = np.array(batch.column(1).to_pylist(), float).reshape(-1, k)
-            rate = replay(p, steps)
+            rate = replay(p, steps, max_rate)
             total[:k] += (tokens * rate) @ p
-            total[k:] += ((p * (tokens * (rate > 0))[:, None]).T @ p).ravel()
+            total[k:-k] += ((p * (tokens * ((rate > 0) & (rate < max_rate)))[:, None]).T @ p).ravel()
+            if len(p):
+                total[-k:] += np.bincount(p.argmax(1), tokens * p.max(1), k)
         yield {"place": list(range(len(total))), "value": total}
 
     parts = arrow_pass(members.select("tokens", "posterior"), step, "place int, value double")
-    out = np.zeros(k + k * k)
+    out = np.zeros(2 * k + k * k)
     for r in parts.groupBy("place").agg(F.sum("value").alias("value")).collect():
         out[r["place"]] = r["value"]
-    return out[:k], out[k:].reshape(k, k)
+    return out[:k], out[k:-k].reshape(k, k), out[-k:]
 
 
-def fit_rates(members: DataFrame, targets: tuple[float, ...], tolerance: float = 1e-4, rounds: int = 20) -> tuple[list[np.ndarray], dict]:
+def fit_rates(
+    members: DataFrame, targets: tuple[float, ...], tolerance: float = 1e-4, rounds: int = 20, max_rate: float = MAX_RATE,
+    min_lead: float = MIN_LEAD,
+) -> tuple[list[np.ndarray], dict]:
     """Steps for ``replay``, and the totals before, wanted and got.
 
     Minimizes the squared distance of the expected totals ``S_k = sum_d r_d * tokens_d * p_dk`` from the
-    targets over r >= 0, starting from r = 1.  The gradient of a row depends on the row by its posterior
-    only; it is scaled by the Gram matrix of the rows that are not at zero, so a few steps do.  The
-    domain of the largest weight keeps its tokens; the others are thinned or repeated until the totals
-    stand to each other as the weights do.  A domain's share of a mix is at most the largest posterior
-    of a row, so a weight beyond that is out of reach of any rates: such a domain is to keep its tokens,
-    and ``unreached`` names its place.  Without tokens there is no step.
+    targets over 0 <= r <= ``max_rate``, starting from r = 1.  The gradient of a row depends on the row by its
+    posterior only; it is scaled by the Gram matrix of the rows that are not at a bound, so a few steps do.
+
+    A domain reaches its own tokens ``max_rate`` times and what it has in rows of others once.  The domain that is
+    scarcest against its weight decides the size of the mix, by thinning the domain of the largest weight, but not
+    below ``min_lead`` of its tokens.  What a scarce domain then lacks it misses: ``missed`` holds by how much the share
+    that is aimed at falls short of the weight.  A weight of zero asks for none of a domain.  Without tokens
+    there is no step.
     """
     k = len(targets)
-    have, gram = _sums(members, [], k)
+    have, gram, own = _sums(members, [], k, max_rate)
     want = np.array(targets, float)
     if not have.sum() or not want.sum():
-        return [], {"have": have, "target": have, "got": have, "unreached": []}
-    most = members.where("tokens > 0").agg(*[F.max(F.col("posterior")[d]) for d in range(k)]).first()
-    reached = np.array(most, float) >= want / want.sum()
-    lead = int(np.argmax(np.where(reached, want, -1.0)))
-    target = np.where(reached & (want[lead] > 0), want * have[lead] / max(want[lead], 1e-300), have)
+        return [], {"have": have, "target": have, "got": have, "missed": np.zeros(k)}
+    want = want / want.sum()
+    lead = int(np.argmax(want))
+    reach = have - own + max_rate * own
+    full = have[lead] / want[lead]
+    scarce = min((reach[d] / want[d] for d in range(k) if want[d] > 0), default=full)
+    size = min(full, max(scarce, min_lead * full)) or have.sum()
+    target = np.minimum(want * size, reach)
     steps: list[np.ndarray] = []
     got, best = have, (np.inf, 0)
     for _ in range(rounds):
@@ -209,13 +224,14 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...], tolerance: float =
         best = min(best, (miss, len(steps)))
         if miss <= tolerance * target.sum():
             break
-        ridge = 1e-6 * np.trace(gram) / k
+        ridge = 1e-6 * max(np.trace(gram), 1.0) / k
         steps.append(np.linalg.solve(gram + ridge * np.eye(k), got - target))
-        got, gram = _sums(members, steps, k)
+        got, gram, _ = _sums(members, steps, k, max_rate)
     else:
         best = min(best, (float(np.abs(got - target).max()), len(steps)))
     steps = steps[: best[1]]
-    return steps, {"have": have, "target": target, "got": _sums(members, steps, k)[0], "unreached": np.flatnonzero(~reached).tolist()}
+    got = _sums(members, steps, k, max_rate)[0]
+    return steps, {"have": have, "target": target, "got": got, "missed": np.maximum(want - target / max(target.sum(), 1e-300), 0)}
 
 
 def copies(rates: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -228,35 +244,54 @@ def draw(id_col: str, text_col: str, seed: int = 4) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def mixed(docs: DataFrame, membership: Membership, steps: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, as often as their rate tells."""
+def mixed(
+    docs: DataFrame, membership: Membership, steps: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text",
+    max_rate: float = MAX_RATE,
+) -> DataFrame:
+    """The rows of ``docs``, all columns kept, as often as their rate tells: ``max_rate`` times, rounded up, at most.
+
+    Null and empty texts have the prior as their posterior and are kept or left by its rate.  Equal rows have equal
+    rates and numbers, so all of them come as often; an empty table gives no rows.
+    """
     held = share(docs.sparkSession, (membership, steps))
-    columns, raw, at = docs.columns, fresh(docs, "raw"), fresh(docs, "draw")
+    columns, raw, times = docs.columns, fresh(docs, "raw"), fresh(docs, "times")
+    counted = T.StructType([*docs.schema.fields, T.StructField(times, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, moves = shared(held)
         for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
-            p = np.array([model.posterior(t) for t in texts]).reshape(-1, len(DOMAINS))
-            n = copies(replay(p, moves), batch.column(len(columns) + 1).to_numpy(zero_copy_only=False))
-            places = np.repeat(np.arange(batch.num_rows), n)
-            size = np.array([64 + len(t or b"") for t in texts], np.int64)[places]
-            for part in np.split(places, np.flatnonzero(np.diff(np.cumsum(size) // COPY_BYTES)) + 1):
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(part)) for c in range(len(columns))], names=columns)
-
-    return docs.withColumn(raw, utf8(text_col)).withColumn(at, draw(id_col, text_col)).mapInArrow(run, docs.schema)
-
-
-def fitted(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> tuple[Membership, list[np.ndarray], DataFrame, dict]:
-    """Membership, steps, the stored members and the totals for ``docs``."""
+            p = np.array([model.posterior(t) for t in batch.column(len(columns)).to_pylist()]).reshape(-1, len(DOMAINS))
+            n = copies(replay(p, moves, max_rate), batch.column(len(columns) + 1).to_numpy(zero_copy_only=False))
+            rows = batch.select(range(len(columns))).append_column(times, pa.array(n, pa.int64()))
+            yield rows.filter(pa.array(n > 0))
+
+    drawn = docs.withColumn(raw, utf8(text_col)).withColumn(times, draw(id_col, text_col))
+    taken = drawn.mapInArrow(run, counted)
+    # Copies are made by the plan, a row at a time.
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"`{times}`")))).select(
+        *[F.col(f"`{c}`") for c in columns]
+    )
+
+
+def fitted(
+    docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, max_rate: float = MAX_RATE,
+) -> tuple[Membership, list[np.ndarray], DataFrame, dict]:
+    """Membership, steps, the stored members and the totals for ``docs``.
+
+    Null and empty texts have no tokens and count for nothing; rows that repeat count each; without rows or labels
+    there is no step or one prior for all.
+    """
     membership = learn_membership(docs, labels)
     members = Scratch(docs.sparkSession, "members").put(members_of(docs, membership))
-    steps, totals = fit_rates(members, targets)
+    steps, totals = fit_rates(members, targets, max_rate=max_rate)
     return membership, steps, members, totals
 
 
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    """Rate and copies of every row of ``documents`` under the weights of DOMAINS."""
+    """Rate and copies of every row of ``documents`` under the weights of DOMAINS.
+
+    Null and empty texts have no tokens and the prior; rows that repeat come back each.
+    """
     _, steps, members, _ = fitted(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

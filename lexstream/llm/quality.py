@@ -214,14 +214,16 @@ def learn(docs: DataFrame, labels: DataFrame, learn_rows: Column, text_col: str
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # At most max_labelled rows of two numbers.
     held = (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 0).alias("held")
-    rows = docs.select("doc_id", utf8(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality", held)
+    rows = docs.select("doc_id", utf8(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality", held, "doc_id")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             x = pooled(batch.column(0), vectors)
-            yield {"x": [r.tobytes() for r in x], "y": batch.column(1), "held": batch.column(2)}
+            yield {"x": [r.tobytes() for r in x], "y": batch.column(1), "held": batch.column(2), "id": batch.column(3)}
 
-    sample = arrow_pass(rows, step, "x binary, y int, held boolean").limit(2 * max_labelled).collect()
+    # Of rows that share an id the one with the least features counts, so there are max_labelled at most.
+    sample = arrow_pass(rows, step, f"x binary, y int, held boolean, id {dict(docs.dtypes)['doc_id']}")
+    sample = [r["row"] for r in sample.groupBy("id").agg(F.min(F.struct("x", "y", "held")).alias("row")).collect()]
     sample.sort(key=lambda r: (bytes(r["x"]), r["y"]))
     if not sample:
         dim = vectors.shape[1] + 1
@@ -249,7 +251,10 @@ def quality_scores(docs: DataFrame, network: Network, id_col: str = "doc_id", te
 
 
 def accepted(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose score reaches the threshold."""
+    """The rows of ``docs``, all columns kept, whose score reaches the threshold.
+
+    Null and empty texts are judged as texts without words; equal texts alike; an empty table gives no rows.
+    """
     held = share(docs.sparkSession, network)
     columns = docs.columns
     raw = fresh(docs, "raw")

@@ -483,13 +483,28 @@ def test_scarce_domains_meet_their_weights(spark):
     rows = [(int(t), [float(x) for x in rng.dirichlet(a)]) for t, a in zip(rng.integers(50, 500, len(alpha)), alpha)]
     members = spark.createDataFrame(rows, "tokens long, posterior array<double>")
     weights = np.array([0.7, 0.2, 0.1])
-    steps, totals = mixing.fit_rates(members, tuple(weights))
     p = np.array([p for _, p in rows])
-    got = (np.array([t for t, _ in rows]) * mixing.replay(p, steps)) @ p
-    assert totals["have"][1] < 0.05 * totals["have"].sum() and not totals["unreached"]
+    steps, totals = mixing.fit_rates(members, tuple(weights), max_rate=200.0, min_lead=0.0)
+    got = (np.array([t for t, _ in rows]) * mixing.replay(p, steps, 200.0)) @ p
+    assert totals["have"][1] < 0.05 * totals["have"].sum() and not totals["missed"].any()
     assert np.abs(got / got.sum() - weights).max() <= 1e-3
-    steps, totals = mixing.fit_rates(members.where("posterior[1] < 0.1"), tuple(weights))
-    assert totals["unreached"] == [1] and totals["target"][1] == totals["have"][1]
+    # The scarce domain decides: the lead is thinned until rates within the bound meet the weights.
+    steps, totals = mixing.fit_rates(members, tuple(weights), min_lead=0.0)
+    rate = mixing.replay(p, steps)
+    got = (np.array([t for t, _ in rows]) * rate) @ p
+    assert 0 <= rate.min() and rate.max() <= mixing.MAX_RATE and np.abs(got / got.sum() - weights).max() <= 0.02
+    # Thinning has a floor; below it the weight is missed, and said to be.
+    steps, totals = mixing.fit_rates(members, tuple(weights))
+    rate = mixing.replay(p, steps)
+    got = (np.array([t for t, _ in rows]) * rate) @ p
+    assert rate.max() <= mixing.MAX_RATE and totals["missed"][1] > 0.1 and got[0] >= 0.45 * totals["have"][0]
+    # One row more does not switch anything.
+    more = members.union(spark.createDataFrame([(5, [0.3, 0.68, 0.02])], members.schema))
+    _, after = mixing.fit_rates(more, tuple(weights))
+    assert np.abs(after["target"] - totals["target"]).max() < 30
+    steps, totals = mixing.fit_rates(members, (0.99, 0.0, 0.01))
+    got = (np.array([t for t, _ in rows]) * mixing.replay(p, steps)) @ p
+    assert got[1] < totals["have"][1] and abs(got[2] / got.sum() - 0.01) < 5e-3
 
 
 def test_copies_have_their_rates_as_mean():
