@@ -3,35 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexstream.llm import decontamination, mixing, ngram_join, quality, sharding
-from lexstream.llm.common import Scratch, table
+from lexstream.llm.common import Scratch, fresh, table
+
+#: Weights of the domains good, low and toxic in the mix.
+MIX = (0.99, 0.0, 0.01)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches one half; the classifier learns from the labels of two thirds of the ids."""
+    """Documents whose score reaches one half; the classifier learns from the labels of two thirds of the ids.
+
+    Null and empty texts are judged as texts without words, equal texts alike; no rows give no rows.
+    """
     network = quality.learn(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
     return quality.accepted(docs, network)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a Jaccard similarity of 0.8 on five-word shingles."""
+    """One document of each group at a Jaccard similarity of 0.8 on five-word shingles.
+
+    Null, empty and blank texts are like nothing and stay; of equal rows one stays; no rows give no rows.
+    """
     return ngram_join.without_near_copies(docs)
 
 
 def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans that match ten words of a test item go, and so do documents hit in more than one word of a hundred."""
-    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"), max_coverage=0.01)
+    """Spans that match ten words of a test item go, and so do documents hit in more than one word of a hundred.
+
+    ``n_chars`` follows the text where spans went.  Null and empty texts are not hit; no rows give no rows.
+    """
+    columns, before = docs.columns, fresh(docs, "before")
+    cut = decontamination.decontaminated(docs.withColumn(before, F.length("text")), table(spark, sf_dir, "benchmark"), max_coverage=0.01)
+    gone = F.coalesce(F.col(before) - F.length("text"), F.lit(0))
+    chars = F.when(gone > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.withColumn("n_chars", chars).select(*columns)
 
 
 def mixed_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate tells, so that domain tokens meet the target weights."""
-    membership, steps, _, _ = mixing.fitted(docs, table(spark, sf_dir, "labels"))
+    """Documents as often as their rate tells, so that domain tokens meet the target weights.
+
+    Texts of low quality went in the first stage, so the mix asks for good and toxic ones only.  Null and empty texts
+    follow the rate of the prior, equal rows their common rate; no rows give no rows.
+    """
+    membership, steps, _, _ = mixing.fitted(docs, table(spark, sf_dir, "labels"), MIX)
     return mixing.mixed(docs, membership, steps)
 
 
 def shuffled_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns of the documents with their shard and their slot in it."""
+    """All columns of the documents with their shard and their slot in it; null ids and texts have a place as well."""
     return sharding.two_pass_shards(docs)
 
 
