@@ -31,17 +31,19 @@ def count_up(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _scan(values: Column) -> Column:
-    """Inclusive running sums of a short array of longs."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("total"))
-    step = lambda a, v: F.struct(
-        F.concat(a["out"], F.array(a["total"] + v)).alias("out"), (a["total"] + v).alias("total")
-    )
+def _scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running values of a short array of longs."""
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(None).cast("bigint").alias("total"))
+
+    def step(a: Column, v: Column) -> Column:
+        total = F.coalesce(op(a["total"], v), v)
+        return F.struct(F.concat(a["out"], F.array(total)).alias("out"), total.alias("total"))
+
     return F.aggregate(values, start, step, lambda a: a["out"])
 
 
-def prefix_sums(values: Column) -> Column:
-    """Inclusive running sums of an array, scanned block by block so that long arrays stay cheap."""
+def _prefixes(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running values of an array, scanned block by block so that long arrays stay cheap."""
     values = values.cast("array<bigint>")
 
     def whole(v: Column) -> Column:
@@ -49,15 +51,17 @@ def prefix_sums(values: Column) -> Column:
         blocks = F.transform(count_up(n), lambda b: F.slice(v, b * _BLOCK + 1, _BLOCK))
 
         def join(bs: Column) -> Column:
-            sums = F.transform(bs, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, e: a + e))
+            totals = F.transform(
+                bs, lambda x: F.aggregate(x, F.lit(None).cast("bigint"), lambda a, e: F.coalesce(op(a, e), e))
+            )
             return let(
-                _scan(sums),
+                _scan(totals, op),
                 lambda ends: F.flatten(
                     F.transform(
                         bs,
                         lambda x, i: let(
-                            F.coalesce(F.get(ends, i - 1), F.lit(0).cast("bigint")),
-                            lambda base: F.transform(_scan(x), lambda e: e + base),
+                            F.when(i > 0, F.get(ends, i - 1)),
+                            lambda base: F.transform(_scan(x, op), lambda e: F.coalesce(op(base, e), e)),
                         ),
                     )
                 ),
@@ -68,6 +72,47 @@ def prefix_sums(values: Column) -> Column:
     return let(values, whole)
 
 
+def prefix_sums(values: Column) -> Column:
+    """Inclusive running sums of an array."""
+    return _prefixes(values, lambda a, b: a + b)
+
+
+def prefix_maxima(values: Column) -> Column:
+    """Inclusive running maxima of an array."""
+    return _prefixes(values, lambda a, b: F.greatest(a, b))
+
+
+def counts_below(values: Column, places: Column, inclusive: bool = False) -> Column:
+    """For each place of a sorted array, how many values of another one lie below it (or at it, with ``inclusive``).
+
+    Both arrays are merged and walked once.
+    """
+    value, place = (0, 1) if inclusive else (1, 0)
+    entry = lambda at, kind: F.struct(at.cast("bigint").alias("at"), F.lit(kind).alias("kind"))
+    merged = F.array_sort(F.concat(F.transform(values, lambda v: entry(v, value)), F.transform(places, lambda x: entry(x, place))))
+
+    def walk(xs: Column) -> Column:
+        seen = prefix_sums(F.transform(xs, lambda x: (x["kind"] == value).cast("bigint")))
+        both = F.transform(F.arrays_zip(xs.alias("x"), seen.alias("n")), lambda z: F.struct(z["x"]["kind"].alias("kind"), z["n"].alias("n")))
+        return F.transform(F.filter(both, lambda z: z["kind"] == place), lambda z: z["n"].cast("int"))
+
+    return let(merged, walk)
+
+
+def sentence_of_token(ends: Column, n: Column) -> Column:
+    """For each of ``n`` tokens the sentence end at or behind it; null behind the last one.
+
+    ``ends`` are ascending token counts, each of which gives its number to the tokens since the one before.
+    """
+
+    def fill(es: Column) -> Column:
+        runs = F.transform(es, lambda e, i: F.array_repeat(e, (e - F.coalesce(F.get(es, i - 1), F.lit(0))).cast("int")))
+        last = F.coalesce(F.get(es, F.size(es) - 1), F.lit(0))
+        return F.concat(F.flatten(runs), F.array_repeat(F.lit(None).cast("int"), (n - last).cast("int")))
+
+    return let(ends, fill)
+
+
 _PIECE = 512
 
 

@@ -39,13 +39,26 @@ def windowed_counters(counters: DataFrame, at: str, length: str, slide: str | No
 
 
 def stage_latency(events: DataFrame, *by: str, probs: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Distribution of every metric per ``by``; percentiles are exact up to 1/10000 of the rank."""
+    """Distribution of every metric per ``by``, with exact percentiles: the least value that a share of the rows reaches.
+
+    Equal values are counted before they are shuffled, and the counts run up along the values of a group
+    (``ordered.scan``, which cuts a group of very many values), so groups of all sizes are treated alike.
+    """
+    keys = [*by, "name"]
     m = events.select(*by, F.explode("metrics").alias("name", "value"))
-    quantiles = [F.percentile_approx("value", q, 10000).alias(f"p{round(q * 100)}") for q in probs]
-    return m.groupBy(*by, "name").agg(
+    g = m.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"),
-        *quantiles,
+        F.count("value").alias("__known"),
     )
+    counts = m.filter("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("__n"))
+    upto = ordered.scan(counts, keys, ["value"], {"__upto": ordered.Sum(F.col("__n"))})
+    names = [f"__{k}" for k in keys]
+    sizes = g.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "__known")
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    ranked = upto.join(sizes, same)
+    at = lambda q: F.min(F.when(F.col("__upto") >= F.greatest(F.ceil(F.lit(q) * F.col("__known")), F.lit(1)), F.col("value")))
+    found = ranked.groupBy(*names).agg(*[at(q).alias(f"p{round(q * 100)}") for q in probs])
+    return g.join(found, same, "left").drop(*names, "__known")
 
 
 def session_report(events: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -109,20 +109,18 @@ def auto_sources(languages: DataFrame, target: str) -> DataFrame:
 
 
 def missing_on_route(terms: DataFrame, forms: DataFrame, routed: DataFrame) -> DataFrame:
-    """Active terms without a form in a language of a route: (source, target, term_id, lang)."""
-    need = _route_needs(terms, routed)
-    return need.join(forms.select("term_id", "lang").distinct(), ["term_id", "lang"], "left_anti")
+    """Active terms without a form in a language of a route: (source, target, term_id, lang).
 
-
-def _route_needs(terms: DataFrame, routed: DataFrame) -> DataFrame:
-    """Each term with each language of each route; there are at most as many routes as language pairs."""
-    langs = routed.select(F.struct("source", "target", "route").alias("r")).agg(F.collect_set("r").alias("rs"))
-    rows = langs.first()["rs"]
-    table = F.array(*[
-        F.struct(F.lit(r["source"]).alias("source"), F.lit(r["target"]).alias("target"), F.lit(lang).alias("lang"))
-        for r in rows if r["route"] for lang in r["route"]
-    ])
-    return terms.select("term_id", F.explode(table).alias("r")).select("term_id", "r.source", "r.target", "r.lang")
+    A term is compared once with the languages of all routes; only what it lacks meets the routes.
+    """
+    steps = routed.select("source", "target", F.explode("route").alias("lang")).distinct()
+    asked = steps.agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    known = forms.groupBy("term_id").agg(F.collect_set("lang").alias("known"))
+    lacks = terms.select("term_id").join(known, "term_id", "left").select("term_id", asked.scalar().alias("asked"), "known")
+    none = F.array().cast("array<string>")
+    lacks = lacks.withColumn("lacks", F.array_except("asked", F.coalesce("known", none)))
+    lacks = lacks.select("term_id", F.explode("lacks").alias("lang"))
+    return lacks.join(steps, "lang").select("source", "target", "term_id", "lang")
 
 
 def guidance_terms(terms: DataFrame, forms: DataFrame) -> DataFrame:
@@ -168,23 +166,23 @@ def budgeted_terms(guidance: DataFrame, max_terms: int, max_tokens: int, upper:
 
 
 def profile_counts(terms: DataFrame, forms: DataFrame, spoken: DataFrame, routed: DataFrame) -> DataFrame:
-    """Per route: active entries, distinct guidance forms, bindings over all hops, spoken forms."""
-    need = _route_needs(terms, routed)
-    hops = routed.select("source", "target", (F.size("route") - 1).alias("hops"))
+    """Per route: active entries, distinct guidance forms, bindings over all hops, spoken forms.
+
+    A last row with null languages holds the totals over all ``profiles``, that is routes.
+    """
     entries = terms.agg(F.count("*").alias("entries"))
-    n_entries = entries.first()["entries"]
+    hops = routed.select("source", "target", (F.size("route") - 1).alias("hops")).distinct()
     guide = guidance_terms(terms, forms).groupBy("lang").agg(F.count("*").alias("asr_terms"))
     voices = spoken.join(terms.select("term_id"), "term_id", "left_semi")
     voices = voices.join(forms.select("term_id", "lang").distinct(), ["term_id", "lang"], "left_semi")
     voices = voices.groupBy("lang").agg(F.count("*").alias("spoken_forms"))
-    base = need.select("source", "target").distinct().join(hops, ["source", "target"])
-    out = base.join(guide.withColumnRenamed("lang", "source"), "source", "left")
-    out = out.join(voices.withColumnRenamed("lang", "target"), "target", "left")
-    return out.select(
-        "source", "target", F.lit(n_entries).cast("bigint").alias("entries"),
-        F.coalesce("asr_terms", F.lit(0)).alias("asr_terms"),
-        (F.col("hops") * n_entries).cast("bigint").alias("mt_bindings"),
-        F.coalesce("spoken_forms", F.lit(0)).alias("spoken_forms"),
+    out = hops.join(guide.withColumnRenamed("lang", "source"), "source", "left")
+    out = out.join(voices.withColumnRenamed("lang", "target"), "target", "left").withColumn("entries", entries.scalar())
+    out = out.withColumn("mt_bindings", (F.col("hops") * F.col("entries")).cast("bigint"))
+    measures = ["entries", "asr_terms", "mt_bindings", "spoken_forms"]
+    sets = [[F.col("source"), F.col("target")], []]
+    return out.groupingSets(sets, F.col("source"), F.col("target")).agg(
+        F.count("hops").alias("profiles"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in measures]
     )
 
 

@@ -19,6 +19,7 @@ from ..functions import normalize as nz
 from ..functions import patterns as p
 from ..functions.text import let, prefix_sums, tokenize
 from ..session import hint, small_side, width, written
+from .overlaps import chosen
 
 _WORD_UNIT = f"[{p.WORD}]++[^{p.WORD}]*+"
 _CHAR_UNIT = f"[^{p.SPACE}][{p.SPACE}]*+"
@@ -208,18 +209,6 @@ def in_order(matches: DataFrame, keys: list[str]) -> DataFrame:
     return matches.withColumn("pos", F.row_number().over(w))
 
 
-def _greedy(ms: Column) -> Column:
-    """Keep matches in rank order unless they overlap one already kept; return them by position."""
-    kept = F.aggregate(
-        F.array_sort(ms),
-        F.filter(ms, lambda x: F.lit(False)),
-        lambda acc, m: F.when(
-            F.exists(acc, lambda y: (m["start"] < y["end"]) & (y["start"] < m["end"])), acc
-        ).otherwise(F.concat(acc, F.array(m))),
-    )
-    return kept
-
-
 def _clusters(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Name the cluster of overlapping spans each row belongs to.
 
@@ -241,15 +230,12 @@ def best_matches(matches: DataFrame, keys: list[str]) -> DataFrame:
     """
     d = _clusters(matches, keys)
     item = F.struct(
-        (-F.col("norm_len")).alias("neg_len"), (-F.col("priority")).alias("neg_priority"), "rank", "start", "end",
-        "term_id", "form", "canonical", "is_alias", "policy", "lang",
+        "start", "end", "norm_len", "priority", "rank", "term_id", "form", "canonical", "is_alias", "policy", "lang",
     )
-    g = d.groupBy(*keys, "__cluster").agg(F.collect_list(item).alias("ms"))
-    single = F.size("ms") == 1
-    g = g.withColumn("m", F.explode(F.when(single, F.col("ms")).otherwise(_greedy(F.col("ms")))))
+    g = d.groupBy(*keys, "__cluster").agg(F.array_sort(F.collect_list(item)).alias("ms"))
+    g = g.withColumn("m", F.explode(chosen(F.col("ms"))))
     return g.select(
-        *keys, "m.lang", "m.term_id", "m.form", "m.canonical", "m.is_alias", "m.policy",
-        (-F.col("m.neg_priority")).alias("priority"), "m.rank", (-F.col("m.neg_len")).alias("norm_len"),
+        *keys, "m.lang", "m.term_id", "m.form", "m.canonical", "m.is_alias", "m.policy", "m.priority", "m.rank", "m.norm_len",
         "m.start", "m.end",
     )
 

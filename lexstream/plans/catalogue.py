@@ -21,6 +21,7 @@ from ..operators import rewrite as rw
 from ..operators import segments as sg
 from ..operators import translate as tr
 from ..sources import eventlog
+from ..sources import glossary as gs
 from . import inputs as inp
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +194,33 @@ def glossary_violations(spark, sf):
     return gl.validate_glossary(*_doc_glossary(spark, sf), languages=("en", "fr"))
 
 
+def _bundles(spark: SparkSession, sf: str) -> DataFrame:
+    """A bundle document drawn from each benchmark item, with seeded faults."""
+    i = F.col("item_id")
+    word = F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0)
+    form = F.concat(
+        F.lit('{"canonical": '), F.to_json(F.array(word)).substr(F.lit(2), F.length(F.to_json(F.array(word))) - 2),
+        F.when(i % 8 == 6, ', "weight": 2}').otherwise(', "aliases": []}'),
+    )
+    entry = F.concat(
+        F.lit('{"id": "t'), i, F.lit('", "domain": ["d"], "priority": 1, "translation_policy": "preserve", "forms": {"en": '), form,
+        F.when(i % 4 == 0, '}, "extra": 1}').when(i % 10 == 3, '}, "tts": {"en": {"spoken_form": "x", "voice": 1}}}').otherwise("}}"),
+    )
+    doc = F.concat(
+        F.when(i % 7 == 1, '{"bundle_id": " "').when(i % 7 == 2, '{"description": "d"').otherwise('{"bundle_id": "b"'),
+        F.when(i % 5 == 2, ', "schema_version": 2').when(i % 5 != 3, ', "schema_version": 1').otherwise(""),
+        F.when(i % 6 == 3, ', "default_domains": ["a", "a"]').when(i % 6 == 4, ', "default_domains": ["a", ""]').otherwise(""),
+        F.when(i % 9 == 5, ', "odd": true').otherwise(""),
+        F.when(i % 11 == 4, F.lit(', "entries": []}')).otherwise(F.concat(F.lit(', "entries": ['), entry, F.lit("]}"))),
+    )
+    return inp.table(spark, sf, "benchmark").select(F.concat(F.lit("item-"), i).alias("path"), doc.alias("doc"))
+
+
+@query
+def bundle_violations(spark, sf):
+    return gs.bundle_violations(_bundles(spark, sf))
+
+
 @query
 def ambiguous_forms(spark, sf):
     terms, forms, _ = _doc_glossary(spark, sf)
@@ -644,9 +672,8 @@ def sentence_of_token(spark, sf):
     d = inp.conversations(spark, sf)
     ends = tx.sentence_token_ends("text")
     d = d.select("conv_id", "turn", F.size(tx.tokenize("text")).alias("n"), ends.alias("ends")).filter("n > 0")
-    d = d.select("conv_id", "turn", "ends", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("token_no"))
-    nxt = F.array_min(F.filter("ends", lambda e: e >= F.col("token_no")))
-    return d.select("conv_id", "turn", "token_no", nxt.alias("sentence_end"))
+    d = d.select("conv_id", "turn", F.posexplode(tx.sentence_of_token(F.col("ends"), F.col("n"))).alias("pos", "sentence_end"))
+    return d.select("conv_id", "turn", (F.col("pos") + 1).alias("token_no"), "sentence_end")
 
 
 @query

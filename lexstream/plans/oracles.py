@@ -7,14 +7,20 @@ that is none (\x02), rule by rule.
 
 from __future__ import annotations
 
-from ..functions import patterns as p
 from . import inputs as inp
 
 ORACLES: dict[str, str] = {}
 
-SP = p.SPACE
-CL = p.CLOSERS.replace("'", "''")
-TOKEN = p.WORD_TOKEN.replace("'", "''")
+# The rules in words of their own, so that a slip in the code's patterns shows: white space; characters of words;
+# hyphens and dashes; marks that stand close to the word before or behind them; abbreviations that end in a full stop.
+SP = r"\x09-\x0D\x1C-\x1F \x85\p{Z}"
+WORD = r"_\p{N}\p{L}"
+HYPHENS = "\u2010\u2011\u2012\u2013\u2014\u2212"
+CL = r"""''"\)\]\}\x{2019}\x{201D}\x{FF09}\x{3011}\x{300B}\x{300D}\x{300F}"""
+TOKEN = rf"[{WORD}]+([''\x{{2019}}-][{WORD}]+)*|[^{WORD}{SP}]"
+CLOSE_BEHIND = r",.!?;:%\)\]\}\x{3001}\x{3002}\x{FF0C}\x{FF01}\x{FF1F}\x{FF1B}\x{FF1A}\x{2026}\x{FF09}\x{3011}\x{300B}\x{300D}\x{300F}"
+CLOSE_BEFORE = r"\(\[\{\x{FF08}\x{3010}\x{300A}\x{300C}\x{300E}"
+SHORT_WORDS = "mr|mrs|ms|dr|prof|sr|jr|st|pgs|gs|ts|ths|bs|tp"
 SEP = "chr(65535)"
 
 
@@ -31,20 +37,17 @@ def tokens(t: str) -> str:
 
 
 def detok(ts: str) -> str:
-    before = p.char_class(p.NO_SPACE_BEFORE)
-    after = p.char_class(p.NO_SPACE_AFTER)
     return (
-        f"regexp_replace(regexp_replace(array_to_string({ts}, ' '), ' ([{before}])', '\\1', 'g'), "
-        f"'([{after}]) ', '\\1', 'g')"
+        f"regexp_replace(regexp_replace(array_to_string({ts}, ' '), ' ([{CLOSE_BEHIND}])', '\\1', 'g'), "
+        f"'([{CLOSE_BEFORE}]) ', '\\1', 'g')"
     )
 
 
 def guarded(t: str) -> str:
     """Mark full stops that end no sentence."""
-    abbreviation = "|".join(p.ABBREVIATIONS)
     rules = [
         (rf"\.([^{SP}{CL}])", r"\x02\1"),
-        (rf"(^|[^\p{{L}}])((?i:{abbreviation}))\.([{SP}]*[^{SP}])", r"\1\2\x02\3"),
+        (rf"(^|[^\p{{L}}])((?i:{SHORT_WORDS}))\.([{SP}]*[^{SP}])", r"\1\2\x02\3"),
         (rf"([A-Za-z][.\x02][A-Za-z])\.([{SP}]*[^\p{{Lu}}{SP}])", r"\1\x02\2"),
         (rf"(^|[^\p{{L}}\x02]|[^A-Za-z]\x02)(\p{{Lu}})\.([{SP}]*\p{{Lu}})", r"\1\2\x02\3"),
     ]
@@ -108,17 +111,17 @@ FORMS = values(FORM_ROWS, "lang, key, k, cased, term_id, form, canonical, is_ali
 def matches(src: str, keys: str, name: str = "m", extra: str = "") -> str:
     """CTEs that find all matches in ``src`` (keys, lang, text)."""
     return f"""
-    {name}_l AS (SELECT {keys}, lang, regexp_extract_all(text, '[{p.WORD}]+|[^{p.WORD}]+') AS l FROM {src}),
+    {name}_l AS (SELECT {keys}, lang, regexp_extract_all(text, '[{WORD}]+|[^{WORD}]+') AS l FROM {src}),
     {name}_p AS (SELECT {keys}, lang, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM {name}_l),
     {name}_w AS (
       SELECT *, sum(length(piece)) OVER w - length(piece) AS off,
-        regexp_replace(regexp_replace(piece, '[{SP}]+', ' ', 'g'), '[{p.HYPHENS}]', '-', 'g') AS g1,
+        regexp_replace(regexp_replace(piece, '[{SP}]+', ' ', 'g'), '[{HYPHENS}]', '-', 'g') AS g1,
         lead(piece, 1) OVER w AS p2, lead(piece, 2) OVER w AS p3
       FROM {name}_p WINDOW w AS (PARTITION BY {keys} ORDER BY i)),
     {name}_g AS (
       SELECT {keys}, lang, off, 1 AS k, g1 AS g, length(piece) AS n FROM {name}_w
       UNION ALL
-      SELECT {keys}, lang, off, 2, g1 || regexp_replace(regexp_replace(p2, '[{SP}]+', ' ', 'g'), '[{p.HYPHENS}]', '-', 'g') || p3,
+      SELECT {keys}, lang, off, 2, g1 || regexp_replace(regexp_replace(p2, '[{SP}]+', ' ', 'g'), '[{HYPHENS}]', '-', 'g') || p3,
         length(piece) + length(p2) + length(p3) FROM {name}_w WHERE p3 IS NOT NULL),
     {name} AS (
       SELECT {keys}, g.lang, f.term_id, f.form, f.canonical, f.is_alias, f.priority, f.rank, f.len,
@@ -232,7 +235,7 @@ oracle("sentence_case", """
       || regexp_extract(s, '(?s)^[^\\p{L}]*\\p{L}?(.*)$', 1)
     for s in regexp_extract_all(lower(t), '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+')], '') END) AS text_md5 FROM u""")
 oracle("normalized_docs", f"""
-  WITH n AS (SELECT doc_id, regexp_replace({collapse('nfc_normalize(text)')}, '[{p.HYPHENS}]', '-', 'g') AS t FROM documents)
+  WITH n AS (SELECT doc_id, regexp_replace({collapse('nfc_normalize(text)')}, '[{HYPHENS}]', '-', 'g') AS t FROM documents)
   SELECT doc_id, md5(replace(lower(t), 'ß', 'ss')) AS folded_md5, md5(t) AS cased_md5 FROM n""")
 oracle("spoken_or_display", """
   SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 1 THEN lower(text) ELSE text END) AS text_md5 FROM conversations""")
@@ -320,10 +323,23 @@ oracle("profile_counts", f"""
   WITH {ROUTES}, t AS (SELECT * FROM {TERMS} WHERE list_has_any(domains, ['general', 'grammar'])),
   f AS (SELECT * FROM {ALL_FORMS} WHERE term_id IN (SELECT term_id FROM t)),
   a AS (SELECT lang, count(DISTINCT lower(form)) AS n FROM f GROUP BY lang),
-  v AS (SELECT lang, count(*) AS n FROM {SPOKEN} WHERE term_id IN (SELECT term_id FROM t) GROUP BY lang)
-  SELECT source, target, (SELECT count(*) FROM t) AS entries, coalesce(a.n, 0) AS asr_terms,
+  v AS (SELECT lang, count(*) AS n FROM {SPOKEN} WHERE term_id IN (SELECT term_id FROM t) GROUP BY lang),
+  c AS (SELECT source, target, 1 AS profiles, (SELECT count(*) FROM t) AS entries, coalesce(a.n, 0) AS asr_terms,
     (len(route) - 1) * (SELECT count(*) FROM t) AS mt_bindings, coalesce(v.n, 0) AS spoken_forms
-  FROM r LEFT JOIN a ON a.lang = source LEFT JOIN v ON v.lang = target WHERE route IS NOT NULL""")
+    FROM r LEFT JOIN a ON a.lang = source LEFT JOIN v ON v.lang = target WHERE route IS NOT NULL)
+  SELECT * FROM c UNION ALL
+  SELECT NULL, NULL, sum(profiles), sum(entries), sum(asr_terms), sum(mt_bindings), sum(spoken_forms) FROM c""")
+oracle("bundle_violations", """
+  WITH b AS (SELECT item_id AS i, 'item-' || item_id AS path FROM benchmark)
+  SELECT path, 'bundle_id' AS rule, CASE i % 7 WHEN 1 THEN ' ' ELSE '' END AS detail FROM b WHERE i % 7 IN (1, 2)
+  UNION ALL SELECT path, 'schema_version', CASE i % 5 WHEN 2 THEN '2' ELSE '' END FROM b WHERE i % 5 IN (2, 3)
+  UNION ALL SELECT path, 'duplicate_default_domain', '["a","a"]' FROM b WHERE i % 6 = 3
+  UNION ALL SELECT path, 'default_domains', '["a",""]' FROM b WHERE i % 6 = 4
+  UNION ALL SELECT path, 'entries', '[]' FROM b WHERE i % 11 = 4
+  UNION ALL SELECT path, 'unknown_field', 'bundle.odd' FROM b WHERE i % 9 = 5
+  UNION ALL SELECT path, 'unknown_field', 'entries[0].extra' FROM b WHERE i % 11 <> 4 AND i % 4 = 0
+  UNION ALL SELECT path, 'unknown_field', 'entries[0].forms.en.weight' FROM b WHERE i % 11 <> 4 AND i % 8 = 6
+  UNION ALL SELECT path, 'unknown_field', 'entries[0].tts.en.voice' FROM b WHERE i % 11 <> 4 AND i % 4 <> 0 AND i % 10 = 3""")
 oracle("auto_sources", "SELECT lang, count(*) AS n_docs FROM documents WHERE lang <> 'en' GROUP BY lang")
 oracle("hotword_vocab", f"""
   WITH v AS (SELECT DISTINCT lower(t) AS t FROM (SELECT unnest({tokens('text')}) AS t FROM documents)),
@@ -339,7 +355,7 @@ oracle("match_order", f"""
   WITH {DOC_MATCHES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, len DESC, priority DESC, rank) AS pos,
     term_id, s AS start, e AS "end" FROM m""")
 oracle("bigram_matches", f"""
-  WITH w0 AS (SELECT doc_id, lang, regexp_extract_all(text, '[{p.WORD}]+|[^{p.WORD}]+') AS l,
+  WITH w0 AS (SELECT doc_id, lang, regexp_extract_all(text, '[{WORD}]+|[^{WORD}]+') AS l,
       regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents),
   pr AS (SELECT lang, unnest([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS form FROM w0),
   top AS (SELECT lang, form FROM (SELECT lang, form, count(*) AS n FROM pr GROUP BY ALL)

@@ -60,19 +60,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unknown_fields(docs: DataFrame) -> DataFrame:
-    """Keys that a bundle, an entry, a form or a spoken form must not have."""
+    """(path, at, field): keys that a bundle, an entry, a form or a spoken form must not have."""
     keys = lambda j: F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
     obj = lambda c, path: F.get_json_object(c, path)
     entries = F.posexplode(F.from_json(obj(F.col("doc"), "$.entries"), "array<string>"))
-    top = docs.select(F.lit("bundle").alias("at"), F.explode(keys(F.col("doc"))).alias("field"))
-    e = docs.select(entries.alias("i", "e"))
-    entry = e.select(F.concat(F.lit("entries["), "i", F.lit("]")).alias("at"), F.explode(keys(F.col("e"))).alias("field"))
+    top = docs.select("path", F.lit("bundle").alias("at"), F.explode(keys(F.col("doc"))).alias("field"))
+    e = docs.select("path", entries.alias("i", "e"))
+    entry = e.select("path", F.concat(F.lit("entries["), "i", F.lit("]")).alias("at"), F.explode(keys(F.col("e"))).alias("field"))
     parts = [(top, ["bundle_id", "schema_version", "description", "default_domains", "entries"]),
              (entry, ["id", "domain", "priority", "translation_policy", "forms", "tts"])]
     for name, allowed in (("forms", ["canonical", "aliases", "asr_boost"]), ("tts", ["spoken_form"])):
-        m = e.select("i", F.explode(F.from_json(obj(F.col("e"), f"$.{name}"), "map<string,string>")).alias("lang", "f"))
+        m = e.select("path", "i", F.explode(F.from_json(obj(F.col("e"), f"$.{name}"), "map<string,string>")).alias("lang", "f"))
         at = F.concat(F.lit("entries["), "i", F.lit(f"].{name}."), "lang")
-        parts.append((m.select(at.alias("at"), F.explode(keys(F.col("f"))).alias("field")), allowed))
+        parts.append((m.select("path", at.alias("at"), F.explode(keys(F.col("f"))).alias("field")), allowed))
     out = None
     for df, allowed in parts:
         bad = df.filter(~F.col("field").isin(allowed))
@@ -80,6 +80,33 @@ def unknown_fields(docs: DataFrame) -> DataFrame:
     return out
 
 
+#: The one schema version that is read.
+SCHEMA_VERSION = 1
+
+
+def bundle_violations(docs: DataFrame) -> DataFrame:
+    """Every breach of the rules for a bundle as (path, rule, detail): its id, schema version, description, default
+    domains, entries, and fields that it must not have.  Takes (path, doc) as ``read_documents`` gives them.
+    """
+    obj = lambda name: F.get_json_object("doc", f"$.{name}")
+    listed = F.from_json(obj("default_domains"), "array<string>")
+    blank = lambda c: F.coalesce(~c.rlike("[^\\s\\p{Z}]"), F.lit(True))
+    has = F.array_contains(F.coalesce(F.json_object_keys("doc"), F.array().cast("array<string>")), F.lit("default_domains"))
+    entries = F.from_json(obj("entries"), "array<string>")
+    rules = [
+        ("bundle_id", blank(obj("bundle_id")), obj("bundle_id")),
+        ("schema_version", F.coalesce(obj("schema_version") != str(SCHEMA_VERSION), F.lit(True)), obj("schema_version")),
+        ("default_domains", has & (listed.isNull() | F.exists(listed, lambda d: d.isNull() | blank(d))), obj("default_domains")),
+        ("duplicate_default_domain", F.size(listed) > F.size(F.array_distinct(listed)), obj("default_domains")),
+        ("entries", F.coalesce(F.size(entries) < 1, F.lit(True)), obj("entries")),
+    ]
+    breach = F.array_compact(F.array(*[
+        F.when(bad, F.struct(F.lit(name).alias("rule"), F.coalesce(detail, F.lit("")).alias("detail"))) for name, bad, detail in rules
+    ]))
+    out = docs.select("path", F.explode(breach).alias("b")).select("path", "b.rule", "b.detail")
+    odd = unknown_fields(docs).select("path", F.lit("unknown_field").alias("rule"), F.concat("at", F.lit("."), "field").alias("detail"))
+    return out.unionByName(odd)
+
 
 def load_glossary(spark: SparkSession, path: str) -> Glossary:
     """Terms, forms and spoken forms of the bundle at ``path``, in declaration order."""

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from lexstream.functions import normalize as nz
 from lexstream.functions import patterns as p
 from lexstream.operators import glossary as gl
+from lexstream.operators import inrow
 from lexstream.operators import matching as mt
+from lexstream.operators import overlaps
 from lexstream.operators import rewrite as rw
 from lexstream.operators import translate as tr
 from lexstream.sources import glossary as sg
@@ -154,6 +156,78 @@ def test_matching_equals_brute_force(spark):
     want = [(i, *naive(t, lang, rows, ranks)) for i, lang, t in texts]
     assert got == {(i, *x) for i, all_, _ in want for x in all_} and len(got) > 1000
     assert best == {(i, *x) for i, _, kept in want for x in kept}
+    # The same inside the row.
+    prepared = mt.prepare_forms(spark.createDataFrame(rows, sg.FORMS), terms)
+    assert inrow.fits(prepared) and not inrow.fits(prepared, 100)
+    table = inrow.compiled(prepared)
+    for kept, pairs in ((False, got), (True, best)):
+        d = inrow.with_matches(docs(spark, texts), "text", "lang", table, "ms", kept).select("id", F.explode("ms").alias("m"))
+        found = [(r["id"], r["m"]["term_id"], r["m"]["start"], r["m"]["end"]) for r in d.collect()]
+        assert set(found) == pairs and len(found) == len(pairs)
+
+
+def greedy(ms):
+    kept = []
+    for m in sorted(ms, key=lambda m: (-m[2], -m[3], m[4], m[0], m[1])):
+        if not any(m[0] < k[1] and k[0] < m[1] for k in kept):
+            kept.append(m)
+    return sorted(kept)
+
+
+def test_overlaps_in_clusters_of_all_sizes(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        n, reach = rng.choice([0, 1, 3, 40, 300]), rng.choice([5, 60, 100000])
+        ms = []
+        for k in range(n):
+            s = rng.randint(0, reach)
+            e = s + rng.randint(1, rng.choice([3, 12]))
+            ms.append((s, e, e - s if rng.random() < 0.7 else rng.randint(1, 9), rng.randint(1, 2), rng.randint(0, 4), f"t{k}", "f", "c", False, "p"))
+        rows.append((i, sorted(ms)))
+    # A chain in which every match meets the next one.
+    rows.append((99, [(k, k + 2, 2, 1, (k * 7919) % 1000, "t", "f", "c", False, "p") for k in range(3000)]))
+    kind = "start int, end int, norm_len int, priority int, rank long, term_id string, form string, canonical string, is_alias boolean, policy string"
+    fields = ", ".join(x.replace(" ", ":", 1) for x in kind.split(", "))
+    d = spark.createDataFrame(rows, f"id int, ms array<struct<{fields}>>")
+    got = {r["id"]: [tuple(m) for m in r["kept"]] for r in d.select("id", overlaps.chosen(F.col("ms")).alias("kept")).collect()}
+    assert got == {i: greedy(ms) for i, ms in rows}
+    flat = d.select("id", F.explode("ms").alias("m")).select("id", "m.*", F.lit("en").alias("lang"))
+    best = {(r["id"], r["start"], r["end"], r["term_id"]) for r in mt.best_matches(flat, ["id"]).collect()}
+    assert best == {(i, m[0], m[1], m[5]) for i, ms in rows for m in greedy(ms)}
+
+
+def test_texts_stay_in_their_rows(spark, forms, g):
+    """Rewriting shuffles nothing while the dictionary fits beside the rows; the joined form gives the same."""
+    rng = random.Random(2)
+    words = ["wind", "surfing", "E-stop", "button", "wins", "serving", "Stop", "the", "\n", "M5"]
+    texts = [(i, "en", " ".join(rng.choice(words) for _ in range(rng.randint(0, 80)))) for i in range(200)]
+    d = docs(spark, texts).withColumn("to", F.lit("vi"))
+    bound = rw.bindings(g.forms, g.terms)
+    jobs = (
+        lambda: rw.canonicalize(d, ["id"], "text", "lang", forms), lambda: rw.speak(d, ["id"], "text", "lang", forms, g.spoken),
+        lambda: rw.term_spans(d, ["id"], "text", "lang", "to", forms, bound),
+    )
+    inside = []
+    for job in jobs:
+        out = job()
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        inside.append(sorted(map(str, out.collect())))
+    limit = inrow.MAX_DICTIONARY
+    real = inrow.fits
+    inrow.fits = lambda forms: real(forms, 0)
+    try:
+        for job, rows in zip(jobs, inside):
+            out = job()
+            assert "Exchange" in out._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, out.select(*docs_columns(out)).collect())) == rows
+    finally:
+        inrow.fits = real
+    assert limit == inrow.MAX_DICTIONARY
+
+
+def docs_columns(out):
+    return [c for c in ("id", "lang", "text", "to", "spans", "canonical_text", "n_corrections", "spoken_text", "substitutions") if c in out.columns]
 
 
 def test_prefixes(spark, g):
