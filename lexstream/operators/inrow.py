@@ -9,6 +9,7 @@ larger ones are joined (``matching.find_terms``).
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,9 @@ from pyspark.sql import types as T
 
 from ..functions import normalize as nz
 from ..functions import patterns as p
-from ..functions.text import let, prefix_sums
+from ..functions.text import count_up, let, prefix_sums
 from ..session import width
+from . import matching
 from .matching import _CHARS, _WORDS, _Branch
 from .overlaps import chosen
 
@@ -29,7 +31,7 @@ _FIELDS = ["n_units", "key", "norm", "sensitive", "bounded", "term_id", "form",
 
 @dataclass
 class Dictionary:
-    """The compiled table as a column: array of (lang, by_word, buckets of (head, forms))."""
+    """The compiled table as a column: array of (lang, by_word, buckets of (head, forms), held: which are not empty)."""
 
     tables: Column
     buckets: int
@@ -47,27 +49,34 @@ def fits(forms: DataFrame, limit: int = MAX_DICTIONARY) -> bool:
 def compiled(forms: DataFrame, extra: list[str] | None = None) -> Dictionary:
     """Hash table of prepared forms; ``extra`` names further columns that matches are to carry."""
     extra = extra or []
-    counts = forms.groupBy("lang", "by_word").agg(F.count_distinct("head").alias("n")).collect()
-    buckets = 1
-    while buckets < 2 * max((r["n"] for r in counts), default=1):
+    rows = forms.select("lang", "by_word", "head", F.xxhash64("head").alias("hash"), F.to_json(F.struct(*_FIELDS, *extra)).alias("form")).collect()
+    tables: dict[tuple, dict] = {}
+    for r in sorted(rows):
+        tables.setdefault((r["lang"], r["by_word"]), {}).setdefault((r["hash"], r["head"]), []).append(r["form"])
+    # Most words are in no form: a sparse table rules them out by their hash alone.
+    buckets = 1024
+    while buckets < 16 * max(map(len, tables.values()), default=1):
         buckets *= 2
-    item = F.struct(*_FIELDS, *extra)
-    heads = forms.groupBy("lang", "by_word", "head").agg(F.array_sort(F.collect_list(item)).alias("forms"))
-    slots = heads.withColumn("slot", _slot(F.col("head"), buckets)).groupBy("lang", "by_word", "slot").agg(
-        F.collect_list(F.struct("head", "forms")).alias("entries")
-    )
-    every = forms.select("lang", "by_word").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    table = every.join(slots, ["lang", "by_word", "slot"], "left").groupBy("lang", "by_word").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "entries"))).alias("s")
-    )
-    tables = table.agg(F.collect_list(F.struct("lang", "by_word", F.transform("s", lambda x: x["entries"]).alias("buckets"))).alias("t"))
+    texts = []
+    for (lang, by_word), heads in tables.items():
+        slots: list[list[str]] = [[] for _ in range(buckets)]
+        for (value, head), found_forms in heads.items():
+            slots[value % buckets].append(f'{{"head": {json.dumps(head)}, "forms": [{", ".join(found_forms)}]}}')
+        texts.append(
+            f'{{"lang": {json.dumps(lang)}, "by_word": {json.dumps(by_word)}, '
+            f'"buckets": [{", ".join(f"[{", ".join(x)}]" if x else "null" for x in slots)}], "held": {json.dumps([bool(x) for x in slots])}}}'
+        )
+    item = T.StructType([forms.schema[c] for c in (*_FIELDS, *extra)])
+    entry = T.StructType([T.StructField("head", T.StringType()), T.StructField("forms", T.ArrayType(item))])
+    kind = T.ArrayType(T.StructType([
+        T.StructField("lang", T.StringType()), T.StructField("by_word", T.BooleanType()),
+        T.StructField("buckets", T.ArrayType(T.ArrayType(entry))), T.StructField("held", T.ArrayType(T.BooleanType())),
+    ]))
     # Spark folds this to one constant; subqueries may not stand in array functions, and a joined column would be
     # copied into every row.
-    kind = tables.schema["t"].dataType
-    text = tables.select(F.to_json("t").alias("t")).first()["t"]
     return Dictionary(
-        F.from_json(F.lit(text), kind), buckets, sorted({r["lang"] for r in counts}), sorted({r["by_word"] for r in counts}),
-        [forms.schema[c] for c in extra],
+        F.from_json(F.lit(f"[{', '.join(texts)}]"), kind), buckets, sorted({lang for lang, _ in tables}),
+        sorted({by_word for _, by_word in tables}), [forms.schema[c] for c in extra],
     )
 
 
@@ -92,80 +101,84 @@ def views_of(docs: DataFrame, text: str, dictionary: Dictionary, name: str) -> D
     return d.withColumn(name, views).drop(folded, cased)
 
 
-def _found(view: Column, buckets: Column, n_buckets: int, br: _Branch, extra: list[T.StructField]) -> Column:
-    """All matches of one branch in one view, in the order of their places."""
+def _found(view: Column, table: Column, n_buckets: int, br: _Branch, extra: list[T.StructField]) -> Column:
+    """All matches of one branch in one view, in the order of their places.
+
+    First words are folded with the whole text and looked up by their bucket; the text is cut into units, and places
+    are turned into characters, only for texts with a hit.
+    """
     body, mode = view["body"], view["mode"]
     folded = mode == "folded"
     fold = lambda c: F.when(folded, c).otherwise(nz.plain_lower(c))
-    units = F.regexp_extract_all(body, F.lit(br.unit), F.lit(0))
-    raws = F.regexp_extract_all(body, F.lit(br.head), F.lit(0))
     lead = F.length(F.regexp_extract(body, f"^{br.lead}", 0))
     bare = lambda c: F.regexp_replace(c, f"(?<!{br.lead[:-2]}){br.tail}", "")
     word = lambda c: c.rlike(f"[{p.WORD}]\\z")
+    heads = F.regexp_extract_all(fold(nz.plain_normalize(body) if br.checks_edges else body), F.lit(br.head), F.lit(0))
+    units = F.regexp_extract_all(body, F.lit(br.unit), F.lit(0))
 
-    def in_units(us: Column, rs: Column) -> Column:
-        head = lambda r: fold(nz.plain_normalize(r) if br.checks_edges else r)
-        entries = lambda h: F.filter(F.get(buckets, _slot(h, n_buckets)), lambda e: e["head"] == h)
-        rows = F.transform(rs, lambda r, i: let(head(r), lambda h: F.struct(i.alias("i"), entries(h).alias("es"))))
-        hits = F.filter(rows, lambda x: F.size(x["es"]) > 0)
-
-        def at(hs: Column) -> Column:
-            def with_ends(ends: Column) -> Column:
-                def one(x: Column) -> Column:
-                    i = x["i"]
-                    forms = F.filter(
-                        F.flatten(F.transform(x["es"], lambda e: e["forms"])), lambda f: i + f["n_units"] <= F.size(us)
-                    )
-                    start = lead + F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
-
-                    def judged(f: Column) -> Column:
-                        raw = F.when(f["n_units"] == 1, F.get(rs, i)).otherwise(
-                            bare(F.array_join(F.slice(us, i + 1, f["n_units"]), ""))
-                        )
+    def in_heads(hs: Column) -> Column:
+        hits = F.filter(count_up(F.size(hs)), lambda i: F.get(table["held"], _slot(F.get(hs, i), n_buckets)))
+        return let(hits, lambda at: F.when(F.size(at) > 0, let(units, lambda us: in_units(hs, at, us))))
 
-                        def fit(r: Column) -> Column:
-                            gram = F.when(nz.is_normal(r), r).otherwise(nz.plain_normalize(r))
+    def in_units(hs: Column, at: Column, us: Column) -> Column:
+        def gap(i: Column, k: Column) -> Column:
+            prev = F.coalesce(F.get(at, k - 1), F.lit(0))
+            return F.length(F.array_join(F.slice(us, prev + 1, i - prev), ""))
 
-                            def same(g: Column) -> Column:
-                                ok = (fold(g) == f["key"]) & (
-                                    F.when(folded, ~f["sensitive"])
-                                    .when(mode == "cased", f["sensitive"] & (g == f["norm"]))
-                                    .otherwise(~f["sensitive"] | (g == f["norm"]))
-                                )
-                                if br.checks_edges:
-                                    tail = F.array_join(F.slice(us, i + 1, f["n_units"] + 1), "")
-                                    follow = F.substring(tail, F.length(r) + 1, F.lit(1))
-                                    prev = F.coalesce(F.when(i > 0, F.get(us, i - 1)), F.lit(""))
-                                    ok = ok & (~f["bounded"] | (~word(prev) & ~word(follow)))
-                                return F.when(ok, F.length(r))
+        def one(z: Column) -> Column:
+            i, start = z["i"], z["start"]
 
-                            return let(gram, same)
+            def forms_at(h: Column) -> Column:
+                entries = F.filter(F.get(table["buckets"], _slot(h, n_buckets)), lambda e: e["head"] == h)
+                return F.filter(F.flatten(F.transform(entries, lambda e: e["forms"])), lambda f: i + f["n_units"] <= F.size(us))
 
-                        return let(raw, fit)
+            def judged(f: Column) -> Column:
+                raw = bare(F.array_join(F.slice(us, i + 1, f["n_units"]), ""))
 
-                    def match(f: Column) -> Column:
-                        def placed(n: Column) -> Column:
-                            plain = mode == "both"
-                            s = F.when(plain, start).otherwise(F.get(view["starts"], start.cast("int")))
-                            e = F.when(plain, start + n).otherwise(F.get(view["ends"], (start + n - 1).cast("int")))
-                            return F.when(n.isNotNull(), F.struct(
-                                s.cast("int").alias("start"), e.cast("int").alias("end"), f["norm_len"].alias("norm_len"),
-                                f["priority"].alias("priority"), f["rank"].alias("rank"), f["term_id"].alias("term_id"),
-                                f["form"].alias("form"), f["canonical"].alias("canonical"), f["is_alias"].alias("is_alias"),
-                                f["policy"].alias("policy"), *[f[x.name].alias(x.name) for x in extra],
-                            ))
+                def fit(r: Column) -> Column:
+                    gram = F.when(nz.is_normal(r), r).otherwise(nz.plain_normalize(r))
 
-                        return let(judged(f), placed)
+                    def same(g: Column) -> Column:
+                        ok = (fold(g) == f["key"]) & (
+                            F.when(folded, ~f["sensitive"])
+                            .when(mode == "cased", f["sensitive"] & (g == f["norm"]))
+                            .otherwise(~f["sensitive"] | (g == f["norm"]))
+                        )
+                        if br.checks_edges:
+                            tail = F.array_join(F.slice(us, i + 1, f["n_units"] + 1), "")
+                            follow = F.substring(tail, F.length(r) + 1, F.lit(1))
+                            prev = F.coalesce(F.when(i > 0, F.get(us, i - 1)), F.lit(""))
+                            ok = ok & (~f["bounded"] | (~word(prev) & ~word(follow)))
+                        return F.when(ok, F.length(r))
+
+                    return let(gram, same)
+
+                return let(raw, fit)
 
-                    return F.array_compact(F.transform(forms, match))
+            def match(f: Column) -> Column:
+                def placed(n: Column) -> Column:
+                    plain = mode == "both"
+                    s = F.when(plain, start).otherwise(F.get(view["starts"], start.cast("int")))
+                    e = F.when(plain, start + n).otherwise(F.get(view["ends"], (start + n - 1).cast("int")))
+                    return F.when(n.isNotNull(), F.struct(
+                        s.cast("int").alias("start"), e.cast("int").alias("end"), f["norm_len"].alias("norm_len"),
+                        f["priority"].alias("priority"), f["rank"].alias("rank"), f["term_id"].alias("term_id"),
+                        f["form"].alias("form"), f["canonical"].alias("canonical"), f["is_alias"].alias("is_alias"),
+                        f["policy"].alias("policy"), *[f[x.name].alias(x.name) for x in extra],
+                    ))
 
-                return F.flatten(F.transform(hs, one))
+                return let(judged(f), placed)
 
-            return let(prefix_sums(F.transform(us, lambda u: F.length(u))), with_ends)
+            return F.array_compact(F.transform(let(F.get(hs, i), forms_at), match))
 
-        return let(hits, lambda hs: F.when(F.size(hs) > 0, at(hs)))
+        def placed(starts: Column) -> Column:
+            return F.flatten(F.transform(F.arrays_zip(at.alias("i"), starts.alias("start")), one))
 
-    return let(units, lambda us: let(raws, lambda rs: in_units(us, rs)))
+        # What stands before the first unit counts as the length before the first hit.
+        gaps = F.transform(at, lambda i, k: gap(i, k) + F.when(k == 0, lead).otherwise(F.lit(0)))
+        return let(prefix_sums(gaps), placed)
+
+    return let(heads, in_heads)
 
 
 def found(lang: Column, views: Column, dictionary: Dictionary) -> Column:
@@ -173,7 +186,7 @@ def found(lang: Column, views: Column, dictionary: Dictionary) -> Column:
 
     def searched(tables: Column) -> Column:
         def of(t: Column, v: Column) -> Column:
-            one = lambda br: _found(v, t["buckets"], dictionary.buckets, br, dictionary.extra)
+            one = lambda br: _found(v, t, dictionary.buckets, br, dictionary.extra)
             if len(dictionary.kinds) == 1:
                 return one(_WORDS if dictionary.kinds[0] else _CHARS)
             return F.when(t["by_word"], one(_WORDS)).otherwise(one(_CHARS))
@@ -185,7 +198,7 @@ def found(lang: Column, views: Column, dictionary: Dictionary) -> Column:
         return F.when(F.size(views) > 1, F.array_distinct(every)).otherwise(every)
 
     tables = F.when(lang.isin(dictionary.langs), F.filter(dictionary.tables, lambda t: t["lang"] == lang))
-    return F.array_sort(F.coalesce(let(tables, searched), _none(dictionary)))
+    return F.sort_array(F.coalesce(let(tables, searched), _none(dictionary)))
 
 
 def match_type(dictionary: Dictionary) -> T.ArrayType:
@@ -206,3 +219,13 @@ def with_matches(docs: DataFrame, text: str, lang: str, dictionary: Dictionary,
     # Generators keep Spark from copying the search into every expression that reads it.
     d = d.select("*", F.explode(F.array(chosen(every) if best else every)).alias(name))
     return d.drop("__views")
+
+
+def best_terms(docs: DataFrame, keys: list[str], text: str, lang: str, forms: DataFrame) -> DataFrame:
+    """The matches of ``matching.best_matches``, found in the rows where the dictionary fits beside them."""
+    if not fits(forms):
+        return matching.best_matches(matching.find_terms(docs, keys, text, lang, forms), keys)
+    d = with_matches(docs, text, lang, compiled(forms), "__ms")
+    m = d.select(*keys, F.col(lang).alias("lang"), F.explode("__ms").alias("m"))
+    held = ("term_id", "form", "canonical", "is_alias", "policy", "priority", "rank", "norm_len", "start", "end")
+    return m.select(*keys, "lang", *[f"m.{c}" for c in held])

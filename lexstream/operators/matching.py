@@ -3,13 +3,16 @@
 A text is cut into chunks of a fixed number of units, each with its character offset and a little
 of the following chunk.  A unit is a word with what follows it (forms that start and end with a
 word character and must stand alone) or one visible character with the white space after it (all
-other forms).  Every unit is joined with the first units of the dictionary, and only survivors are
-extended to n-grams and joined with whole forms.  Nothing of the text is shuffled: the dictionary
-side is broadcast while its counted size allows it.
+other forms).  A bitmap over the hashes of all first words, of bounded size whatever the dictionary, rules out
+most units inside the row of their chunk; what is left becomes a row with the units of the longest form, is joined
+with the first words and then, extended to n-grams, with whole forms.  The dictionary side is broadcast while its
+counted size allows it; beyond that these short rows are shuffled, never the chunks.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,13 +20,15 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
 from ..functions import patterns as p
-from ..functions.text import let, prefix_sums, tokenize
-from ..session import hint, small_side, width, written
+from ..functions.text import count_up, let, prefix_sums, tokenize
+from ..session import MAX_BROADCAST_BYTES, hint, small_side, width, written
 from .overlaps import chosen
 
 _WORD_UNIT = f"[{p.WORD}]++[^{p.WORD}]*+"
 _CHAR_UNIT = f"[^{p.SPACE}][{p.SPACE}]*+"
 _CHUNK = 128
+#: Bits of the largest bitmap over first words; it travels as a constant of the plan.
+MAX_BITS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -114,37 +119,74 @@ def _chunks(texts: DataFrame, keys: list[str], br: _Branch, k_max: int) -> DataF
     return c.select(*keys, "lang", "mode", "c.*", part("starts").alias("starts"), part("ends").alias("ends"))
 
 
-def _units(chunks: DataFrame, br: _Branch) -> DataFrame:
-    """One row per unit: its place ``at``, its first word, and a reference to the units of the chunk.
+def head_filter(heads: DataFrame) -> Callable[[Column, Column], Column]:
+    """A test whether (lang, head) may be among ``heads``: a bitmap over hashes, never wrong about one that is."""
+    n, bits = heads.count(), 1 << 12
+    while bits < min(16 * n, MAX_BITS):
+        bits *= 2
+    place = lambda lang, head: F.pmod(F.xxhash64(lang, head), F.lit(bits))
+    at = heads.select(place(F.col("lang"), F.col("head")).alias("at"))
+    # At most bits / 64 rows.
+    held = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).collect()
+    words = [0] * (bits >> 6)
+    for r in held:
+        words[r["word"]] = r["b"]
+    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
 
-    The units go through the generator, where they are made once per chunk.  Left beside it, they
-    would be made again for every row behind the next join.
-    """
+    def may_hold(lang: Column, head: Column) -> Column:
+        def bit(x: Column) -> Column:
+            return F.get(table, F.shiftright(x, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))) != 0
+
+        return F.coalesce(let(place(lang, head), bit), F.lit(False))
+
+    return may_hold
+
+
+def _hits(chunks: DataFrame, keys: list[str], br: _Branch, k_max: int, may_hold: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row for each unit that may begin a form: its place ``s`` in the chunk, its first word, the units from it on
+    that the longest form may need, the character before, and, for aligned texts, the original places of these units."""
+    fold = lambda c: F.when(F.col("mode") == "folded", c).otherwise(nz.plain_lower(c))
+    own = F.col("own")
+    heads = F.regexp_extract_all(fold(nz.plain_normalize(own) if br.checks_edges else own), F.lit(br.head), F.lit(0))
     units = F.regexp_extract_all(F.concat("own", "after"), F.lit(br.unit), F.lit(0))
-    c = chunks.withColumn("all", units).withColumn("firsts", F.regexp_extract_all("own", F.lit(br.head), F.lit(0)))
-    rows = F.arrays_zip(F.col("firsts").alias("first"), F.array_repeat("all", F.size("firsts")).alias("us"))
-    w = c.select("*", F.posexplode(rows).alias("at", "z")).drop("own", "after", "all", "firsts")
-    return w.withColumn("first", F.col("z.first")).withColumn("us", F.col("z.us")).drop("z")
 
+    def rows(hs: Column, at: Column, us: Column) -> Column:
+        def gap(i: Column, k: Column) -> Column:
+            prev = F.coalesce(F.get(at, k - 1), F.lit(0))
+            return F.length(F.array_join(F.slice(us, prev + 1, i - prev), ""))
+
+        def one(i: Column, k: Column, starts: Column) -> Column:
+            prev = F.coalesce(F.when(i > 0, F.get(us, i - 1)), F.col("before"))
+            return F.struct(
+                F.get(starts, k).cast("int").alias("s"), F.get(hs, i).alias("head"), F.slice(us, i + 1, F.lit(k_max + 1)).alias("us"),
+                F.right(prev, F.lit(1)).alias("prev"),
+            )
+
+        return let(prefix_sums(F.transform(at, gap)), lambda starts: F.transform(at, lambda i, k: one(i, k, starts)))
 
-def _matches(texts: DataFrame, keys: list[str], forms: DataFrame, br: _Branch, k_max: int, size: int) -> DataFrame:
+    def of(hs: Column) -> Column:
+        at = F.filter(count_up(F.size(hs)), lambda i: may_hold(F.col("lang"), F.get(hs, i)))
+        return let(at, lambda xs: F.when(F.size(xs) > 0, let(units, lambda us: rows(hs, xs, us))))
+
+    d = chunks.select(*keys, "lang", "mode", "base", "starts", "ends", F.explode(let(heads, of)).alias("x"))
+    d = d.select(*keys, "lang", "mode", "base", "starts", "ends", "x.*")
+    span = F.length(F.array_join("us", ""))
+    part = lambda a: F.when(F.col("mode") != "both", F.slice(a, F.col("s") + 1, span))
+    return d.withColumns({"starts": part("starts"), "ends": part("ends")})
+
+
+def _matches(texts: DataFrame, keys: list[str], forms: DataFrame, br: _Branch, k_max: int, size: int, limit: int) -> DataFrame:
     bare = lambda c: F.regexp_replace(c, f"(?<!{br.lead[:-2]}){br.tail}", "")
     # Join keys are never null, so that no null check with a copy of them is pushed below the join.
     fold = lambda c: F.coalesce(F.when(F.col("mode") == "folded", c).otherwise(nz.plain_lower(c)), F.lit(""))
     heads = forms.groupBy("lang", "head").agg(F.sort_array(F.collect_set("n_units")).alias("sizes"))
-    w = _units(_chunks(texts, keys, br, k_max), br)
-    # Most rows end at this join; only survivors are extended to whole forms.
-    first = nz.plain_normalize(F.col("first")) if br.checks_edges else F.col("first")
-    w = w.withColumn("head", fold(first)).join(hint(heads, size), ["lang", "head"]).drop("head")
-    w = w.withColumn("n_units", F.explode("sizes")).drop("sizes")
-    w = w.filter(F.col("at") + F.col("n_units") <= F.size("us"))
-    raw = F.when(F.col("n_units") == 1, F.col("first")).otherwise(
-        bare(F.array_join(F.slice("us", F.col("at") + 1, F.col("n_units")), ""))
-    )
-    w = w.withColumn("raw", raw)
+    w = _hits(_chunks(texts, keys, br, k_max), keys, br, k_max, head_filter(heads.select("lang", "head")))
+    w = w.withColumn("head", F.coalesce("head", F.lit(""))).join(hint(heads, size, limit), ["lang", "head"]).drop("head")
+    w = w.withColumn("n_units", F.explode("sizes")).drop("sizes").filter(F.col("n_units") <= F.size("us"))
+    w = w.withColumn("raw", bare(F.array_join(F.slice("us", F.lit(1), F.col("n_units")), "")))
     w = w.withColumn("gram", F.when(nz.is_normal(F.col("raw")), F.col("raw")).otherwise(nz.plain_normalize(F.col("raw"))))
     w = w.withColumn("key", fold(F.col("gram")))
-    m = w.join(hint(forms.drop("head", "by_word"), size), ["lang", "key", "n_units"])
+    m = w.join(hint(forms.drop("head", "by_word"), size, limit), ["lang", "key", "n_units"])
     fits = (
         F.when(F.col("mode") == "folded", ~F.col("sensitive"))
         .when(F.col("mode") == "cased", F.col("sensitive") & (F.col("gram") == F.col("norm")))
@@ -152,27 +194,27 @@ def _matches(texts: DataFrame, keys: list[str], forms: DataFrame, br: _Branch, k
     )
     if br.checks_edges:
         # Units end where the next begins, so what follows the form is found behind its characters.
-        tail = F.array_join(F.slice("us", F.col("at") + 1, F.col("n_units") + 1), "")
+        tail = F.array_join(F.slice("us", F.lit(1), F.col("n_units") + 1), "")
         follow = F.substring(tail, F.length("raw") + 1, F.lit(1))
         word = lambda c: c.rlike(f"[{p.WORD}]\\z")
-        prev = F.coalesce(F.get("us", F.col("at") - 1), F.col("before"))
-        fits = fits & (~F.col("bounded") | (~word(prev) & ~word(follow)))
-    m = m.filter(fits)
-    m = m.withColumn("s", F.length(F.array_join(F.slice("us", F.lit(1), F.col("at")), "")))
-    m = m.withColumn("e", F.col("s") + F.length("raw"))
+        fits = fits & (~F.col("bounded") | (~word(F.col("prev")) & ~word(follow)))
+    m = m.filter(fits).withColumn("n", F.length("raw"))
     plain = F.col("mode") == "both"
-    start = F.when(plain, F.col("base") + F.col("s")).otherwise(F.get("starts", F.col("s")))
-    end = F.when(plain, F.col("base") + F.col("e")).otherwise(F.get("ends", F.col("e") - 1))
+    start = F.when(plain, F.col("base") + F.col("s")).otherwise(F.get("starts", F.lit(0)))
+    end = F.when(plain, F.col("base") + F.col("s") + F.col("n")).otherwise(F.get("ends", F.col("n") - 1))
     return m.select(
         *keys, "lang", "term_id", "form", "canonical", "is_alias", "policy", "priority", "rank", "norm_len",
         start.cast("int").alias("start"), end.cast("int").alias("end"), "mode",
     )
 
 
-def find_terms(docs: DataFrame, keys: list[str], text: str, lang: str, forms: DataFrame) -> DataFrame:
+def find_terms(
+    docs: DataFrame, keys: list[str], text: str, lang: str, forms: DataFrame, limit: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
     """Every occurrence of every form, overlaps included, with half-open 0-based character spans.
 
-    ``forms`` comes from ``prepare_forms``.  ``keys`` must identify a row of ``docs``.
+    ``forms`` comes from ``prepare_forms``.  ``keys`` must identify a row of ``docs``.  A dictionary of more than
+    ``limit`` bytes is not broadcast.
     """
     size = F.sum(width("form", "canonical", "norm", "key", "head"))
     branches = forms.groupBy("by_word").agg(
@@ -182,7 +224,7 @@ def find_terms(docs: DataFrame, keys: list[str], text: str, lang: str, forms: Da
     for row in branches:
         br = _WORDS if row["by_word"] else _CHARS
         texts = _normalized_texts(docs, keys, text, lang, row["langs"], row["by_word"])
-        found = _matches(texts, keys, forms.filter(F.col("by_word") == row["by_word"]), br, row["k"], row["size"])
+        found = _matches(texts, keys, forms.filter(F.col("by_word") == row["by_word"]), br, row["k"], row["size"], limit)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return _no_matches(docs, keys, lang, forms)
@@ -259,19 +301,32 @@ def prefix_table(forms: DataFrame) -> DataFrame:
     return written(g, "prefixes")
 
 
-def prefix_hits(rows: DataFrame, keys: list[str], tokens: str, lang: str, prefixes: DataFrame) -> DataFrame:
-    """Token spans that equal a dictionary prefix: (keys, start, end, n_tokens, is_term, is_open)."""
-    size = prefixes.agg(F.sum(width("key", "head")).alias("size")).first()["size"]
+def prefix_hits(
+    rows: DataFrame, keys: list[str], tokens: str, lang: str, prefixes: DataFrame, limit: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """Token spans that equal a dictionary prefix: (keys, start, end, n_tokens, is_term, is_open).
+
+    Tokens that begin no form are ruled out inside the row (``head_filter``); the others become a row with as many
+    tokens as the longest prefix has.
+    """
+    stats = prefixes.agg(F.sum(width("key", "head")).alias("size"), F.max("n").alias("longest")).first()
+    size, longest = stats["size"], stats["longest"] or 1
     heads = prefixes.groupBy("lang", "head").agg(F.sort_array(F.collect_set("n")).alias("sizes"))
-    w = rows.select(*keys, F.col(lang).alias("lang"), F.size(tokens).alias("n_tokens"), F.col(tokens).alias("ts"),
-                    F.posexplode(tokens).alias("start", "head"))
-    w = w.withColumn("head", F.coalesce(F.lower("head"), F.lit(""))).join(hint(heads, size), ["lang", "head"])
-    w = w.withColumn("n", F.explode("sizes")).filter(F.col("start") + F.col("n") <= F.col("n_tokens"))
-    w = w.withColumn("win", F.slice("ts", F.col("start") + 1, F.col("n"))).drop("ts")
-    w = w.withColumn("key", F.coalesce(F.lower(F.array_join("win", "\x1f")), F.lit("")))
+    may_hold = head_filter(heads.select("lang", "head"))
+
+    def rows_of(low: Column) -> Column:
+        at = F.filter(count_up(F.size(low)), lambda i: may_hold(F.col("lang"), F.get(low, i)))
+        return F.transform(at, lambda i: F.struct(i.alias("start"), F.slice(low, i + 1, F.lit(longest)).alias("win")))
+
+    w = rows.select(*keys, F.col(lang).alias("lang"), F.col(tokens).alias("__ts"))
+    low = F.transform("__ts", lambda t: F.coalesce(F.lower(t), F.lit("")))
+    w = w.select(*keys, "lang", F.size("__ts").alias("n_tokens"), F.explode(let(low, rows_of)).alias("x"))
+    w = w.select(*keys, "lang", "n_tokens", "x.*").withColumn("head", F.coalesce(F.get("win", F.lit(0)), F.lit("")))
+    w = w.join(hint(heads, size, limit), ["lang", "head"]).withColumn("n", F.explode("sizes")).filter(F.col("n") <= F.size("win"))
+    w = w.withColumn("key", F.coalesce(F.array_join(F.slice("win", F.lit(1), F.col("n")), "\x1f"), F.lit(""))).drop("win")
     # Several forms may share a prefix; the table holds each prefix once.
     side = prefixes.select("lang", "n", "key", "is_term", "is_open")
-    return w.join(hint(side, size), ["lang", "n", "key"]).select(
+    return w.join(hint(side, size, limit), ["lang", "n", "key"]).select(
         *keys, "start", (F.col("start") + F.col("n")).alias("end"), "n_tokens",
         "is_term", "is_open",
     )

@@ -24,7 +24,7 @@ def _overlap(a: Column, b: Column) -> Column:
 
 
 def _one_by_one(ms: Column) -> Column:
-    ranked = F.array_sort(F.transform(ms, lambda m: F.struct(_rank(m).alias("by"), m.alias("m"))))
+    ranked = F.sort_array(F.transform(ms, lambda m: F.struct(_rank(m).alias("by"), m.alias("m"))))
     return F.aggregate(
         F.transform(ranked, lambda x: x["m"]), F.filter(ms, lambda x: F.lit(False)),
         lambda kept, m: F.when(F.exists(kept, lambda y: _overlap(m, y)), kept).otherwise(F.concat(kept, F.array(m))),
@@ -94,7 +94,7 @@ def chosen(matches: Column) -> Column:
                         let(group, lambda g: let(far, lambda r: _in_rounds(g, r)))
                     )
 
-                return F.array_sort(F.flatten(F.transform(os, one)))
+                return F.sort_array(F.flatten(F.transform(os, one)))
 
             return let(opens, each)
 

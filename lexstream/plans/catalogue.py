@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions import timing as tm
 from ..operators import events as ev
 from ..operators import glossary as gl
+from ..operators import inrow as ir
 from ..operators import matching as mt
 from ..operators import ordered
 from ..operators import quality as ql
@@ -396,9 +397,10 @@ def canonicalized_docs(spark, sf):
 @query
 def canonical_term_counts(spark, sf):
     """Flagship: canonicalize the corpus, then count canonical terms per language."""
-    d = rw.canonicalize(inp.texts(spark, sf, "documents"), ["doc_id"], "text", "lang", inp.active_forms(spark))
+    forms = inp.active_forms(spark)
+    d = rw.canonicalize(inp.texts(spark, sf, "documents"), ["doc_id"], "text", "lang", forms)
     d = d.select("doc_id", "lang", tx.collapse_spaces("canonical_text").alias("text"))
-    m = mt.best_matches(mt.find_terms(d, ["doc_id"], "text", "lang", inp.active_forms(spark)), ["doc_id"])
+    m = ir.best_terms(d, ["doc_id"], "text", "lang", forms)
     return m.groupBy("lang", "term_id").agg(F.count("*").alias("n_matches"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -501,7 +503,7 @@ def _bound(spark: SparkSession) -> DataFrame:
 
 @query
 def target_forms(spark, sf):
-    m = mt.best_matches(_matches(spark, sf), ["doc_id"])
+    m = ir.best_terms(inp.texts(spark, sf, "documents"), ["doc_id"], "text", "lang", inp.active_forms(spark))
     b = _bound(spark).filter("target = 'en'").select("term_id", F.col("source").alias("lang"), "target_form")
     return m.join(b, ["term_id", "lang"]).groupBy("lang", "term_id", "target_form").agg(F.count("*").alias("n"))
 
@@ -866,7 +868,7 @@ def pacing(spark, sf):
 def _cases(spark: SparkSession, sf: str):
     """Expected terms are what the matcher finds; observed ones miss some and hold extra ones."""
     docs = inp.texts(spark, sf, "documents")
-    m = mt.best_matches(_matches(spark, sf), ["doc_id"]).select(F.col("doc_id").alias("case_id"), "term_id")
+    m = ir.best_terms(docs, ["doc_id"], "text", "lang", inp.active_forms(spark)).select(F.col("doc_id").alias("case_id"), "term_id")
     order = F.when(F.col("term_id") == "the_word", 1).when(F.col("term_id") == "of_word", 2).otherwise(3)
     seen = m.filter((F.col("case_id") + order) % 4 != 0)
     extra = docs.filter("doc_id % 6 = 1").select(F.col("doc_id").alias("case_id"), F.lit("other_word").alias("term_id"))

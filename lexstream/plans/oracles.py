@@ -499,6 +499,79 @@ oracle("translation_stats", f"""
   t AS (SELECT stream_id, sum(n) AS matches, count(*) AS hops, count_if(hit) AS cache_hits FROM e GROUP BY stream_id)
   SELECT stream_id, CAST(matches AS BIGINT) AS matches, CAST(0 AS BIGINT) AS retries, CAST(0 AS BIGINT) AS fallbacks, hops, cache_hits FROM t""")
 
+# The sample translator puts the target language in front and, by the length of what it is given, spoils the marks of
+# some formats: a text survives a format that it leaves as it was.
+FORMATS = ("__TERM_%04d__", "OVT%04dOVT", "ZXTERM%04dZX")
+
+
+def unsteady(t: str) -> str:
+    return f"""CASE WHEN length({t}) % 5 = 1 AND contains({t}, '__TERM') THEN replace({t}, '__TERM_', '__term_ ')
+      WHEN length({t}) % 5 = 2 AND contains({t}, 'TERM') THEN regexp_replace({t}, '(?i)term', 'T', 'g')
+      WHEN length({t}) % 5 = 3 AND regexp_matches({t}, '__TERM|OVT') THEN regexp_replace({t}, '__|OVT', '', 'g') ELSE {t} END"""
+
+
+def translated(fallback: bool) -> str:
+    """Attempts by format; where none survives the whole request fails, or the stretches between terms are asked for."""
+    cut = "substring(text, CAST(prev + 1 AS BIGINT), CAST(s - prev AS BIGINT))"
+    tail = "substring(text, CAST(z + 1 AS BIGINT))"
+    piece = lambda g: f"CASE WHEN {strip(g)} <> '' THEN '[' || target || '] ' || {unsteady(strip(g))} END"
+    return f"""
+  WITH {SENTENCE_ROWS}, se AS (SELECT doc_id, i - 1 AS pos, lang, text FROM sr
+      UNION ALL SELECT doc_id, 0, lang, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sr)),
+  {matches('se', 'doc_id, pos')}, {best('doc_id, pos')},
+  bt AS (SELECT b.doc_id, b.pos, b.s, b.e, t.target, t.target_form, se.text, row_number() OVER w AS no, coalesce(lag(b.e) OVER w, 0) AS prev
+    FROM b JOIN se ON se.doc_id = b.doc_id AND se.pos = b.pos JOIN {BOUND} t ON t.term_id = b.term_id AND t.source = b.lang
+      AND t.target = CASE b.lang WHEN 'fr' THEN 'en' ELSE 'fr' END WINDOW w AS (PARTITION BY b.doc_id, b.pos ORDER BY b.s)),
+  bg AS (SELECT doc_id, pos, count(*) AS n, max(e) AS z, string_agg({cut} || target_form, '' ORDER BY s) AS held,
+      {", ".join(f"string_agg({cut} || printf('{f}', no), '' ORDER BY s) AS g{k}" for k, f in enumerate(FORMATS))},
+      string_agg(concat_ws(' ', {piece(cut)}, target_form), ' ' ORDER BY s) AS around FROM bt GROUP BY doc_id, pos),
+  q AS (SELECT se.doc_id, se.pos, se.text, CASE se.lang WHEN 'fr' THEN 'en' ELSE 'fr' END AS target, coalesce(n, 0) AS n,
+      coalesce(z, 0) AS z, coalesce(held, '') AS held, coalesce(g0, '') AS g0, coalesce(g1, '') AS g1, coalesce(g2, '') AS g2, around
+    FROM se LEFT JOIN bg ON bg.doc_id = se.doc_id AND bg.pos = se.pos),
+  p AS (SELECT *, g0 || {tail} AS p0, g1 || {tail} AS p1, g2 || {tail} AS p2, held || {tail} AS ok FROM q),
+  r AS (SELECT *, CASE WHEN n = 0 OR {unsteady('p0')} = p0 THEN 0 WHEN {unsteady('p1')} = p1 THEN 1 WHEN {unsteady('p2')} = p2 THEN 2 END AS tries FROM p),
+  o AS (SELECT *, CASE WHEN n = 0 THEN '[' || target || '] ' || {unsteady('text')} WHEN tries IS NOT NULL THEN '[' || target || '] ' || ok
+      {f"ELSE concat_ws(' ', around, {piece(tail)})" if fallback else ""} END AS body FROM r),
+  src AS (SELECT doc_id, source AS stream_id, doc_id % 2 = 0 AS is_final, coalesce(count_if(doc_id % 2 = 0) OVER (PARTITION BY source ORDER BY doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM documents),
+  dn AS (SELECT doc_id, i - 1 AS pos, i < n OR whole AS done FROM sr),
+  ht AS (SELECT dn.doc_id, dn.pos, row_number() OVER (PARTITION BY stream_id, epoch, se.lang, se.text ORDER BY dn.doc_id, dn.pos) > 1 AS hit
+    FROM dn JOIN src USING (doc_id) JOIN se ON se.doc_id = dn.doc_id AND se.pos = dn.pos WHERE done),
+  mk AS (SELECT o.*, coalesce(ht.hit, false) AS hit, coalesce(dn.done, false) AS done, is_final, body AS bare, {last_mark('o.text')} AS mark
+    FROM o JOIN src USING (doc_id) LEFT JOIN dn ON dn.doc_id = o.doc_id AND dn.pos = o.pos LEFT JOIN ht ON ht.doc_id = o.doc_id AND ht.pos = o.pos)
+  SELECT doc_id, CASE WHEN count(body) = count(*) THEN string_agg(CASE WHEN done OR is_final THEN {restore('mark')} ELSE body END, ' ' ORDER BY pos) END AS translated,
+    CAST(sum(n) AS BIGINT) AS matches, CAST(sum(CASE WHEN n = 0 THEN 0 ELSE coalesce(tries, 2) END) AS BIGINT) AS retries,
+    {"count_if(n > 0 AND tries IS NULL)" if fallback else "CAST(0 AS BIGINT)"} AS fallbacks, count(*) AS hops, count_if(hit) AS cache_hits
+    {"" if fallback else ", count_if(n > 0 AND tries IS NULL) AS faults"}
+  FROM mk GROUP BY doc_id"""
+
+
+oracle("translated", translated(False))
+oracle("translated_with_fallback", translated(True))
+
+
+def hop(src: str, target: str, name: str) -> str:
+    """One steady translation of ``src`` (doc_id, pos, lang, text, ...): terms by their bound forms, the language in front."""
+    return f"""
+  {matches(src, 'doc_id, pos', name + 'm')}, {best('doc_id, pos', name + 'm', name + 'b')},
+  {name}ed AS (SELECT b.doc_id, b.pos, b.s, b.e, t.target_form AS rep FROM {name}b b JOIN {src} d ON d.doc_id = b.doc_id AND d.pos = b.pos
+    JOIN {BOUND} t ON t.term_id = b.term_id AND t.source = b.lang AND t.target = d.{target}),
+  {spliced(src, 'doc_id, pos', name + 'ed', name + 'x')}"""
+
+
+oracle("translated_through_pivot", f"""
+  WITH {SENTENCE_ROWS}, s1 AS (SELECT doc_id, pos, lang, text, CASE lang WHEN 'es' THEN 'fr' ELSE 'es' END AS last,
+      CASE WHEN lang <> 'en' THEN 'en' ELSE 'es' END AS target
+    FROM (SELECT doc_id, i - 1 AS pos, lang, text FROM sr UNION ALL SELECT doc_id, 0, lang, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sr))),
+  {hop('s1', 'target', 'one')},
+  s2 AS (SELECT doc_id, pos, 'en' AS lang, '[en] ' || new_text AS text, last AS target, n_edits AS n1 FROM onex WHERE lang <> 'en'),
+  {hop('s2', 'target', 'two')},
+  o AS (SELECT doc_id, pos, '[' || target || '] ' || new_text AS bare, n_edits AS n, 1 AS hops FROM onex WHERE lang = 'en'
+    UNION ALL SELECT doc_id, pos, '[' || target || '] ' || new_text, n1 + n_edits, 2 FROM twox),
+  mk AS (SELECT o.*, {last_mark('s1.text')} AS mark FROM o JOIN s1 ON s1.doc_id = o.doc_id AND s1.pos = o.pos)
+  SELECT doc_id, string_agg({restore('mark')}, ' ' ORDER BY pos) AS translated, CAST(sum(n) AS BIGINT) AS matches, CAST(sum(hops) AS BIGINT) AS hops
+  FROM mk GROUP BY doc_id""")
+
 # Revision streams -------------------------------------------------------------------------------
 
 oracle("latest_partials", f"""

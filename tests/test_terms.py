@@ -156,6 +156,12 @@ def test_matching_equals_brute_force(spark):
     want = [(i, *naive(t, lang, rows, ranks)) for i, lang, t in texts]
     assert got == {(i, *x) for i, all_, _ in want for x in all_} and len(got) > 1000
     assert best == {(i, *x) for i, _, kept in want for x in kept}
+    # A dictionary too large to broadcast: only short rows of possible beginnings are shuffled.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = mt.find_terms(docs(spark, texts), ["id"], "text", "lang", mt.prepare_forms(spark.createDataFrame(rows, sg.FORMS), terms), limit=0)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and {(r.id, r.term_id, r.start, r.end) for r in joined.collect()} == got
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # The same inside the row.
     prepared = mt.prepare_forms(spark.createDataFrame(rows, sg.FORMS), terms)
     assert inrow.fits(prepared) and not inrow.fits(prepared, 100)
@@ -239,6 +245,28 @@ def test_prefixes(spark, g):
     hits = mt.prefix_hits(d, ["id"], "t", "lang", prefixes)
     assert {r.id: r.open_start for r in mt.open_suffix(hits, ["id"]).collect()} == {1: 0, 3: 2}
     assert {(r.id, r.start, r.end) for r in mt.token_spans(hits, ["id"]).collect()} == {(1, 0, 2), (2, 0, 4), (3, 2, 4)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = mt.prefix_hits(d, ["id"], "t", "lang", prefixes, limit=0)
+    assert sorted(joined.collect()) == sorted(hits.collect()) and "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_what_a_large_dictionary_shuffles(spark):
+    """Rows that leave their chunk hold less than the text, and the bitmap forgets no first word."""
+    rng = random.Random(7)
+    words = [f"w{rng.randint(0, 3000)}" for _ in range(20000)]
+    texts = [(i, "en", " ".join(words[i * 200:(i + 1) * 200])) for i in range(100)]
+    rows = [(f"t{i}", "en", f"w{i * 9} w{i}", 0, "x", False, None) for i in range(300)]
+    terms = spark.createDataFrame([(r[0], ["d"], 1, "preserve", i) for i, r in enumerate(rows)], sg.TERMS)
+    forms = mt.prepare_forms(spark.createDataFrame(rows, sg.FORMS), terms)
+    held = mt.head_filter(forms.select("lang", "head").distinct())
+    every = forms.select(held(F.col("lang"), F.col("head")).alias("in"))
+    assert every.filter("not in").isEmpty()
+    d = docs(spark, texts)
+    views = mt._normalized_texts(d, ["id"], "text", "lang", ["en"], True)
+    hits = mt._hits(mt._chunks(views, ["id"], mt._WORDS, 2), ["id"], mt._WORDS, 2, held)
+    moved = hits.agg(F.sum(F.length(F.array_join("us", "")) + F.length("head") + F.length("prev") + 24).alias("n")).first()["n"]
+    assert 0 < moved < 2 * sum(len(t) for _, _, t in texts)
 
 
 WORDS = "array<struct<text:string,start:double,end:double,confidence:double>>"
