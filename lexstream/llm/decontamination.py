@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, flags, fresh, share, shared, table, utf8, words
+from .common import Scratch, arrow_pass, flags, fresh, share, shared, table, utf8, words
 
 #: Item bytes held by one automaton; larger benchmarks are read in blocks of this size.
 BLOCK_BYTES = 4 << 20
@@ -190,7 +191,13 @@ def matches(
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     schema = f"row long, id {kind}, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
     parts = []
-    for automaton, ids in _automata(items, item_id, item_text, window, block_bytes):
+    automata = _automata(items, item_id, item_text, window, block_bytes)
+    first = [next(automata)]
+    second = list(islice(automata, 1))
+    if second:
+        # Several passes are united by the row number, so rows are numbered once and stored.
+        texts = Scratch(docs.sparkSession, "decontamination").put(texts)
+    for automaton, ids in chain(first, second, automata):
         held = share(docs.sparkSession, (automaton, ["null" if i is None else i for i in ids]))
         parts.append(arrow_pass(texts, lambda batches, held=held: _find(batches, held), schema))
     if len(parts) == 1:

@@ -243,6 +243,21 @@ def test_decontamination_odd(spark, block):
     assert got == Counter((i, *brute_hits(t, ITEMS)) for i, t in HIT)
 
 
+def test_blocks_of_items_over_a_derived_table(spark):
+    """Several passes over rows behind a shuffle, split anew by each read, are united row by row."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    made = docs_of(spark, HIT * 30)
+    made = made.join(made.select(F.col("doc_id").alias("other")).distinct(), F.col("doc_id").eqNullSafe(F.col("other"))).repartition("text")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    one, many = (
+        Counter((r["doc_id"], r["n_words"], tuple(sorted(r["items"]))) for r in decontamination.matches(made, items, block_bytes=b).collect())
+        for b in (4 << 20, 100)
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert one == many and sum(one.values()) == 30 * len(HIT)
+
+
 def test_random_automaton():
     rng = np.random.default_rng(1)
     for _ in range(60):
