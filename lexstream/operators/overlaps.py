@@ -31,10 +31,47 @@ def _one_by_one(ms: Column) -> Column:
     )
 
 
+def _sweep(xs: Column, near: Column) -> Column:
+    """Settle what can be settled from one end of the cluster to the other.
+
+    Each open match looks at its neighbours, those behind it as this sweep has left them: it is lost if one that
+    overlaps it has won, and wins if no open one that overlaps it ranks higher.
+    """
+    none = F.filter(xs, lambda x: F.lit(False))
+
+    def step(a: Column, i: Column) -> Column:
+        def judge(x: Column) -> Column:
+            beside = F.concat(a["recent"], F.slice(xs, i + 2, near))
+
+            def state(ys: Column) -> Column:
+                met = lambda y: _overlap(y["m"], x["m"])
+                lost = F.exists(ys, lambda y: (y["state"] == 1) & met(y))
+                beaten = F.exists(ys, lambda y: (y["state"] == 0) & (y["by"] < x["by"]) & met(y))
+                return F.when(x["state"] != 0, x["state"]).when(lost, 2).when(~beaten, 1).otherwise(0)
+
+            return F.struct(x["m"].alias("m"), x["by"].alias("by"), let(beside, state).alias("state"))
+
+        def put(z: Column) -> Column:
+            recent, now = F.concat(a["recent"], F.array(z)), F.concat(a["now"], F.array(z))
+            full = F.size(a["now"]) >= 255
+            return F.struct(
+                F.when(F.size(a["recent"]) >= near, F.slice(recent, F.lit(2), near)).otherwise(recent).alias("recent"),
+                F.when(full, none).otherwise(now).alias("now"),
+                F.when(full, F.concat(a["done"], F.array(now))).otherwise(a["done"]).alias("done"),
+            )
+
+        return let(let(F.get(xs, i), judge), put)
+
+    # Blocks keep the copying of a growing array short.
+    start = F.struct(none.alias("recent"), none.alias("now"), F.filter(F.array(none), lambda x: F.lit(False)).alias("done"))
+    return F.aggregate(count_up(F.size(xs)), start, step, lambda a: F.concat(F.flatten(a["done"]), a["now"]))
+
+
 def _in_rounds(ms: Column, reach: Column) -> Column:
-    """A match wins if nothing that overlaps it and is still there ranks higher; what overlaps it leaves; again.
+    """Sweeps back and forth until every match has won or lost; the outcome is that of one by one in rank order.
 
     Overlapping matches stand close together in the order of their starts, so a match looks at its neighbours only.
+    Runs of falling or rising rank settle within one sweep of either direction.
     """
     n = F.size(ms)
     near = F.lit(None).cast("int")
@@ -46,31 +83,16 @@ def _in_rounds(ms: Column, reach: Column) -> Column:
         near = F.when(apart(w), F.lit(w)).otherwise(near)
 
     def rounds(near: Column) -> Column:
-        around = lambda xs, i: F.slice(xs, F.greatest(i - near, F.lit(0)) + 1, F.least(i, near) + near + 1)
-
         # Every match with its state: 0 open, 1 won, 2 lost.
         first = F.transform(ms, lambda m: F.struct(m.alias("m"), _rank(m).alias("by"), F.lit(0).alias("state")))
 
         def step(a: Column, _: Column) -> Column:
-            xs = a["xs"]
-            won = F.transform(xs, lambda x, i: F.struct(x["m"].alias("m"), x["by"].alias("by"), F.when(
-                (x["state"] == 0) & ~F.exists(
-                    around(xs, i), lambda y: (y["state"] == 0) & (y["by"] < x["by"]) & _overlap(y["m"], x["m"])
-                ), 1,
-            ).otherwise(x["state"]).alias("state")))
-
-            def lost(ws: Column) -> Column:
-                return F.transform(ws, lambda x, i: F.struct(x["m"].alias("m"), x["by"].alias("by"), F.when(
-                    (x["state"] == 0) & F.exists(around(ws, i), lambda y: (y["state"] == 1) & _overlap(y["m"], x["m"])), 2,
-                ).otherwise(x["state"]).alias("state")))
-
-            new = let(won, lost)
-            after = let(new, lambda ys: F.struct(ys.alias("xs"), F.exists(ys, lambda y: y["state"] == 0).alias("open")))
+            left = let(_sweep(a["xs"], near), lambda ys: F.reverse(F.filter(ys, lambda y: y["state"] != 2)))
+            after = let(left, lambda ys: F.struct(ys.alias("xs"), F.exists(ys, lambda y: y["state"] == 0).alias("open")))
             return F.when(a["open"], after).otherwise(a)
 
         return F.aggregate(
-            count_up(n), F.struct(first.alias("xs"), F.lit(True).alias("open")), step,
-            lambda a: F.transform(F.filter(a["xs"], lambda x: x["state"] == 1), lambda x: x["m"]),
+            count_up(n), F.struct(first.alias("xs"), F.lit(True).alias("open")), step, lambda a: F.transform(a["xs"], lambda x: x["m"]),
         )
 
     return let(F.coalesce(near, n), rounds)

@@ -41,6 +41,21 @@ def term_accuracy(outcomes: DataFrame, cases: DataFrame, *dims: str, minutes: st
     return g.withColumn("false_per_minute", ratio(F.col("extra"), F.col("minutes"))) if minutes else g
 
 
+#: Widths of the band in which an edit distance is looked for before the whole table is filled.
+BANDS = (8, 64, 512)
+
+
+def _distance(a: Column, b: Column) -> Column:
+    """Edit distance of two texts in time length x distance: a band that is wide enough gives the exact value."""
+
+    def within(bands: tuple[int, ...]) -> Column:
+        if not bands:
+            return F.levenshtein(a, b)
+        return let(F.levenshtein(a, b, bands[0]), lambda d: F.when(d >= 0, d).otherwise(within(bands[1:])))
+
+    return F.when(a.isNotNull() & b.isNotNull(), within(BANDS))
+
+
 def character_errors(hypothesis: Column, reference: Column) -> Column:
     """Edit distance in characters.
 
@@ -51,7 +66,7 @@ def character_errors(hypothesis: Column, reference: Column) -> Column:
     def differ(a: Column, b: Column) -> Column:
         n = F.size(common_prefix(a, b))
         rest = lambda x: F.array_join(F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0))), "")
-        return F.levenshtein(rest(a), rest(b))
+        return let(rest(a), lambda x: let(rest(b), lambda y: _distance(x, y)))
 
     short = lambda c: F.regexp_extract_all(c, F.lit("(?s).{1,16}"), F.lit(0))
     return let(short(hypothesis), lambda a: let(short(reference), lambda b: differ(a, b)))
@@ -71,7 +86,11 @@ def word_errors(hypothesis: Column, reference: Column) -> Column:
     def differ(n: Column) -> Column:
         rest = lambda x: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
         a, b = rest(hypothesis), rest(reference)
-        return let(F.array_distinct(F.concat(a, b)), lambda v: F.levenshtein(spell(a, v), spell(b, v)))
+
+        def numbered(v: Column) -> Column:
+            return let(spell(a, v), lambda x: let(spell(b, v), lambda y: _distance(x, y)))
+
+        return let(F.array_distinct(F.concat(a, b)), numbered)
 
     return let(F.size(common_prefix(hypothesis, reference)), differ)
 

@@ -339,6 +339,41 @@ def bigram_matches(spark, sf):
     return found.groupBy("lang", "form").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+def _bigram_forms(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    g = inp.bigram_glossary(docs)
+    tid = F.concat("lang", F.lit(":"), "form")
+    terms = g.select(tid.alias("term_id"), (F.length("form") % 2).alias("priority"), F.lit("preserve").alias("policy"), F.lit(0).alias("declaration_order"))
+    forms = g.select(
+        tid.alias("term_id"), "lang", "form", F.lit(0).alias("form_order"), F.col("form").alias("canonical"),
+        F.lit(False).alias("is_alias"), F.lit(None).cast("double").alias("boost"),
+    )
+    return mt.prepare_forms(forms, terms, case_sensitive_codes=False)
+
+
+@query
+def best_bigrams(spark, sf):
+    """Chains of overlapping matches, many of equal length, priority and declaration: ties go to the left."""
+    docs = inp.texts(spark, sf, "documents")
+    best = mt.best_matches(mt.find_terms(docs, ["doc_id"], "text", "lang", _bigram_forms(spark, docs)), ["doc_id"])
+    return best.groupBy("doc_id", "lang", "form").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last"))
+
+
+#: Forms whose language decides where a match may stand, and one of three words.
+EDGE_FORMS = [("zh", "the"), ("zh", "in"), ("ko", "la"), ("ko", "de la"), ("de", "in"), ("es", "de la en")]
+
+
+@query
+def boundary_matches(spark, sf):
+    """English and French texts read as Chinese, whose forms stand anywhere, and Korean, whose Latin forms stand alone."""
+    docs = inp.texts(spark, sf, "documents")
+    lang = F.when(F.col("lang") == "en", "zh").when(F.col("lang") == "fr", "ko").otherwise(F.col("lang"))
+    rows = [(f"{lang}:{form}", lang, form, 0, form, False, None) for lang, form in EDGE_FORMS]
+    terms = spark.createDataFrame([(r[0], ["d"], 1, "preserve", i) for i, r in enumerate(rows)], gs.TERMS)
+    forms = mt.prepare_forms(spark.createDataFrame(rows, gs.FORMS), terms, case_sensitive_codes=False)
+    m = mt.find_terms(docs.withColumn("lang", lang), ["doc_id"], "text", "lang", forms)
+    return m.select("doc_id", "lang", "form", "start", "end")
+
+
 @query
 def best_matches(spark, sf):
     m = mt.best_matches(_matches(spark, sf), ["doc_id"])
@@ -540,6 +575,18 @@ def validated(spark, sf):
     return d.groupBy("doc_id", "fault").agg(F.count("*").alias("n"))
 
 
+@query
+def residue_faults(spark, sf):
+    """A target form that reads like a placeholder is left over when all others are restored."""
+    bound = _bound(spark).withColumn("target_form", F.when(F.col("term_id") == "that_word", "<term_7>").otherwise(F.col("target_form")))
+    d = rw.term_spans(_sentences(spark, sf), ["doc_id", "pos"], "sentence", "source", "target", inp.active_forms(spark), bound)
+    d = d.withColumn("marks", rw.placeholders(F.col("spans"), p.PLACEHOLDER_FORMATS[1]))
+    d = d.withColumn("out", rw.protected(F.col("sentence"), F.col("spans"), p.PLACEHOLDER_FORMATS[1]))
+    d = d.withColumn("restored", tr.restore(F.col("out"), F.col("marks"), F.col("spans")))
+    fault = F.coalesce(tr.check(F.col("out"), F.col("marks"), F.col("restored")), F.lit("none"))
+    return d.groupBy("doc_id", fault.alias("fault")).agg(F.count("*").alias("n"))
+
+
 @query
 def restored(spark, sf):
     d = rw.term_spans(_sentences(spark, sf), ["doc_id", "pos"], "sentence", "source", "target", inp.active_forms(spark), _bound(spark))

@@ -366,6 +366,44 @@ oracle("bigram_matches", f"""
   SELECT lang, form, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM g JOIN top USING (lang, form) GROUP BY ALL""")
 
 
+_GRAMS = f"""
+  w0 AS (SELECT doc_id, lang, regexp_extract_all(text, '[{WORD}]+|[^{WORD}]+') AS l,
+      regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents),
+  pr AS (SELECT lang, unnest([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS form FROM w0),
+  top AS (SELECT lang, form FROM (SELECT lang, form, count(*) AS n FROM pr GROUP BY ALL) WHERE n >= 10),
+  px AS (SELECT doc_id, lang, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM w0),
+  po AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS s FROM px),
+  g AS (SELECT doc_id, lang, s, s + length(piece) + length(lead(piece) OVER x) + length(lead(piece, 2) OVER x) AS e,
+      lower(piece) || regexp_replace(lead(piece) OVER x, '[{SP}]+', ' ', 'g') || lower(lead(piece, 2) OVER x) AS form
+    FROM po WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+  m AS (SELECT doc_id, lang, form, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM g JOIN top USING (lang, form)),
+  cl AS (SELECT *, coalesce(s >= max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens FROM m),
+  cn AS (SELECT *, count_if(opens) OVER (PARTITION BY doc_id ORDER BY s) AS c FROM cl)"""
+oracle("best_bigrams", f"""
+  WITH {_GRAMS},
+  k AS (SELECT doc_id, lang, list_reduce(list([{{'s': s, 'e': e, 'form': form}}] ORDER BY length(form) DESC, length(form) % 2 DESC, s),
+      lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN kept ELSE list_concat(kept, x) END) AS best
+    FROM cn GROUP BY doc_id, lang, c),
+  u AS (SELECT doc_id, lang, unnest(best) AS b FROM k)
+  SELECT doc_id, lang, b.form AS form, count(*) AS n, min(b.s) AS first, max(b.s) AS last FROM u GROUP BY ALL""")
+oracle("boundary_matches", f"""
+  WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'zh' WHEN 'fr' THEN 'ko' ELSE lang END AS lang, text FROM documents),
+  a AS (SELECT doc_id, lang, text, unnest(range(1, length(text) + 1)) AS i FROM d WHERE lang = 'zh'),
+  z AS (SELECT doc_id, lang, form, i - 1 AS s, i - 1 + length(form) AS e FROM a, (VALUES ('the'), ('in')) v(form)
+    WHERE lower(substring(text, i, length(form))) = form),
+  l AS (SELECT doc_id, lang, regexp_extract_all(text, '[{WORD}]+|[^{WORD}]+') AS l FROM d WHERE lang <> 'zh'),
+  q AS (SELECT doc_id, lang, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM l),
+  w AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS s FROM q),
+  v AS (SELECT w.*, [lower(piece), regexp_replace(lead(piece) OVER x, '[{SP}]+', ' ', 'g'), lower(lead(piece, 2) OVER x),
+      regexp_replace(lead(piece, 3) OVER x, '[{SP}]+', ' ', 'g'), lower(lead(piece, 4) OVER x)] AS n,
+      [length(piece), length(lead(piece) OVER x), length(lead(piece, 2) OVER x), length(lead(piece, 3) OVER x), length(lead(piece, 4) OVER x)] AS k
+    FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+  y AS (SELECT doc_id, v.lang, form, CAST(s AS BIGINT) AS s, CAST(s + list_sum(k[1:c]) AS BIGINT) AS e
+    FROM v JOIN (VALUES ('ko', 'la', 1), ('ko', 'de la', 3), ('de', 'in', 1), ('es', 'de la en', 5)) f(lang, form, c)
+      ON f.lang = v.lang AND array_to_string(n[1:c], '') = form AND list_count(k[1:c]) = c)
+  SELECT doc_id, lang, form, s AS start, e AS "end" FROM z UNION ALL SELECT * FROM y""")
+
+
 def token_hits(src: str, keys: str) -> str:
     """Whole terms by tokens in ``src`` (keys, lang, ts); two-token forms end in words that start none."""
     return f"""
@@ -476,6 +514,10 @@ oracle("protected_text", f"""
   WITH {SENTENCE_BEST}, ed AS (SELECT *, printf('__TERM_%04d__', row_number() OVER (PARTITION BY doc_id, pos ORDER BY s)) AS rep FROM b),
   {spliced('se', 'doc_id, pos', 'ed')}
   SELECT doc_id, pos, n_edits AS n_terms, new_text AS protected FROM x""")
+oracle("residue_faults", f"""
+  WITH {SENTENCE_BEST}, c AS (SELECT doc_id, pos, bool_or(term_id = 'that_word') AS odd FROM b GROUP BY ALL)
+  SELECT se.doc_id, CASE WHEN c.odd THEN 'residue' ELSE 'none' END AS fault, count(*) AS n
+  FROM se LEFT JOIN c ON c.doc_id = se.doc_id AND c.pos = se.pos GROUP BY ALL""")
 oracle("restored", f"""
   WITH {SENTENCE_BEST}, ed AS (SELECT b.*, t.target_form AS rep FROM b JOIN {BOUND} t ON t.term_id = b.term_id AND t.source = b.lang AND t.target = CASE b.lang WHEN 'fr' THEN 'en' ELSE 'fr' END),
   {spliced('se', 'doc_id, pos', 'ed')}

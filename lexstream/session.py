@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -62,9 +63,19 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Used for compiled dictionaries, and where two branches read the result of a costly user function:
-    the function then runs once, and a lost executor re-reads files instead of recomputing.
+    Used for compiled dictionaries, which several joins read; a lost executor re-reads files instead of recomputing.
+    The table is removed when the driver ends.
     """
-    path = os.path.join(work_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    path = os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Remove a stored table when the driver ends, if its session still runs."""
+    context = spark.sparkContext._jsc
+    if context is not None and not context.sc().isStopped():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(context.hadoopConfiguration()).delete(p, True)

@@ -193,6 +193,9 @@ def test_overlaps_in_clusters_of_all_sizes(spark):
         rows.append((i, sorted(ms)))
     # A chain in which every match meets the next one.
     rows.append((99, [(k, k + 2, 2, 1, (k * 7919) % 1000, "t", "f", "c", False, "p") for k in range(3000)]))
+    # Chains whose ranks fall to either side, as of one form that overlaps itself.
+    for i, key in ((100, lambda k: 0), (101, lambda k: 2000 - k)):
+        rows.append((i, [(k, k + 2, 2, 1, key(k), "t", "f", "c", False, "p") for k in range(2000)]))
     kind = "start int, end int, norm_len int, priority int, rank long, term_id string, form string, canonical string, is_alias boolean, policy string"
     fields = ", ".join(x.replace(" ", ":", 1) for x in kind.split(", "))
     d = spark.createDataFrame(rows, f"id int, ms array<struct<{fields}>>")
