@@ -1,8 +1,9 @@
 """Operator 1: personal data by bootstrapped contextual extraction.
 
 Seeds are what fixed formats find.  Each seed, each other token with a digit or an at sign, and each
-run of digit groups that spreads over tokens is a mention with lexical patterns: the words around it.  Patterns and instances (the normalized tokens)
-form a graph that Spark scores in rounds: a pattern is as good as the share of its instances that
+run of digit groups that spreads over tokens is a mention with induced patterns: one to three words before it, one
+or two after it, with a free place among them or with the shape of the mention.  Patterns and instances (the
+normalized tokens) form a graph that Spark scores in rounds: a pattern is as good as the share of its instances that
 are known, an instance as good as its patterns together make it.  Instances that good patterns carry
 are unseen identifiers.
 """
@@ -29,6 +30,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "+")
+#: Longer words stand in patterns by their hash, longer instances have no shape of their own.
+LONG_WORD = 40
 #: Groups of digits, as phones and cards are written.
 _RUN = re.compile(r"(?<![0-9])\+?[0-9]++(?:[ ().-]++[0-9]++)+")
 
@@ -89,16 +92,65 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
         m = _MARK.search(text, end)
 
 
+def _words(tokens: list[str]) -> list[str]:
+    """Tokens without the punctuation at their ends, lower-cased; a very long one by its hash."""
+    out = [t.strip(_EDGE).lower() for t in tokens]
+    return [w if len(w) <= LONG_WORD else f"#{_name(w)}" for w in out if w]
+
+
+def _near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The three whole words before a place and the two after it, however long they or the gaps are."""
+    width, before = 64, []
+    while True:
+        at = max(0, start - width)
+        # A word that the piece cuts is left out; a wider piece holds it whole.
+        tokens = text[at:start].split()[(at > 0 and not text[at - 1].isspace()):]
+        before = _words(tokens)[-3:]
+        if len(before) == 3 or at == 0:
+            break
+        width *= 4
+    width = 64
+    while True:
+        piece = text[end:end + width]
+        tokens = piece.split()
+        whole = end + width >= len(text) or text[end + width].isspace()
+        after = _words(tokens if whole else tokens[:-1])[:2]
+        if len(after) == 2 or end + width >= len(text):
+            return before, after
+        width *= 4
+
+
+_DIGIT, _LETTERS, _JOINTS = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]+"), re.compile(r"[ ().-]+")
+
+
+def _shape(instance: str) -> str:
+    """Digit groups by their lengths, letters as one, joints alike."""
+    if len(instance) > LONG_WORD:
+        return "long"
+    return _JOINTS.sub("-", _LETTERS.sub("a", _DIGIT.sub("9", instance)))
+
+
 def _around(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a place: two words before it; one before and one after it."""
-    before = [w.strip(_EDGE).lower() for w in text[max(0, start - 80) : start].split()[-2:]]
-    after = [w.strip(_EDGE).lower() for w in text[end : end + 40].split()[:1]]
-    before = [w for w in before if w]
+    """Patterns of a place: words on either side, with one of them free, and with the shape of what stands there.
+
+    The first letter is the template, a capital one for three families: words before (A, B), words behind or on both
+    sides (C, D), and the form with a word (E, F, G).
+    """
+    before, after = _near(text, start, end)
+    shape = _shape(text[start:end])
     out = []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _")
-    if before and after and after[0]:
-        out.append(f"{before[-1]} _ {after[0]}")
+    if len(before) == 3:
+        out.append(f"A{before[0]} {before[1]} {before[2]} _")
+    if len(before) >= 2:
+        out += [f"B{before[-2]} {before[-1]} _", f"E{before[-2]} * _ {shape}"]
+    if before:
+        out.append(f"F{before[-1]} _ {shape}")
+        if after:
+            out.append(f"C{before[-1]} _ {after[0]}")
+    if len(after) == 2:
+        out.append(f"D_ {after[0]} {after[1]}")
+    if after:
+        out.append(f"G_ {shape} {after[0]}")
     return out
 
 
@@ -110,15 +162,16 @@ def mentions_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     found = [(a, b, kind, text[a:b].lower(), _around(text, a, b)) for a, kind, b in seeds]
     taken = sorted((a, b) for a, _, b in seeds)
     runs = list(_runs(text, taken))
-    heads = {a for a, _ in runs}
-    k, reach = 0, 0
+    k, reach, j = 0, 0, 0
     for a, b in _tokens(text):
         while k < len(taken) and taken[k][0] < b:
             reach = max(reach, taken[k][1])
             k += 1
-        if a >= reach:
-            # What stands before the first token of a run speaks for the run.
-            found.append((a, b, -1, text[a:b].lower(), [] if a in heads else _around(text, a, b)))
+        while j < len(runs) and runs[j][1] <= a:
+            j += 1
+        # Tokens of a run are spoken for by the run.
+        if a >= reach and not (j < len(runs) and runs[j][0] < b):
+            found.append((a, b, -1, text[a:b].lower(), _around(text, a, b)))
     found += [(a, b, -1, text[a:b].lower(), _around(text, a, b)) for a, b in runs]
     return seeds, found
 
@@ -144,7 +197,10 @@ def _score(edges: DataFrame, scratch: Scratch, rounds: int, support: float, trus
     Hot patterns and instances are summed before they are shuffled; joins split skewed keys.
     """
     seeds = edges.where("kind >= 0").select("instance", "kind").distinct()
-    graph = scratch.put(edges.select("pattern", "instance").distinct())
+    graph = scratch.put(edges.select("pattern", "template", "instance").distinct())
+    # How many contexts of a template an instance has.
+    contexts = scratch.put(graph.groupBy("instance", "template").agg(F.count("*").alias("contexts")))
+    family = F.when(F.col("template") < "C", 0).when(F.col("template") < "E", 1).otherwise(2)
     totals = scratch.put(graph.groupBy("pattern").agg(F.count("*").alias("n")))
     known = scratch.put(seeds.withColumn("score", F.lit(1.0)))
     base = known
@@ -152,7 +208,12 @@ def _score(edges: DataFrame, scratch: Scratch, rounds: int, support: float, trus
         good = graph.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
         good = good.where(F.col("s") >= support).join(totals, "pattern")
         good = good.withColumn("p", F.col("s") / F.col("n")).where(F.col("p") >= 0.5)
-        carried = graph.join(good.select("pattern", "kind", "p"), "pattern").groupBy("instance", "kind").agg(
+        # An instance is as good as its contexts are on average, so one that stands everywhere is not made good by a few.
+        # Templates of one family tell the same; the best of each family counts, and families together.
+        carried = graph.join(good.select("pattern", "kind", "p"), "pattern").groupBy("instance", "kind", "template").agg(F.sum("p").alias("p"))
+        carried = carried.join(contexts, ["instance", "template"]).withColumn("p", F.col("p") / F.col("contexts"))
+        carried = carried.groupBy("instance", "kind", family.alias("family")).agg(F.max("p").alias("p"))
+        carried = carried.groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("score")
         )
         new = carried.join(base.select("instance"), "instance", "left_anti")
@@ -174,7 +235,7 @@ def extract_pii(
     ``base`` holds the seeds, ``spans`` the seeds and what the patterns discover: instances whose score
     reaches ``trust``, carried by patterns of at least ``support`` known instances.  Null and empty
     texts have no spans; repeated rows give their spans each; an instance that two kinds claim alike
-    takes the kind listed first.  A run of digit groups and a token in it may both be listed.  Without
+    takes the kind listed first.  A token that meets a run of digit groups is not listed by itself.  Without
     seeds nothing is discovered.
     """
     scratch = Scratch(docs.sparkSession, "pii")
@@ -197,7 +258,9 @@ def extract_pii(
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     read = scratch.put(arrow_pass(texts, step, f"row long, id {kind}, base {span}, mentions {mention}"))
     each = read.where("size(mentions) > 0").select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    edges = each.select("instance", "kind", F.explode("patterns").alias("pattern")).withColumn("pattern", F.xxhash64("pattern"))
+    edges = each.select("instance", "kind", F.explode("patterns").alias("pattern")).withColumns(
+        {"template": F.left("pattern", F.lit(1)), "pattern": F.xxhash64("pattern")}
+    )
     unseen = _score(edges, scratch, rounds, support, trust)
     new = each.where("kind < 0").drop("kind").join(unseen, "instance").groupBy("row").agg(
         F.collect_list(F.struct("start", "kind", "end")).alias("new")

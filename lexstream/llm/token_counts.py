@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, table, utf8
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks whose counts a Python worker remembers; beyond that it starts anew.
-MEMO = 1 << 20
+#: Chunks whose counts a Python worker remembers, and the bytes of the longest one: 50 MB at most.  Beyond that it starts anew.
+MEMO, MEMO_CHUNK = 1 << 18, 64
 
 
 def counter(vocabulary: str) -> Callable[[list[bytes]], list[int]]:
@@ -40,6 +40,8 @@ def counter(vocabulary: str) -> Callable[[list[bytes]], list[int]]:
     memo: dict[bytes, int] = {}
 
     def count(chunks: list[bytes]) -> list[int]:
+        # Long chunks, such as whole texts of a script without spaces, are rarely met again and not remembered.
+        here: dict[bytes, int] = {}
         new = list({c for c in chunks if c not in memo})
         if len(memo) + len(new) > MEMO:
             memo.clear()
@@ -47,10 +49,12 @@ def counter(vocabulary: str) -> Callable[[list[bytes]], list[int]]:
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             found = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            memo.update(zip(part, map(len, found)))
-        return [memo[c] for c in chunks]
+            here.update(zip(part, map(len, found)))
+        out = [here[c] if c in here else memo[c] for c in chunks]
+        memo.update((c, n) for c, n in here.items() if len(c) <= MEMO_CHUNK)
+        return out
 
-    held["count"] = count
+    held["count"], held["memo"] = count, memo
     return count
 
 

@@ -59,6 +59,19 @@ def library_counts(texts):
     return [len(e.ids) for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_token_memo_is_bounded():
+    """Texts without spaces are counted whole and not remembered."""
+    import sys
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("日本語の文章"), 3000)) for _ in range(40)] + ["a b c " * 100]
+    count = token_counts.counter(token_counts.VOCABULARY)
+    assert count([t.encode() for t in texts]) == library_counts(texts)
+    memo = sys.modules[f"_token_memo_{token_counts.VOCABULARY}"]["memo"]
+    assert max(map(len, memo), default=0) <= token_counts.MEMO_CHUNK and len(memo) <= token_counts.MEMO
+
+
+
 def test_token_counts(spark, rows):
     got = {r["doc_id"]: r for r in QUERIES["op8_token_counts"](spark, SF).collect()}
     want = library_counts([t for _, t in rows])
@@ -364,6 +377,30 @@ def test_pii_of_several_tokens(spark):
     assert new == {(1, 18, 3, 31), (2, 18, 3, 18 + len(long))}
 
 
+def test_pii_contexts_of_whole_words():
+    """Words and gaps of any length are walked; shapes keep the lengths of digit groups."""
+    long, gap = "w" * 500, " " * 700
+    text = f"one two{gap}{long} 555-0777{gap}after, {long}!"
+    at = text.index("555")
+    assert pii._near(text, at, at + 8) == (["one", "two", f"#{pii._name(long)}"], ["after", f"#{pii._name(long)}"])
+    assert pii._near("x 1", 2, 3) == (["x"], []) and pii._near("1", 0, 1) == ([], [])
+    assert pii._near("-- a ... b , 7 !!! c", 13, 14) == (["a", "b"], ["c"])
+    assert [pii._shape(x) for x in ("+1 (437) 555-0123", "ab12.x9", "9" * 60)] == ["+9-999-999-9999", "a99-a9", "long"]
+
+
+def test_pii_induced_patterns(spark):
+    """A free place, the shape and words behind tell unseen identifiers from other numbers."""
+    rng = np.random.default_rng(3)
+    fill = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    known = [(k, f"{fill()} {fill()} card {fill()} 4111 1111 1111 {n} is {fill()}") for k, n in enumerate(range(1111, 9999, 7), 100)]
+    known = [(k, t) for k, t in known if pii.base_spans(t)][:40]
+    made = known + [(1, f"{fill()} card {fill()} 4111 1111 1111 1112 is {fill()}"), (2, f"{fill()} room {fill()} 4111 is {fill()}")]
+    made += [(k, f"{fill()} page {fill()} {k} is {fill()}") for k in range(1000, 1060)]
+    out = pii.extract_pii(docs_of(spark, made)).collect()
+    new = {(r["doc_id"], s["kind"], s["end"] - s["start"]) for r in out for s in r["spans"] if s not in r["base"]}
+    assert new == {(1, 2, 19)}
+
+
 # 5: licenses
 
 def brute_phrases(text):
