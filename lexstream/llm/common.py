@@ -158,6 +158,9 @@ def _settled(links: DataFrame) -> bool:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of undirected edges (a, b); root is the smallest node reachable.
 
+    Repeated edges count once; edges with a null end and those of a node to itself link nothing, so a node with no other
+    edge is not returned; no edges give no rows.
+
     Alternates the large-star and small-star steps until the links form stars: logarithmically many
     rounds, each a grouped minimum and a join.  While the minima may be broadcast they are; beyond
     that they are stored first, so that both sides of the join are shuffled for it and adaptive
