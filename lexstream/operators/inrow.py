@@ -135,15 +135,18 @@ def _found(view: Column, table: Column, n_buckets: int, br: _Branch, extra: list
             def judged(f: Column) -> Column:
                 raw = bare(F.array_join(F.slice(us, i + 1, f["n_units"]), ""))
 
+                def spelled(g: Column) -> Column:
+                    return (
+                        F.when(folded, ~f["sensitive"])
+                        .when(mode == "cased", f["sensitive"] & (g == f["norm"]))
+                        .otherwise(~f["sensitive"] | (g == f["norm"]))
+                    )
+
                 def fit(r: Column) -> Column:
                     gram = F.when(nz.is_normal(r), r).otherwise(nz.plain_normalize(r))
 
                     def same(g: Column) -> Column:
-                        ok = (fold(g) == f["key"]) & (
-                            F.when(folded, ~f["sensitive"])
-                            .when(mode == "cased", f["sensitive"] & (g == f["norm"]))
-                            .otherwise(~f["sensitive"] | (g == f["norm"]))
-                        )
+                        ok = (fold(g) == f["key"]) & spelled(g)
                         if br.checks_edges:
                             tail = F.array_join(F.slice(us, i + 1, f["n_units"] + 1), "")
                             follow = F.substring(tail, F.length(r) + 1, F.lit(1))
@@ -151,7 +154,10 @@ def _found(view: Column, table: Column, n_buckets: int, br: _Branch, extra: list
                             ok = ok & (~f["bounded"] | (~word(prev) & ~word(follow)))
                         return F.when(ok, F.length(r))
 
-                    return let(gram, same)
+                    if br.checks_edges:
+                        return let(gram, same)
+                    # A form of one word is its own first word, which has been compared.
+                    return F.when(f["n_units"] == 1, F.when(spelled(r), F.length(r))).otherwise(let(gram, same))
 
                 return let(raw, fit)
 
