@@ -206,6 +206,31 @@ def test_overlaps_in_clusters_of_all_sizes(spark):
     assert best == {(i, m[0], m[1], m[5]) for i, ms in rows for m in greedy(ms)}
 
 
+def test_whole_words_are_looked_up_in_arrow_batches(spark, g):
+    """Plain texts give what the joins find, null priorities, sharp s, wide gaps and hyphens included."""
+    rows = [("a", "en", "Straße"), ("b", "en", "strasse of"), ("c", "en", "of  the"), ("d", "en", "M5"), ("e", "en", "the of"), ("e", "en", "the"), ("f", "en", "x-y")]
+    f = spark.createDataFrame([(t, x, w, i, w, False, None) for i, (t, x, w) in enumerate(rows)], sg.FORMS)
+    t = spark.createDataFrame([(x, ["d"], None if x in "be" else 3, "preserve", i) for i, x in enumerate("abcdef")], sg.TERMS)
+    ready = mt.prepare_forms(f, t)
+    rng = random.Random(5)
+    words = ["straße", "STRASSE", "Of", "the", "M5", "m5", "x", "y", "x\u2010y", "ẞ", "zz"]
+    texts = [(i, rng.choice(["en", "fr"]), "".join(rng.choice(words) + rng.choice([" ", "\u3000\t", "-", ", "]) for _ in range(rng.randrange(30)))) for i in range(300)]
+    d = docs(spark, [*texts, (900, "en", None), (901, "en", ""), (902, "en", "the ﬁ of the"), (903, None, "the")])
+    span = lambda r: (r["start"], r["end"], r["term_id"], r["form"])
+    for best in (True, False):
+        every = mt.find_terms(d, ["id"], "text", "lang", ready)
+        want = sorted((r["id"], *span(r)) for r in (mt.best_matches(every, ["id"]) if best else every).collect())
+        got = inrow.with_matches(d, "text", "lang", inrow.compiled(ready), "ms", best)
+        assert sorted((r["id"], *span(m)) for r in got.collect() for m in r["ms"]) == want
+        assert "of(CASE" in got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert inrow.places("the of the", inrow.compiled(ready).words["en"], True) == [(0, 6, mt_no(ready, "the of")), (7, 10, mt_no(ready, "the"))]
+
+
+def mt_no(ready, form):
+    """The number under which a form is listed."""
+    return next(f["no"] for fs in inrow.compiled(ready).words["en"].values() for f in fs if f["key"] == form)
+
+
 def test_texts_stay_in_their_rows(spark, forms, g):
     """Rewriting shuffles nothing while the dictionary fits beside the rows; the joined form gives the same."""
     rng = random.Random(2)
