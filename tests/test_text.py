@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexstream.functions import normalize as nz
+from lexstream.functions import patterns as pt
 from lexstream.functions import text as tx
 from lexstream.functions import timing as tm
 from lexstream.operators import quality as ql
@@ -171,3 +172,24 @@ def test_context_strip_keeps_own_text(spark):
     assert len(one(spark, (words,), strip(0.0), schema=WORDS)[0]["words"]) == 2
     assert one(spark, ([],), strip(1.0), schema=WORDS)[0]["text"] == "Own text."
     assert one(spark, (words,), strip(1.0), schema=WORDS)[0]["text"] == "b"
+
+
+def test_ends_of_texts_are_read_from_the_end(spark):
+    """Long runs of closing marks and white space at the end give what a search of the whole text gives."""
+    space, closers = " \u3000\t", ")\u201d]"
+    rows = ["", " ", ")", "a", " a ", "\u3000a\t", *[f"ab.{x * n}{y * m}" for x in closers for n in (0, 1, 15, 16, 40) for y in space for m in (0, 1, 17)]]
+    d = spark.createDataFrame([(t,) for t in [*rows, None]], "t string")
+    whole = f"([^{pt.SPACE}{pt.CLOSERS}])[{pt.SPACE}{pt.CLOSERS}]*\\z"
+    d = d.select("t", tx.strip("t").alias("s"), tx.rstrip("t").alias("r"), tx._last_mark(F.col("t")).alias("m"), F.regexp_extract("t", whole, 1).alias("w"),
+                 tx.restore_punctuation(F.lit("x!"), F.regexp_replace("t", r"\.", ""), F.lit("en")).alias("p"))
+    white = " \u3000\t"
+    for r in d.collect():
+        if r["t"] is None:
+            assert list(r) == [None] * 6
+            continue
+        assert (r["s"], r["r"], r["m"]) == (r["t"].strip(white), r["t"].rstrip(white), r["w"])
+        bare = r["t"].replace(".", "").rstrip(white)
+        body = bare.rstrip(closers)
+        assert r["p"] == body + "!" + bare[len(body):]
+    slow = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" in slow
