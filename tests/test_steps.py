@@ -300,3 +300,69 @@ def test_rechunk_crosses_rows(spark):
     got = [list(r.samples) for r in sg.rechunk(d, 7, rows=9).orderBy("frame_no").collect()]
     assert got == [flat[i : i + 7] for i in range(0, len(flat), 7)]
     assert sg.rechunk(d, 7, keep_tail=False).count() == len(flat) // 7
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_commits_cross_one_exchange(spark):
+    """Streams of usual size are folded whole, long ones by utterance; terms are found in the row either way."""
+    rng = random.Random(8)
+    rows = []
+    for s in range(4):
+        n = 0
+        for _ in range(12):
+            said = rng.choices(["seal", "blast", "furnace", "door", "Halt", ".", "today", "mr"], k=rng.randint(1, 14))
+            for k in range(1, len(said), 2):
+                n += 1
+                rows.append((f"s{s}", n, "en", said[:k] + ["zz"] * (k % 3 == 0), False, T0 + dt.timedelta(milliseconds=300 * n)))
+            n += 1
+            rows.append((f"s{s}", n, "en", said, True, T0 + dt.timedelta(milliseconds=300 * n)))
+    h = spark.createDataFrame(rows, "stream_id string, revision int, lang string, tokens array<string>, is_final boolean, at timestamp")
+    p = terms(spark, ["blast furnace door", "blast furnace"])
+    whole, parts = rv.commit(h, p, endpoint=2), rv.commit(h, p, rows=20, endpoint=2)
+    assert plan_of(whole).count("Exchange ") == 1 and "Join" not in plan_of(whole) and "Window" in plan_of(parts)
+    got = sorted(map(str, whole.collect()))
+    assert got == sorted(map(str, parts.collect())) and len(got) > 100
+    assert whole.agg(F.max("utterance")).first()[0] == 11
+
+
+def test_requests_read_their_commits_once(spark):
+    c = rv.commit(hyps(spark, ["open the gate now and then close it again slowly"] * 3, 2))
+    plan = plan_of(rv.schedule_requests(c))
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
+def test_phrases_read_their_rows_once(spark):
+    c = rv.commit(hyps(spark, ["seal the blast furnace door today."] * 3, 2))
+    u = c.select("stream_id", F.col("revision").alias("seq"), "text", "lang", F.col("revision").alias("source_revision"), "is_final", F.timestamp_millis("at_ms").alias("at"))
+    out = rv.phrases(u, terms(spark, ["blast furnace door"]), low=2, high=3, mode="stable_sentence")
+    assert plan_of(out).count("MapInArrow") == 2 and "Join" not in plan_of(out)
+    assert [(r.text, r.shifts) for r in out.orderBy("phrase_no").collect()] == [("seal the", 1), ("blast furnace door", 0), ("today.", 0)]
+
+
+def test_prefixes_found_in_the_row(spark):
+    """The array gives the spans of the join; a table over the limit is left to the join."""
+    rng = random.Random(3)
+    p = terms(spark, ["blast furnace door", "blast furnace", "door", "Door blast"])
+    rows = [(i, rng.choice(["en", "fr", None]), rng.choices(["Blast", "furnace", "door", "x", None], k=rng.randrange(9))) for i in range(200)]
+    d = spark.createDataFrame(rows, "id int, lang string, t array<string>")
+    for which in ("is_term", "is_open"):
+        want = sorted((r.id, r.start, r.end) for r in mt.prefix_hits(d, ["id"], "t", "lang", p).filter(which).collect())
+        got = d.select("id", F.explode(mt.prefix_spans("t", "lang", p, which)).alias("x")).collect()
+        assert sorted((r.id, r.x.start, r.x.end) for r in got) == want and want
+    assert mt.prefix_spans("t", "lang", p, "is_term", limit=10) is None
+
+
+def test_batches_as_python_values():
+    import pyarrow as pa
+
+    from lexstream.operators import keyed
+
+    words = pa.array([["a", None], None, [], ["b"]])
+    deep = pa.array([[{"t": ["x"], "e": 1.5}], None, [], [None]])
+    columns = [words, deep, pa.array([1, None, 3, 4]), pa.array([True, False, True, True]), pa.array([None] * 4), pa.array(["ß", None, "", "x"])]
+    for c in columns:
+        for part in (c, c[1:], c[1:3], c[:0]):
+            assert keyed.values(part) == part.to_pylist()
