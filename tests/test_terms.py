@@ -430,3 +430,24 @@ def test_a_final_ends_the_cache_and_routes_differ_by_row(spark, g, forms):
     assert [out[i].hops for i in range(1, 8)] == [1, 1, 1, 1, 1, 0, 2]
     assert out[4].translated == "[en] Same here." and out[6].translated is None
     assert (out[4].source_language, out[4].target_language, out[7].target_language) == ("vi", "en", "zh")
+
+
+def test_forms_within_words_are_found_in_arrow_batches(spark):
+    """Forms that stand anywhere, with and without edges to check, give what the joins find."""
+    rows = [("a", "zh", "the"), ("b", "zh", "t"), ("c", "zh", "he t"), ("d", "zh", "e-t"), ("e", "zh", "停 止"), ("f", "ko", "정지"), ("g", "en", "+x"), ("h", "en", "x+"),
+            ("i", "en", "the x"), ("j", "ko", "la"), ("k", "zh", "tt"), ("l", "zh", "T5"), ("m", "en", "x++")]
+    f = spark.createDataFrame([(t, x, w, i, w, False, None) for i, (t, x, w) in enumerate(rows)], sg.FORMS)
+    t = spark.createDataFrame([(x[0], ["d"], None if x[0] in "be" else 3, "preserve", i) for i, x in enumerate(rows)], sg.TERMS)
+    ready = mt.prepare_forms(f, t)
+    rng = random.Random(9)
+    bits = ["the", "T", "he", "e", "-", "‐", "停", "止", "정지", "la", "x", "+", " ", "　\t", "\n", "ß", "_", "T5", "t5", "ﬁ"]
+    some = lambda plain: "".join(rng.choice(bits[:-1] if plain else bits) for _ in range(rng.randrange(40)))
+    texts = [(i, rng.choice(["en", "zh", "ko", "fr", None]), some(i % 4)) for i in range(400)]
+    d = docs(spark, [*texts, (900, "zh", None), (901, "zh", ""), (902, "zh", "  the  ")])
+    span = lambda r: (r["id"], r["start"], r["end"], r["term_id"], r["form"])
+    every = mt.find_terms(d, ["id"], "text", "lang", ready)
+    for want, got in ((every, inrow.all_terms(d, ["id"], "text", "lang", ready)), (mt.best_matches(every, ["id"]), inrow.best_terms(d, ["id"], "text", "lang", ready))):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "of(CASE" in plan and "Exchange" not in plan
+        assert sorted(map(span, got.collect())) == sorted(map(span, want.collect()))
+    assert every.count() > 500
