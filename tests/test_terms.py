@@ -451,3 +451,48 @@ def test_forms_within_words_are_found_in_arrow_batches(spark):
         assert "of(CASE" in plan and "Exchange" not in plan
         assert sorted(map(span, got.collect())) == sorted(map(span, want.collect()))
     assert every.count() > 500
+
+
+def test_timed_words_stay_in_their_rows(spark, forms):
+    rng = random.Random(4)
+    said = ["Try", "wind", "surfing", "E-stop", "button", "today", "wins", "serving", "zzz"]
+    rows = []
+    for i in range(120):
+        ws = rng.choices(said[:-1] if i % 10 else said, k=rng.randrange(12))
+        gap = rng.choice([" ", ", ", "  "])
+        rows.append((i, "en", gap.join(w for w in ws if w != "zzz"), [(w, k / 2, k / 2 + 0.4, rng.random()) for k, w in enumerate(ws)]))
+    d = spark.createDataFrame([*rows, (900, "en", "wind surfing", None), (901, "en", None, [])], f"id int, lang string, text string, words {WORDS}")
+    got = rw.retimed(d, ["id"], "text", "lang", "words", forms)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    joined = rw.remap_words(d, ["id"], "text", "words", mt.best_matches(mt.find_terms(d, ["id"], "text", "lang", forms), ["id"]))
+    new = {r.id: r.new_words for r in got.collect()}
+    assert new == {r.id: r.new_words for r in joined.collect()}
+    assert sum(w is not None and w != r[3] for r in rows for w in [new[r[0]]]) > 5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_words_covered_by_edits(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        words = ["".join(rng.choices("ab", k=rng.randint(1, 3))) for _ in range(rng.randrange(8))]
+        text = " ".join(words)
+        edges = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randrange(4))))
+        edits = list(zip(edges[::2], edges[1::2]))
+        spans, at = [], 0
+        for w in words:
+            at = text.index(w, at) + len(w)
+            spans.append((at - len(w), at))
+        over = [[i for i, (s, e) in enumerate(spans) if s < b and a < e] for a, b in edits]
+        got = rw.covered(text, words, edits)
+        if not all(over):
+            assert got is None
+            continue
+        firsts, gone = {x[0]: (x[-1] + 1, k) for k, x in enumerate(over)}, set()
+        want = []
+        for i in range(len(words)):
+            if i not in gone:
+                hi, k = firsts.get(i, (i + 1, -1))
+                want.append((i, hi, k))
+            gone |= {j for x in over if x[0] == i for j in x[1:]}
+        assert got == want
+    assert rw.covered("a b", ["b", "a"], []) is None and rw.covered("a", [None], []) is None
