@@ -496,3 +496,52 @@ def test_words_covered_by_edits(seed):
             gone |= {j for x in over if x[0] == i for j in x[1:]}
         assert got == want
     assert rw.covered("a b", ["b", "a"], []) is None and rw.covered("a", [None], []) is None
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_sentences_cross_one_exchange_before_they_are_translated(spark, g, forms):
+    t = tr.translate_requests(requests(spark), ["id"], ["en", "vi"], forms, rw.bindings(g.forms, g.terms), tr.echo).select("id", "translated")
+    plan = t._jdf.queryExecution().executedPlan()
+    moved = [n.output().mkString(" ") for n in _nodes(plan.initialPlan()) if n.nodeName() == "Exchange"]
+    assert sum("sentence#" in x or "text#" in x for x in moved) == 1
+
+
+def test_a_sentence_is_asked_for_once_a_hop(spark, g, forms, folder):
+    """Also where routes of one and of two hops meet."""
+
+    def noted(text, source, target):
+        with open(f"{folder}/asked", "a") as f:
+            f.write("".join(f"{x}>{t}\n" for x, t in zip(text, target)))
+        return text
+
+    rows = [(1, "s", 1, "Same here. Two. Same here.", False, ["en", "vi"]), (2, "s", 2, "Two. Same here. Open", True, ["en", "vi", "en"]),
+            (3, "s", 3, "Same here.", False, ["en"]), (4, "s", 4, "Same here.", False, ["en", "vi", "en"]), (5, "s", 5, None, False, ["en", "vi"])]
+    r = spark.createDataFrame(rows, "id int, stream_id string, revision long, text string, is_final boolean, path array<string>")
+    fn = tr.batch_translator(noted)
+    out = {x.id: x for x in tr.translate_requests(r, ["id"], "path", forms, rw.bindings(g.forms, g.terms), fn).collect()}
+    assert sorted(open(f"{folder}/asked").read().split("\n")[:-1]) == sorted(
+        ["Same here.>vi", "Two.>vi"] + ["Same here.>vi", "Two.>vi", "Open>vi", "Same here.>en", "Two.>en", "Open>en"])
+    assert {i: (x.hops, x.cache_hits, x.translated) for i, x in out.items()} == {
+        1: (3, 1, "Same here. Two. Same here."), 2: (6, 0, "Two. Same here. Open"), 3: (0, 0, "Same here."), 4: (2, 0, "Same here.")}
+
+
+@pytest.mark.parametrize("in_order", [False, True])
+def test_judged_in_batches_as_by_columns(spark, in_order):
+    rng = random.Random(3)
+    bits = ["__TERM_0001__", "__TERM_0002__", "__term_ 2 __", "a", " ", "<", "<term_3>", "OVT1ovt", "_", "ß", "\U0001f600", "ZX", "zxterm١5zx", "1"]
+    forms = ["ü", "", None, "<term_3>", "__TERM_0002__", "b"]
+    rows = [("".join(rng.choices(bits, weights=[4, 4] + [1] * 12, k=rng.randrange(7))), [rng.choice(forms) for _ in range(rng.randrange(1, 3))])
+            for _ in range(1500)]
+    d = spark.createDataFrame([(i, t, f) for i, (t, f) in enumerate(rows)], "i int, t string, f array<string>")
+    spans = F.transform("f", lambda x: F.struct(x.alias("target_form")))
+    marks = rw.placeholders(spans, p.PLACEHOLDER_FORMATS[0])
+    put = tr.restore(F.col("t"), marks, spans)
+    want = d.select("i", put.alias("out"), tr.check(F.col("t"), marks, put, in_order).alias("fault")).collect()
+    got = {i: tr.judged(t, [p.PLACEHOLDER_FORMATS[0] % (k + 1) for k in range(len(f))], f, in_order) for i, (t, f) in enumerate(rows)}
+    assert {r.i: (r.out, r.fault) for r in want} == got
+    assert {"missing", "duplicate", "unexpected", "residue", None} <= {x for _, x in got.values()}
