@@ -14,6 +14,7 @@ from lexstream.operators import matching as mt
 from lexstream.operators import overlaps
 from lexstream.operators import rewrite as rw
 from lexstream.operators import translate as tr
+from lexstream.plans import inputs as inp
 from lexstream.sources import glossary as sg
 
 BUNDLE = {
@@ -545,3 +546,10 @@ def test_judged_in_batches_as_by_columns(spark, in_order):
     got = {i: tr.judged(t, [p.PLACEHOLDER_FORMATS[0] % (k + 1) for k in range(len(f))], f, in_order) for i, (t, f) in enumerate(rows)}
     assert {r.i: (r.out, r.fault) for r in want} == got
     assert {"missing", "duplicate", "unexpected", "residue", None} <= {x for _, x in got.values()}
+
+
+def test_word_pairs_are_counted_once(spark):
+    rows = [("en", "one two One two  three"), ("en", "One Two"), ("fr", "one two"), ("en", None), ("en", "one")]
+    g = inp.bigram_glossary(spark.createDataFrame(rows, "lang string, text string"), 2)
+    assert [tuple(r) for r in g.collect()] == [("en", "one two", 3)]
+    assert "Aggregate" not in {n.nodeName()[-9:] for n in _nodes(g._jdf.queryExecution().sparkPlan())}
