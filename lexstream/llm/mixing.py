@@ -231,7 +231,9 @@ def fit_rates(
         best = min(best, (float(np.abs(got - target).max()), len(steps)))
     steps = steps[: best[1]]
     got = _sums(members, steps, k, max_rate)[0]
-    return steps, {"have": have, "target": target, "got": got, "missed": np.maximum(want - target / max(target.sum(), 1e-300), 0)}
+    gap = want - target / max(target.sum(), 1e-300)
+    # Shares that differ by rounding are met.
+    return steps, {"have": have, "target": target, "got": got, "missed": np.where(gap > 1e-12, gap, 0)}
 
 
 def copies(rates: np.ndarray, draws: np.ndarray) -> np.ndarray:
